@@ -17,6 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of a join is broadcast below so many rows, each of a few dozen bytes; above, Spark shuffles.
 BROADCAST_ROWS = 50_000
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -63,7 +64,12 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows from a table written to the shared folder, which survives lost executors and ends the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quirefold/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # the table replaces the shuffles it was made from
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
