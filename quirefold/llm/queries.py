@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import mixing, quality_rules, sharding, simhash, substring
+from quirefold.llm import chat, decontaminate, mixing, pii, quality_rules, sharding, simhash, substring, toxicity, url_rules
 from quirefold.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -25,6 +25,14 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -38,10 +46,27 @@ def op7_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.recover(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_url_rules": op3_url_rules,
+    "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
     "op6_shard_slots": op6_shard_slots,
     "op7_repeated_phrases": op7_repeated_phrases,
+    "op8_pii_spans": op8_pii_spans,
+    "op9_toxicity_grades": op9_toxicity_grades,
+    "op10_chat_roles": op10_chat_roles,
 }

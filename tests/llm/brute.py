@@ -59,3 +59,22 @@ def repeats_removed(docs: list[tuple[int, str | None]], window: int = 35) -> dic
                 gone.update(range(k, k + window))
         out[i] = len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
     return out
+
+
+def base_spans(text: str | None) -> list[tuple[str, int, int]]:
+    import re
+
+    def luhn(d: str) -> bool:
+        total = 0
+        for k, c in enumerate(reversed(d)):
+            x = int(c) * (1 + k % 2)
+            total += x - 9 if x > 9 else x
+        return total % 10 == 0
+
+    only = lambda s: re.sub("[^0-9]", "", s)
+    t = text or ""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(only(m[0])) <= 19 and luhn(only(m[0]))]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(only(m[0])) <= 15]
+    return out
