@@ -27,6 +27,7 @@ def features_of(word: str) -> list[int]:
 
 
 def _sparse(texts: pa.Array) -> pa.Array:
+    """Each text's features as the bytes of sorted 32-bit numbers."""
     known: dict[str, list[int]] = {}
     out = []
     for x in texts:
@@ -35,10 +36,10 @@ def _sparse(texts: pa.Array) -> pa.Array:
             if w not in known:
                 known[w] = features_of(w)
             found.update(known[w])
-        out.append(sorted(found))
+        out.append(np.array(sorted(found), np.int32).tobytes())
         if len(known) > 500_000:
             known.clear()
-    return pa.array(out, pa.list_(pa.int32()))
+    return pa.array(out, pa.binary())
 
 
 @dataclass
@@ -62,14 +63,14 @@ def _surely(p: np.ndarray, n: np.ndarray, z: float = 1.64) -> np.ndarray:
     return (share + z * z / (2 * k) - z * np.sqrt(share * (1 - share) / k + z * z / (4 * k * k))) / (1 + z * z / k)
 
 
-def fit(rows: list[tuple[list[int], int]], grades: int = GRADES) -> Grades:
+def fit(rows: list[tuple[np.ndarray | list[int], int]], grades: int = GRADES) -> Grades:
     """A proportional-odds model by full-batch Adam on the features that speak for a grade.
 
     A feature is taken if LEAST_DF rows have it and surely LEAST_SHARE of all such rows are graded. Without
     rows, or with rows of one grade only, all get nearly that grade.
     """
     y = np.array([g for _, g in rows], np.int64)
-    flat = np.concatenate([np.array(f, np.int64) for f, _ in rows]) if rows else np.zeros(0, np.int64)
+    flat = np.concatenate([np.asarray(f, np.int32) for f, _ in rows]) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows]) if rows else flat
     bad = (y > 0)[owner] if rows else np.zeros(0, bool)
     p, n = np.bincount(flat[bad], minlength=BUCKETS), np.bincount(flat[~bad], minlength=BUCKETS)
@@ -122,9 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> G
     graded = F.when(F.col("toxic") == 0, 0).when(F.coalesce(F.col("quality"), F.lit(1)) == 0, 2).otherwise(1)
     drawn = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(rate * 1_000_000)).groupBy("doc_id").agg(F.max(graded).alias("grade"))
     both = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(drawn), "doc_id")  # train_docs rows, within chance
-    sparse = F.arrow_udf(_sparse, "array<int>")(F.coalesce("text", F.lit("")))
+    sparse = F.arrow_udf(_sparse, "binary")(F.coalesce("text", F.lit("")))
     rows = both.select(sparse.alias("f"), "grade", "doc_id").collect()
-    return fit([(r["f"], r["grade"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["f"]))])
+    return fit([(np.frombuffer(r["f"], np.int32), r["grade"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["f"]))])
 
 
 def grade_of(text: Column, model) -> Column:
