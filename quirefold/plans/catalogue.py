@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quirefold.plans import book_queries, job_queries, page_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = page_queries.QUERIES | book_queries.QUERIES | job_queries.QUERIES
+ORACLES: dict[str, str] = page_queries.ORACLES | book_queries.ORACLES | job_queries.ORACLES
