@@ -199,5 +199,6 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     if shared.isEmpty():
         return kept
     again = docs.join(shared, docs[key].eqNullSafe(shared["_key"]), "left_semi").withColumn("_fp", fingerprint_of(F.col(text)))
-    again = again.join(classed, again["_fp"] == classed["fp"]).where(F.col(key).eqNullSafe(F.col("component_id")))
-    return kept.union(again.dropDuplicates(["root"]).select(*docs.columns))
+    classed = classed.withColumnsRenamed({c: f"_class_{c}" for c in classed.columns})
+    again = again.join(classed, again["_fp"] == classed["_class_fp"]).where(F.col(key).eqNullSafe(F.col("_class_component_id")))
+    return kept.union(again.dropDuplicates(["_class_root"]).select(*docs.columns))
