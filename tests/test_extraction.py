@@ -15,6 +15,7 @@ from quirefold.streaming.problems import LineMachine, stream_problems, with_docu
 
 
 def line(text, x=200.0, y=10.0, width=600.0):
+    x, y = float(x), float(y)
     return ([(x, y), (x + width, y), (x + width, y + 20), (x, y + 20)], "text", text)
 
 
@@ -115,7 +116,7 @@ def evaluated(spark, book):
 def test_evaluation(spark):
     good = evaluated(spark, pages(spark, ["Q1. what is all this", "A) one", "B) two", "Q2. and what is that", "A) x", "B) y"]))
     assert good.question_completeness == good.option_completeness == good.structural_consistency == good.extraction_validity == 1 and good.warnings == []
-    assert good.text_coverage == pytest.approx(44 / 46) and good.score == pytest.approx((44 / 46) ** 0.2)
+    assert good.text_coverage == pytest.approx(40 / 42) and good.score == pytest.approx((40 / 42) ** 0.2)
     bad = evaluated(spark, pages(spark, ["Q1. a", "Q1. b", "C) c"]))
     assert bad.score < good.score and "duplicate problem numbers detected" in bad.warnings and bad.structural_consistency == pytest.approx((1 + 0.5 + 0) / 3)
     none = evaluated(spark, pages(spark, ["nothing"], []))

@@ -10,6 +10,7 @@ from quirefold.sources.schemas import PAGES
 
 
 def element(content, x=0.0, y=10.0, width=20.0, height=10.0, label="text"):
+    x, y, width, height = float(x), float(y), float(width), float(height)
     return ([(x, y), (x + width, y), (x + width, y + height), (x, y + height)], label, content)
 
 
