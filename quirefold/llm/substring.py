@@ -121,41 +121,61 @@ def key_columns(raw) -> list:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of the ranges r of a text: its text, start, anchor, hash, and whether it is known to recur."""
+    """A row for each window of the ranges r of a text: its text, start, anchor, hash, and whether it is known to recur. Only the words of ranges are hashed."""
     scanner = Scanner()
     names = ["k1", "k2", "start", "m", "w", "sure"]
     for batch in batches:
         for k1, k2, raw, ranges in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            _, sums = scanner.sums(raw.split())
-            count = np.array([x["n"] for x in ranges])
-            start = np.concatenate([np.arange(x["s"], x["s"] + x["n"]) for x in ranges])
+            words = raw.split()
+            first, count = (np.array([x[c] for x in ranges], np.int64) for c in ("s", "n"))
+            long = count + scanner.window - 1
+            _, sums = scanner.sums([w for s, n in zip(first.tolist(), long.tolist(), strict=True) for w in words[s : s + n]])
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            place, start = np.repeat(np.cumsum(long) - long, count) + within, np.repeat(first, count) + within
             m, sure = np.repeat(np.array([x["m"] for x in ranges], np.int64), count), np.repeat(np.array([x["sure"] for x in ranges], bool), count)
-            w = scanner.span(sums, start, start + scanner.window).view(np.int64)
+            w = scanner.span(sums, place, place + scanner.window).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), k1, np.int64)), pa.array(np.full(len(start), k2, np.int64)), pa.array(start.astype(np.int32)), pa.array(m), pa.array(w), pa.array(sure)], names)
 
 
-def _letters(size: int) -> list[str]:
-    """A letter for each of size words; pairs of letters from two disjoint halves where there are more words than letters."""
-    letter = lambda i: chr(i + 1 if i + 1 < 0xD800 else i + 0x801)
-    if size <= _VOCABULARY:
-        return [letter(i) for i in range(size)]
-    half = _VOCABULARY // 2
-    return [letter(i // half) + letter(half + i % half) for i in range(size)]
+class _Letters(dict):
+    """A letter for each word, in the order first met."""
+
+    def __missing__(self, word: bytes) -> str:
+        i = len(self) + 1
+        value = self[word] = chr(i if i < 0xD800 else i + 0x800)
+        return value
+
+
+class _Pairs(dict):
+    """A pair of letters from two disjoint halves for each word, for more words than there are letters."""
+
+    def __missing__(self, word: bytes) -> str:
+        half = _VOCABULARY // 2
+        high, low = divmod(len(self), half)
+        letter = lambda i: chr(i if i < 0xD800 else i + 0x800)
+        value = self[word] = letter(high + 1) + letter(half + low + 1)
+        return value
+
+
+def _spelled(split: dict) -> tuple[dict, int]:
+    """Texts with words spelled as letters, and the letters of a word."""
+    for width, letters in ((1, _Letters()), (2, _Pairs())):
+        out = {}
+        for k, words in split.items():
+            out[k] = "".join(map(letters.__getitem__, words))
+            if width == 1 and len(letters) > _VOCABULARY:
+                break
+        else:
+            break
+    return out, width
 
 
-def locate(texts: dict, phrases: list[tuple], window: int = WINDOW) -> dict:
-    """Which words of each text some phrase covers: {key: array of booleans}. A phrase is (key, first window, number of windows) of one of the texts.
+def locate(split: dict, phrases: list[tuple], window: int = WINDOW) -> dict:
+    """Which words of each text some phrase covers: {key: array of booleans}, from texts split in words. A phrase is (key, first window, number of windows) of one of the texts.
 
     The automaton's letters are the shard's words, so that what it finds are whole words in sequence, exactly.
     """
-    split = {k: raw.split() for k, raw in texts.items()}
-    ids: dict[bytes, int] = {}
-    for words in split.values():
-        for w in words:
-            ids.setdefault(w, len(ids))
-    letters = _letters(len(ids))
-    width = len(letters[-1]) if letters else 1
-    spelled = {k: "".join([letters[ids[w]] for w in words]) for k, words in split.items()}
+    spelled, width = _spelled(split)
     automaton = ahocorasick.Automaton()
     for k, s, n in phrases:
         automaton.add_word(spelled[k][s * width : (s + n + window - 1) * width], n + window - 1)
@@ -164,17 +184,23 @@ def locate(texts: dict, phrases: list[tuple], window: int = WINDOW) -> dict:
     for k, text in spelled.items():
         step = np.zeros(len(split[k]) + 1, np.int64)
         if len(automaton):
-            for end, n in automaton.iter(text):
-                last = (end + 1) // width
-                step[last - n] += 1
-                step[last] -= 1
+            found = np.array([*automaton.iter(text)], np.int64).reshape(-1, 2)
+            last = (found[:, 0] + 1) // width
+            np.add.at(step, last - found[:, 1], 1)
+            np.add.at(step, last, -1)
         covered[k] = np.cumsum(step[:-1]) > 0
     return covered
 
 
+def _left(words: list[bytes], gone: np.ndarray) -> bytes:
+    """The words that aren't gone, by runs."""
+    edge = np.flatnonzero(np.diff(np.r_[True, gone, True])).tolist()
+    return b" ".join([w for a, b in zip(edge[::2], edge[1::2], strict=True) for w in words[a:b]])
+
+
 def _locate_shard(texts: pa.Table, phrases: pa.Table) -> pa.Table:
     """One shard: its automaton is compiled from the confirmed phrases that its texts hold, and all its texts run through it."""
-    own = {(k1, k2): raw for k1, k2, raw in zip(*(texts.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True)}
+    own = {(k1, k2): raw.split() for k1, k2, raw in zip(*(texts.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True)}
     refs = sorted({((k1, k2), s, n) for k1, k2, s, n in zip(*(phrases.column(c).to_pylist() for c in ("k1", "k2", "s", "n")), strict=True)})
     joined: list[list] = []
     for k, s, n in refs:  # windows in a row make one phrase
@@ -184,8 +210,7 @@ def _locate_shard(texts: pa.Table, phrases: pa.Table) -> pa.Table:
             joined.append([k, s, n, n == 1])
     rows = []
     for (k1, k2), gone in locate(own, [(k, s, n) for k, s, n, _ in joined if k in own]).items():
-        words = own[k1, k2].split()
-        rows.append((k1, k2, int(gone.sum()), hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest()))
+        rows.append((k1, k2, int(gone.sum()), hashlib.sha256(_left(own[k1, k2], gone)).hexdigest()))
     k1, k2, n, sha = zip(*rows, strict=True) if rows else ((),) * 4
     return pa.table({"k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "n_removed": pa.array(n, pa.int64()), "kept": pa.array(sha, pa.string())})
 

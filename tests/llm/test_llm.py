@@ -163,7 +163,7 @@ def test_repeats_against_brute_force(docs):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("ab"), max_size=60), min_size=1, max_size=3))
 def test_locating_finds_every_covered_word(texts):
-    raw = {k: " ".join(t).encode() for k, t in enumerate(texts)}
+    raw = {k: [w.encode() for w in t] for k, t in enumerate(texts)}
     phrases = [(k, s, 2) for k, t in enumerate(texts) for s in range(0, len(t) - 5, 7)]
     spelled = {tuple(texts[k][s : s + 6]) for k, s, _ in phrases}
     for k, got in substring.locate(raw, phrases, 5).items():
@@ -173,11 +173,17 @@ def test_locating_finds_every_covered_word(texts):
 
 def test_pairs_of_letters_spell_large_vocabularies(monkeypatch):
     monkeypatch.setattr(substring, "_VOCABULARY", 10)
-    raw = {0: " ".join(f"w{i}" for i in range(80)).encode(), 1: " ".join(f"w{i}" for i in range(40, 80)).encode()}
+    raw = {0: [b"w%d" % i for i in range(80)], 1: [b"w%d" % i for i in range(40, 80)]}
     got = substring.locate(raw, [(1, 0, 6)], 35)
     assert [*np.flatnonzero(got[0])] == [*range(40, 80)] and got[1].all()
 
 
+@given(st.lists(st.booleans()))
+def test_what_is_left(gone):
+    words = [b"%d" % i for i in range(len(gone))]
+    assert substring._left(words, np.array(gone, bool)) == b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
+
+
 def test_shards_are_even_gapless_and_stable(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, "x" * rng.randrange(5000)) for i in range(4000)] + [(7, "same")] * 5 + [(None, None)] * 3
