@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.patterns import Pattern, PatternError, RegexPatterns, parse_patterns, translate
-from quirefold.functions.text import is_decimals, is_digits, raw_text, strip
+from quirefold.functions.text import bind, is_decimals, is_digits, raw_text, strip
 from quirefold.operators.transforms import column_of
 from quirefold.sources.schemas import OPTION
 
@@ -82,7 +82,8 @@ def book_b_grammar() -> Grammar:
 
 def lines_of(pages: DataFrame) -> DataFrame:
     """(doc_id, page_index, element_index, element, last_page): a row per element, and one for a page without, so that no page is lost."""
-    rows = pages.select("doc_id", "page_index", F.posexplode_outer("elements").alias("element_index", "element"))
+    elements = F.arrays_zip(F.col("elements").alias("element"), F.col("sides").alias("annotation")) if "sides" in pages.columns else F.transform("elements", lambda e: F.struct(e.alias("element")))
+    rows = pages.select("doc_id", "page_index", F.posexplode_outer(elements).alias("element_index", "z")).select("doc_id", "page_index", "element_index", "z.*")
     return rows.withColumn("last_page", F.max("page_index").over(Window.partitionBy("doc_id")))
 
 
@@ -139,14 +140,14 @@ def problems_of_lines(lines: DataFrame, grammar: Grammar) -> DataFrame:
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: x["text"]), "")
 
     def latest(xs: Column) -> Column:
-        return F.filter(xs, lambda x: x["run"] == F.array_max(F.transform(xs, lambda y: y["run"])))
+        return bind(xs, lambda v: bind(F.array_max(F.transform(v, lambda y: y["run"])), lambda last: F.filter(v, lambda x: x["run"] == last)))
 
     def options_of(xs: Column) -> Column:
         return F.transform(F.array_distinct(F.transform(xs, lambda x: x["label"])), lambda k: F.struct(k.alias("label"), joined(latest(F.filter(xs, lambda x: x["label"] == k))).alias("text")))
 
     seq = Window.partitionBy("doc_id").orderBy("problem_seq")
     return whole.select(
-        "doc_id", "problem_seq", "number", joined(of("question")).alias("question"), joined(latest(of("answer"))).alias("answer"), F.transform(F.array(of("option")), options_of)[0].cast(f"array<{OPTION}>").alias("options"),
+        "doc_id", "problem_seq", "number", joined(of("question")).alias("question"), joined(latest(of("answer"))).alias("answer"), bind(of("option"), options_of).cast(f"array<{OPTION}>").alias("options"),
         joined(latest(of("analysis"))).alias("analysis"), "header_page", F.coalesce(F.lead("header_page").over(seq), "last_page").alias("completed_page"),
     )
 
@@ -155,19 +156,19 @@ def top_y(e: Column) -> Column:
     return F.array_min(F.transform(e["bbox"], lambda p: p["y"]))
 
 
-def with_columns_split(lines: DataFrame) -> DataFrame:
-    """Lines with annotation: whether the element stands in its page's annotation column.
+def annotation_sides(elements: Column) -> Column:
+    """For each element of a page whether it stands in the page's annotation column, as an array.
 
     Only pages with an annotation marker have one: of the two columns by x the one with more markers, the left one if as many.
     """
-    page = Window.partitionBy("doc_id", "page_index")
-    ordered = page.orderBy("element_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marked = F.col("element")["content"].contains(BOOK_A_ANNOTATION)
-    rows = lines.withColumn("marks", F.max(F.coalesce(marked, F.lit(False))).over(page))
-    xs = F.collect_list(F.coalesce(F.get(F.col("element")["bbox"], F.lit(0))["x"], F.lit(float("nan")))).over(ordered)
-    rows = rows.withColumn("side", F.when(F.col("marks"), F.get(column_of(xs), F.col("element_index"))))
-    left, right = (F.sum((marked & (F.col("side") == k)).cast("int")).over(page) for k in (0, 1))
-    return rows.withColumn("annotation", F.coalesce(F.col("side") == F.when(left >= right, 0).otherwise(1), F.lit(False))).drop("marks", "side")
+    marked = F.transform(elements, lambda e: F.coalesce(e["content"].contains(BOOK_A_ANNOTATION), F.lit(False)))
+    first_x = F.transform(elements, lambda e: F.coalesce(F.get(e["bbox"], F.lit(0))["x"], F.lit(float("nan"))))
+
+    def flags(sides: Column) -> Column:
+        on = lambda k: F.size(F.filter(F.zip_with(sides, marked, lambda s, m: (s == k) & m), lambda x: x))
+        return bind(F.when(on(0) >= on(1), 0).otherwise(1), lambda column: F.transform(sides, lambda s: s == column))
+
+    return F.when(F.exists(marked, lambda m: m), bind(column_of(first_x), flags)).otherwise(F.transform(elements, lambda e: F.lit(False)))
 
 
 def annotations(lines: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def first_range_join(points: DataFrame, ranges: DataFrame, keys: list[str], at:
 def extract_book_a(pages: DataFrame) -> DataFrame:
     """Problems of the first book's layout: body lines by the grammar, and notes of the annotation column added to the problem beside which they begin."""
     grammar = book_a_grammar()
-    lines = with_columns_split(lines_of(pages).where("element IS NOT NULL"))
+    lines = lines_of(pages.withColumn("sides", annotation_sides(F.col("elements")))).where("element IS NOT NULL")
     body = lines.where("NOT annotation").withColumn("line", grammar.clean(F.col("element")["content"]))
     problems = problems_of_lines(body, grammar)
     order = Window.partitionBy("doc_id").orderBy("page_index", "element_index")

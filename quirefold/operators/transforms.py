@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import circled_numbers, fullwidth_to_halfwidth, is_blank, split_lines
+from quirefold.functions.text import bind, circled_numbers, fullwidth_to_halfwidth, is_blank, split_lines
 from quirefold.sources.schemas import ELEMENT
 
 Transform = Callable[[Column], Column]
-FOLD_ROUNDS = 100
+FOLD_ROUNDS, FEW_ROUNDS = 100, 4
 
 
 def pipeline(*transforms: Transform) -> Transform:
@@ -124,21 +124,29 @@ def merge_collinear(min_vertical_overlap: float = 0.8, max_horizontal_gap_ratio:
 def column_of(xs: Column) -> Column:
     """For an array of doubles, 0 (left) or 1 (right) each, by 2-means from the least and the greatest; ties go left, all-equal values are left.
 
-    A settled state stays as it is in further rounds, so a fixed number of rounds gives the settled one.
+    A settled state stays as it is in further rounds, so the few rounds that most pages need are followed by the rest only where they don't settle it.
     """
-    side = lambda c: F.transform(xs, lambda x: (F.abs(x - c["l"]) > F.abs(x - c["r"])).cast("int"))
 
-    def mean(values: Column, other: Column) -> Column:
-        return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)).otherwise(other)
+    def round_(c: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("sl"), F.lit(0).alias("nl"), F.lit(0.0).alias("sr"), F.lit(0).alias("nr"))
 
-    def round_(c: Column, _: Column) -> Column:
-        left = F.filter(xs, lambda x: F.abs(x - c["l"]) <= F.abs(x - c["r"]))
-        right = F.filter(xs, lambda x: F.abs(x - c["l"]) > F.abs(x - c["r"]))
-        return F.struct(mean(left, c["l"]).alias("l"), mean(right, c["r"]).alias("r"))
+        def add(a: Column, x: Column) -> Column:
+            left = F.abs(x - c["l"]) <= F.abs(x - c["r"])
+            more = lambda on, field, by: F.when(on, a[field] + by).otherwise(a[field]).alias(field)
+            return F.struct(more(left, "sl", x), more(left, "nl", 1), more(~left, "sr", x), more(~left, "nr", 1))
+
+        mean = lambda a, s, n, old: F.when(a[n] > 0, a[s] / a[n]).otherwise(c[old]).alias(old)
+        return F.aggregate(xs, zero, add, lambda a: F.struct(mean(a, "sl", "nl", "l"), mean(a, "sr", "nr", "r")))
+
+    def rounds(c: Column, n: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(n)), c, lambda state, _: round_(state))
+
+    def settled(c: Column) -> Column:
+        return F.when(round_(c) == c, c).otherwise(rounds(c, FOLD_ROUNDS - FEW_ROUNDS))
 
     ends = F.struct(F.array_min(xs).alias("l"), F.array_max(xs).alias("r"))
-    settled = F.aggregate(F.sequence(F.lit(1), F.lit(FOLD_ROUNDS)), ends, round_)
-    return F.when(F.size(xs) == 0, F.array().cast("array<int>")).when(F.array_min(xs) == F.array_max(xs), F.transform(xs, lambda x: F.lit(0))).otherwise(F.transform(F.array(settled), side)[0])
+    sides = bind(bind(rounds(ends, FEW_ROUNDS), settled), lambda c: F.transform(xs, lambda x: (F.abs(x - c["l"]) > F.abs(x - c["r"])).cast("int")))
+    return F.when(F.size(xs) == 0, F.array().cast("array<int>")).when(F.array_min(xs) == F.array_max(xs), F.transform(xs, lambda x: F.lit(0))).otherwise(sides)
 
 
 def two_columns(elements: Column) -> Column:

@@ -82,8 +82,9 @@ def carry_forward_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, sf_dir: str, grammar: ex.Grammar = GENERAL) -> DataFrame:
-    pages = ad.book_pages(spark, sf_dir)
-    return ev.evaluate(pages, ex.extract(pages, grammar))
+    """Pages are kept for all candidates and problems for all metrics, which read them more than once."""
+    pages = ad.book_pages(spark, sf_dir).persist()
+    return ev.evaluate(pages, ex.extract(pages, grammar).persist())
 
 
 def metric(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
