@@ -39,4 +39,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM e JOIN r ON e.source IS NOT DISTINCT FROM r.source
 """
 
-ORACLES = {"op1_mix_sources": OP1, "op5_quality_rules": OP5}
+OP7 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT rid, i, md5(list_aggregate(w[i:i+34], 'string_agg', ' ')) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+q AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS n FROM p) WHERE n > 1),
+c AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS j FROM q),
+x AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+k AS (SELECT x.rid, count(c.j) AS n_removed, string_agg(word, ' ' ORDER BY x.j) FILTER (c.j IS NULL) AS kept FROM x LEFT JOIN c ON x.rid = c.rid AND x.j = c.j GROUP BY x.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
+
+ORACLES = {"op1_mix_sources": OP1, "op5_quality_rules": OP5, "op7_repeated_phrases": OP7}
