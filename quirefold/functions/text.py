@@ -65,8 +65,8 @@ def _folds() -> tuple[dict[str, str], dict[str, str]]:
 def casefold(c: Column) -> Column:
     """As str.casefold(). The hundred or so characters that fold to several are replaced only in texts that have one."""
     one, several = _folds()
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in several.items()])
-    spread = F.aggregate(pairs, c, lambda x, p: F.replace(x, p["k"], p["v"]))
+    pairs = F.split(F.lit("|".join(k + v for k, v in several.items())), "[|]")
+    spread = F.aggregate(pairs, c, lambda x, p: F.replace(x, F.substring(p, 1, 1), F.substring(p, 2, 9)))
     c = F.when(c.rlike("[" + "".join(several) + "]"), spread).otherwise(c)
     return F.lower(F.translate(c, "".join(one), "".join(one.values())))
 
