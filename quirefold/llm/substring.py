@@ -198,18 +198,25 @@ def _left(words: list[bytes], gone: np.ndarray) -> bytes:
     return b" ".join([w for a, b in zip(edge[::2], edge[1::2], strict=True) for w in words[a:b]])
 
 
-def _locate_shard(texts: pa.Table, phrases: pa.Table) -> pa.Table:
+def _locate_shard(texts: pa.Table, windows: pa.Table) -> pa.Table:
     """One shard: its automaton is compiled from the confirmed phrases that its texts hold, and all its texts run through it."""
-    own = {(k1, k2): raw.split() for k1, k2, raw in zip(*(texts.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True)}
-    refs = sorted({((k1, k2), s, n) for k1, k2, s, n in zip(*(phrases.column(c).to_pylist() for c in ("k1", "k2", "s", "n")), strict=True)})
-    joined: list[list] = []
-    for k, s, n in refs:  # windows in a row make one phrase
-        if n == 1 and joined and joined[-1][3] and joined[-1][0] == k and joined[-1][1] + joined[-1][2] == s:
-            joined[-1][2] += 1
-        else:
-            joined.append([k, s, n, n == 1])
+    own: dict[tuple, list[bytes]] = {}
+    held: dict[tuple, list] = {}
+    for k1, k2, raw, ranges in zip(*(texts.column(c).to_pylist() for c in ("k1", "k2", "text", "own")), strict=True):
+        own[k1, k2] = raw.split()
+        held[k1, k2] = [(x["s"], x["n"]) for x in ranges]
+    for k1, k2, start in zip(*(windows.column(c).to_pylist() for c in ("k1", "k2", "start")), strict=True):
+        held[k1, k2].append((start, 1))
+    runs: list[list] = []
+    for k, ranges in held.items():  # ranges in a row make one phrase
+        runs.append([k, -1, 0])
+        for s, n in sorted(set(ranges)):
+            if runs[-1][1] + runs[-1][2] == s:
+                runs[-1][2] += n
+            else:
+                runs.append([k, s, n])
     rows = []
-    for (k1, k2), gone in locate(own, [(k, s, n) for k, s, n, _ in joined if k in own]).items():
+    for (k1, k2), gone in locate(own, [(k, s, n) for k, s, n in runs if n]).items():
         rows.append((k1, k2, int(gone.sum()), hashlib.sha256(_left(own[k1, k2], gone)).hexdigest()))
     k1, k2, n, sha = zip(*rows, strict=True) if rows else ((),) * 4
     return pa.table({"k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "n_removed": pa.array(n, pa.int64()), "kept": pa.array(sha, pa.string())})
@@ -220,8 +227,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Confirming: runs of windows are counted by their anchor and by a hash of all their words. Of an anchor seen in
     more than one way, the windows are counted one by one. Locating: texts that hold confirmed phrases are dealt, each text
-    once however many copies it has, to shards of about SHARD_BYTES; a shard's automaton holds each phrase that its texts
-    have once. Documents that share no anchor with any other hold no phrase. Null and short texts lose nothing. Hashes of
+    once however many copies it has, to shards of about SHARD_BYTES; a phrase is a run of ranges that are confirmed, and a
+    shard's automaton holds the phrases of its texts. Documents that share no anchor with any other hold no phrase. Null and short texts lose nothing. Hashes of
     128 bits tell phrases and texts apart; what the automata find is exact. Counts are taken map-side; keys
     that many rows share (anchors of common lines, copies) meet only in joins whose hot side Spark splits.
     """
@@ -233,17 +240,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kinds = cut(kinds.join(anchors, "m").select("m", "c", (F.col("seen") > 1).alias("sure"), (F.col("ways") > 1).alias("several")))
     open_ranges = ranges.join(kinds, ["m", "c"]).groupBy("k1", "k2", "s").agg(*[F.first(x).alias(x) for x in ("n", "m", "c", "sure", "several")], F.min("doc_id").alias("doc_id"))
     open_ranges = cut(open_ranges)
-    holders = open_ranges.groupBy("k1", "k2").agg(F.min("doc_id").alias("_doc"), F.collect_list(F.when(F.col("several"), F.struct("s", "n", "m", "sure"))).alias("r"))
+    holders = open_ranges.groupBy("k1", "k2").agg(F.min("doc_id").alias("_doc"), F.collect_list(F.when(F.col("several"), F.struct("s", "n", "m", "sure"))).alias("r"), F.collect_list(F.when(F.col("sure"), F.struct("s", "n"))).alias("own"))
     holders = holders.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
     texts = docs.select(F.col(key).cast("long").alias("_id"), raw.alias("text")).select("_id", "text", *key_columns(F.col("text")))
-    texts = cut(texts.join(holders, (texts["k1"] == holders["_k1"]) & (texts["k2"] == holders["_k2"]) & texts["_id"].eqNullSafe(holders["_doc"])).select("k1", "k2", "text", "r"))
-    windows = cut(texts.where(F.size("r") > 0).mapInArrow(_windows, "k1 long, k2 long, start int, m long, w long, sure boolean"))
+    texts = cut(texts.join(holders, (texts["k1"] == holders["_k1"]) & (texts["k2"] == holders["_k2"]) & texts["_id"].eqNullSafe(holders["_doc"])).select("k1", "k2", "text", "r", "own"))
+    windows = cut(texts.where(F.size("r") > 0).select("k1", "k2", "text", "r").mapInArrow(_windows, "k1 long, k2 long, start int, m long, w long, sure boolean"))
     recurring = windows.groupBy("m", "w").agg(F.count("*").alias("seen")).where(F.col("seen") > 1).drop("seen")
-    confirmed = windows.where(~F.col("sure")).join(recurring, ["m", "w"]).select("k1", "k2", F.col("start").alias("s"), F.lit(1).alias("n"))
+    confirmed = windows.where(~F.col("sure")).join(recurring, ["m", "w"]).select("k1", "k2", "start")
     shards = max(LEAST_SHARDS, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("k1", "k2"), F.lit(shards)).alias("shard")
-    phrases = open_ranges.where("sure").groupBy(shard, "m", "c").agg(F.min(F.struct("k1", "k2", "s", "n")).alias("p")).select("shard", "p.*")
-    phrases = phrases.union(confirmed.select(shard, "k1", "k2", "s", "n"))
-    located = texts.select("k1", "k2", "text", shard).groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_locate_shard, "k1 long, k2 long, n_removed long, kept string")
+    located = texts.select("k1", "k2", "text", "own", shard).groupBy("shard").cogroup(confirmed.select("*", shard).groupBy("shard")).applyInArrow(_locate_shard, "k1 long, k2 long, n_removed long, kept string")
     located = cut(located)
     return scanned.join(located, ["k1", "k2"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
