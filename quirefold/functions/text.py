@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cache, reduce
 
 from pyspark.sql import Column
@@ -62,13 +62,20 @@ def _folds() -> tuple[dict[str, str], dict[str, str]]:
     return {k: v for k, v in odd.items() if len(v) == 1}, {k: v for k, v in odd.items() if len(v) > 1}
 
 
+def _may_have(chars: Iterable[str]) -> str:
+    """A class of those of the characters that are Latin letters, and of all from the first other one on: few tests a character."""
+    low = [c for c in chars if c < "\u0130"]
+    return "[" + "".join(low) + min(c for c in chars if c >= "\u0130") + r"-\x{10FFFF}]"
+
+
 def casefold(c: Column) -> Column:
-    """As str.casefold(). The hundred or so characters that fold to several are replaced only in texts that have one."""
+    """As str.casefold(). The hundred or so characters that fold to several are replaced only in texts that may have one, and so are those that fold to one."""
     one, several = _folds()
     pairs = F.split(F.lit("|".join(k + v for k, v in several.items())), "[|]")
-    spread = F.aggregate(pairs, c, lambda x, p: F.replace(x, F.substring(p, 1, 1), F.substring(p, 2, 9)))
-    c = F.when(c.rlike("[" + "".join(several) + "]"), spread).otherwise(c)
-    return F.lower(F.translate(c, "".join(one), "".join(one.values())))
+    spread = lambda x: F.aggregate(pairs, x, lambda y, p: F.replace(y, F.substring(p, 1, 1), F.substring(p, 2, 9)))
+    when = lambda x, keys, done: F.when(x.rlike(_may_have(keys)), done(x)).otherwise(x)
+    c = bind(c, lambda x: when(x, several, spread))
+    return F.lower(bind(c, lambda x: when(x, one, lambda y: F.translate(y, "".join(one), "".join(one.values())))))
 
 
 def normalized(c: Column) -> Column:

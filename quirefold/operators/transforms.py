@@ -58,17 +58,20 @@ def split_multiline(labels: tuple[str, ...] = ("text",), keep_empty: bool = Fals
     """An element for each line of elements of the labels, each with its share of the box's height; blank lines go but take their share."""
 
     def one(e: Column) -> Column:
-        lines = split_lines(e["content"])
-        box = bounds(e)
-        high = (box["y1"] - box["y0"]) / F.size(lines)
+        def parts(b: Column) -> Column:
+            box, n = b["box"], F.size(b["lines"])
+            high = (box["y1"] - box["y0"]) / n
 
-        def line(text: Column, i: Column) -> Column:
-            part = rectangle(box["x0"], box["y0"] + high * i, box["x1"], box["y0"] + high * (i + 1))
-            return F.struct(F.when(box.isNull(), e["bbox"]).otherwise(part).alias("bbox"), e["label"].alias("label"), text.alias("content"))
+            def line(text: Column, i: Column) -> Column:
+                part = rectangle(box["x0"], box["y0"] + high * i, box["x1"], box["y0"] + high * (i + 1))
+                return F.struct(F.when(box.isNull(), e["bbox"]).otherwise(part).alias("bbox"), e["label"].alias("label"), text.alias("content"))
 
-        parts = F.transform(lines, line)
-        parts = parts if keep_empty else F.filter(parts, lambda x: ~is_blank(x["content"]))
-        return F.when(e["label"].isin(*labels) & (F.size(lines) > 1), parts).otherwise(F.array(e))
+            made = F.transform(b["lines"], line)
+            made = made if keep_empty else F.filter(made, lambda x: ~is_blank(x["content"]))
+            return F.when(n > 1, made).otherwise(F.array(e))
+
+        split = bind(F.struct(split_lines(e["content"]).alias("lines"), bounds(e).alias("box")), parts)
+        return F.when(e["label"].isin(*labels), split).otherwise(F.array(e))
 
     return lambda elements: F.flatten(F.transform(elements, one))
 
