@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import decontaminate, mixing, quality_rules, sharding, simhash
+from quirefold.llm import decontaminate, mixing, quality_rules, sharding, similar
 from quirefold.llm.common import cut
 
-#: None: SimHash components are not expressible in SQL.
+#: None: components of near copies are not expressible in SQL.
 ORACLE_SQL = None
 
 
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_first(docs)
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    return similar.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

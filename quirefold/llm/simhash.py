@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -164,10 +164,13 @@ def _union(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """(fp, root, component_id) for prints (doc_id, fp): root is a fingerprint that stands for the component, component_id its smallest doc_id."""
+def classes(prints: DataFrame, linked: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """(fp, root, component_id) for prints (doc_id, fp): root is a fingerprint that stands for the component, component_id its smallest doc_id.
+
+    linked gives links (a, b) between the fingerprints of a table (fp).
+    """
     each = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(each.select("fp")))
+    found = components(linked(each.select("fp")))
     rooted = each.join(found, each["fp"] == found["node"], "left").select("fp", "first", F.col("node").isNotNull().alias("linked"), F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
     least = rooted.where("linked").groupBy("root").agg(F.min("first").alias("least"))
@@ -186,19 +189,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, with the columns of docs: that of the smallest key.
+    """One document of each component, with the columns of docs: that of the smallest key."""
+    prints = cut(docs.select(F.col(key).alias("doc_id"), fingerprint_of(F.col(text)).alias("fp")))
+    return first_of(docs, prints, classes(prints), fingerprint_of, key, text)
+
+
+def first_of(docs: DataFrame, prints: DataFrame, classed: DataFrame, print_of: Callable[[Column], Column], key: str, text: str) -> DataFrame:
+    """The documents whose component, by classed (fp, root, component_id), has no smaller key; prints (doc_id, fp) are theirs by print_of.
 
     Documents of other keys are taken out by an anti join that hashes the keys to be dropped and sorts no texts. Rows that share a
     key, or have none, are told apart by their fingerprints, and one row stays of those that are first in their component.
     """
-    prints = cut(docs.select(F.col(key).alias("doc_id"), fingerprint_of(F.col(text)).alias("fp")))
-    classed = classes(prints)
     shared = cut(prints.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_key")))
     out = cut(prints.join(classed, "fp").where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_key")).union(shared.where("_key IS NOT NULL")).distinct())
     kept = docs.where(docs[key].isNotNull()).join(out.hint("shuffle_hash"), docs[key] == out["_key"], "left_anti")
     if shared.isEmpty():
         return kept
-    again = docs.join(shared, docs[key].eqNullSafe(shared["_key"]), "left_semi").withColumn("_fp", fingerprint_of(F.col(text)))
+    again = docs.join(shared, docs[key].eqNullSafe(shared["_key"]), "left_semi").withColumn("_fp", print_of(F.col(text)))
     classed = classed.withColumnsRenamed({c: f"_class_{c}" for c in classed.columns})
     again = again.join(classed, again["_fp"] == classed["_class_fp"]).where(F.col(key).eqNullSafe(F.col("_class_component_id")))
     return kept.union(again.dropDuplicates(["_class_root"]).select(*docs.columns))
