@@ -46,21 +46,41 @@ def _block_max(items: list[int], weights: list[float], block: int) -> dict[int,
     return out
 
 
+class Figures:
+    """What BM25 weights and passages are made from: the number of items with words, in how many a word is, all their words and the longest item's."""
+
+    def __init__(self) -> None:
+        self.items, self.df, self.words, self.longest = 0, Counter(), 0, 0
+
+    def add(self, words: list[str]) -> None:
+        if words:
+            self.items += 1
+            self.df.update(set(words))
+            self.words += len(words)
+            self.longest = max(self.longest, len(words))
+
+
 class Index:
-    """An inverted index of items. Weights are BM25 as shares of the item's score for its own text, so one threshold fits all."""
+    """An inverted index of items. Weights are BM25 as shares of the item's score for its own text, so one threshold fits all.
+
+    Where the items are a part of a table, whole has the figures of all, so that scores and passages don't depend on the part.
+    """
 
-    def __init__(self, items: list[tuple[int, str | None]], score: float = SCORE, overlap: float = OVERLAP) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], score: float = SCORE, overlap: float = OVERLAP, whole: Figures | None = None) -> None:
         self.score, self.overlap = score, overlap
         kept = [(i, t, w) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0], x[1] or "")) if (w := tokens((t or "").lower()))]
         self.items = [i for i, _, _ in kept]
         self.parts = [question_answer(t) for _, t, _ in kept]
-        self.stride = max([LEAST_STRIDE, *(len(w) for _, _, w in kept)])
-        df = Counter(w for _, _, words in kept for w in set(words))
-        mean = sum(len(w) for _, _, w in kept) / max(1, len(kept))
-        self.terms = {w: k for k, w in enumerate(sorted(df))}
+        if whole is None:
+            whole = Figures()
+            for _, _, words in kept:
+                whole.add(words)
+        self.stride = max(LEAST_STRIDE, whole.longest)
+        df, mean = whole.df, whole.words / max(1, whole.items)
+        self.terms = {w: k for k, w in enumerate(sorted({w for _, _, words in kept for w in words}))}
         self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.terms]
         for at, (_, _, words) in enumerate(kept):
-            own = {w: np.log(1 + (len(kept) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean)) for w, n in Counter(words).items()}
+            own = {w: np.log(1 + (whole.items - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean)) for w, n in Counter(words).items()}
             total = sum(own.values())
             for w, x in own.items():
                 self.postings[self.terms[w]][0].append(at)
@@ -160,11 +180,16 @@ class Index:
 
 
 def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list:
-    """Indexes of all items, each of about INDEX_ITEMS at most, dealt by hash, as broadcast variables."""
+    """Indexes of all items, each of about INDEX_ITEMS at most, dealt by hash, as broadcast variables. All have the figures of the whole table."""
     spark = items.sparkSession
     shards = max(1, -(-items.count() // INDEX_ITEMS))
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards)))
-    return [spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in rows.where(F.col("shard") == k).collect()])) for k in range(shards)]
+    part = lambda k: [(r["i"], r["t"]) for r in rows.where(F.col("shard") == k).collect()]
+    whole = Figures() if shards > 1 else None
+    for k in range(shards if whole else 0):
+        for _, t in part(k):
+            whole.add(tokens((t or "").lower()))
+    return [spark.sparkContext.broadcast(Index(part(k), whole=whole)) for k in range(shards)]
 
 
 def hits(text: Column, index) -> Column:
