@@ -12,7 +12,7 @@ from quirefold.llm.common import LOWER, UPPER, cut, small
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Labelled URLs that rules are mined from, at most about so many, drawn by hash.
 TRAIN_URLS = 50_000
-SUPPORT, CONFIDENCE, LONGEST = 0.002, 0.9, 4
+SUPPORT, CONFIDENCE = 0.002, 0.9
 BLOCK = "=block"
 
 
@@ -43,7 +43,7 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(names(host, "[.]", "."), names(path, "/", "/"), keys))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (antecedent: array of tokens, confidence, support) whose consequent is block, from labelled (url, blocked).
 
     A rule is left out if one with part of its tokens is as sure. No labelled rows or none blocked, no rules.
@@ -55,7 +55,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     if baskets.isEmpty():
         return spark.createDataFrame([], kind)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where((F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= longest))
+    found = model.associationRules.where(F.col("consequent")[0] == BLOCK)
     found = cut(found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
     part = found.select(F.col("antecedent").alias("_a"), F.col("confidence").alias("_c"), F.explode("antecedent").alias("_t"))
     sure = found.select("antecedent", "confidence", F.explode("antecedent").alias("_t"))

@@ -1,0 +1,18 @@
+"""Mined rules of many tokens."""
+
+from __future__ import annotations
+
+from quirefold.llm import url_rules
+
+
+def test_tokens_that_are_sure_only_together(spark):
+    parts = ["pa", "pb", "pc", "pd", "pe"]
+    urls = [("http://site.net/" + "/".join(parts), True)] * 40
+    for k in range(5):
+        urls += [("http://site.net/" + "/".join(parts[:k] + parts[k + 1 :]), False)] * 40
+    rules = url_rules.mine(spark.createDataFrame(urls, "url string, blocked boolean")).collect()
+    assert [r.antecedent for r in rules] == [[f"/{p}" for p in parts]] and rules[0].confidence == 1
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if b else 1, 0) for i, (_, b) in enumerate(urls) if i % 2], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, labels).collect()}
+    assert got == {i: "block" if b else "allow" for i, (_, b) in enumerate(urls)}
