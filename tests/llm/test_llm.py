@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, decontaminate, graph, mixing, pii, quality_rules, sharding, simhash, substring, toxicity, url_rules
+from quirefold.llm import decontaminate, graph, mixing, pii, quality_rules, sharding, simhash, substring, toxicity, url_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, root string, fp string, shard int"
 
@@ -357,45 +357,3 @@ def test_cuts_are_in_order_and_weights_shared():
     model = toxicity.fit([([1, 2], 0)] * 50 + [([2, 3], 1)] * 20 + [([3, 4], 2)] * 20)
     assert model.cuts == sorted(model.cuts) and set(model.weights) <= {1, 2, 3, 4} and model.weights[4] > 0
     assert toxicity.fit([]).weights == {}
-
-
-def brute_roles(model: chat.Model, turns: list) -> list[int]:
-    emit = model.emission(*(np.array([getattr(t, c) for t in turns], np.int64) for c in ("marker", "length", "question", "several")))
-    return [int(x) for x in chat.viterbi(model.first, np.broadcast_to(model.after, (len(turns), 3, 3)), emit)]
-
-
-@pytest.mark.parametrize("block", [512, 4, 1])
-def test_roles_in_blocks_are_those_of_the_whole(spark, monkeypatch, block):
-    rng = random.Random(12)
-    rows = []
-    for c in range(30):
-        for t in range(rng.randrange(1, 40)):
-            role = ("user", "assistant")[t % 2]
-            rows.append((c, t, rng.choice([role, role, role, role.upper(), "Human" if t % 2 == 0 else "GPT", None, "??"]), " ".join("w" for _ in range(rng.randrange(1, 6 if t % 2 == 0 else 60))) + "?" * (t % 2 == 0)))
-    rows += [(5, 0, "user", "tie"), (5, 0, "user", "tie"), (None, 1, "user", "x"), (6, None, None, None), (7, 3, None, "Assistant: said")]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    monkeypatch.setattr(chat, "BLOCK", block)
-    turns = chat.turns_of(table).collect()
-    model = chat.fit(chat.turns_of(table))
-    want = Counter()
-    for c in {t.conv_id for t in turns}:
-        mine = sorted((t for t in turns if t.conv_id == c), key=lambda t: (t.turn is None, t.turn or 0, t.said, t.marker))
-        for t, r in zip(mine, brute_roles(model, mine), strict=True):
-            want[c, t.turn, chat.ROLES[r], chat.render(chat.ROLES[r], t.said)] += 1
-    assert Counter(map(tuple, chat.recover(table).collect())) == want
-    assert chat.recover(table.limit(0)).collect() == []
-
-
-def test_unmarked_turns_get_roles(spark):
-    rows = [(c, t, None if (c + t) % 5 == 0 else ("user", "assistant")[t % 2], "why?" if t % 2 == 0 else "because " * 30) for c in range(50) for t in range(6)]
-    got = chat.recover(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert all(r.role == ("user", "assistant")[r.turn % 2] for r in got) and len(got) == 300
-
-
-def test_transcripts(spark):
-    rows = [(c, t, ("user", "assistant")[t % 2], "why?" if t % 2 == 0 else "because " * 30) for c in range(50) for t in range(6)]
-    model = chat.fit(chat.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
-    text = "User: how?\nand why?\n\nAI: so and so.\nMore of it.\nHuman: ok\n### Response:\nbye"
-    assert chat.parse_transcript(text, model) == [("user", "how?\nand why?"), ("assistant", "so and so.\nMore of it."), ("user", "ok"), ("assistant", "bye")]
-    got = chat.parse_transcripts(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), model).collect()
-    assert [(r.doc_id, r.turn, r.role) for r in got] == [(1, 0, "user"), (1, 1, "assistant"), (1, 2, "user"), (1, 3, "assistant")]
