@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from quirefold.llm.common import cut
+
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach, and of its question's 5-word shingles and answer's words that it must hold.
 SCORE, OVERLAP, SHINGLE = 0.6, 0.8, 5
-#: Items in one index, which is what a task holds in memory; more items are searched index by index.
-INDEX_ITEMS, BLOCKS, LEAST_STRIDE, SLACK = 20_000, 256, 64, 0.15
+#: Items in one index, and bytes of their texts, which is what a task holds in memory; more items are searched index by index.
+INDEX_ITEMS, INDEX_BYTES = 20_000, 8_000_000
+BLOCKS, LEAST_STRIDE, SLACK = 256, 64, 0.15
 
 HITS = ArrayType(StructType([StructField("item_id", LongType()), StructField("score", DoubleType()), StructField("question_overlap", DoubleType()), StructField("answer_overlap", DoubleType())]))
 
@@ -46,36 +51,51 @@ def _block_max(items: list[int], weights: list[float], block: int) -> dict[int,
     return out
 
 
+@dataclass
 class Figures:
-    """What BM25 weights and passages are made from: the number of items with words, in how many a word is, all their words and the longest item's."""
+    """What BM25 weights are made from: the number of items with words, all their words, and in how many items a word is."""
 
-    def __init__(self) -> None:
-        self.items, self.df, self.words, self.longest = 0, Counter(), 0, 0
+    items: int
+    words: int
+    df: Mapping[str, int]
 
-    def add(self, words: list[str]) -> None:
-        if words:
-            self.items += 1
-            self.df.update(set(words))
-            self.words += len(words)
-            self.longest = max(self.longest, len(words))
 
+def figures_of(texts: list[list[str]]) -> Figures:
+    return Figures(sum(map(bool, texts)), sum(map(len, texts)), Counter(w for x in texts for w in set(x)))
 
-class Index:
-    """An inverted index of items. Weights are BM25 as shares of the item's score for its own text, so one threshold fits all.
 
-    Where the items are a part of a table, whole has the figures of all, so that scores and passages don't depend on the part.
-    """
+def stride_of(n: int) -> int:
+    """The words between the passages in which an item of n words is looked for: a power of two that is not below n."""
+    return max(LEAST_STRIDE, 1 << (n - 1).bit_length())
+
+
+class Index:
+    """Items by the stride of their passages, so that how an item is looked for depends on its own length and on no other item's."""
 
     def __init__(self, items: list[tuple[int, str | None]], score: float = SCORE, overlap: float = OVERLAP, whole: Figures | None = None) -> None:
-        self.score, self.overlap = score, overlap
         kept = [(i, t, w) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0], x[1] or "")) if (w := tokens((t or "").lower()))]
+        whole = whole or figures_of([w for _, _, w in kept])
+        by: dict[int, list] = {}
+        for item in kept:
+            by.setdefault(stride_of(len(item[2])), []).append(item)
+        self.classes = [Class(by[stride], stride, score, overlap, whole) for stride in sorted(by)]
+
+    def search(self, text: str) -> list[dict]:
+        """The items that the text holds, with their overlaps."""
+        words = tokens(text.lower())
+        return [hit for c in self.classes for hit in c.search(words)] if words else []
+
+
+class Class:
+    """An inverted index of items that are looked for in passages of one size. Weights are BM25 as shares of the item's score for its own text, so one threshold fits all.
+
+    whole has the figures of all items, so that scores don't depend on which of them are here.
+    """
+
+    def __init__(self, kept: list[tuple[int, str, list[str]]], stride: int, score: float, overlap: float, whole: Figures) -> None:
+        self.score, self.overlap, self.stride = score, overlap, stride
         self.items = [i for i, _, _ in kept]
         self.parts = [question_answer(t) for _, t, _ in kept]
-        if whole is None:
-            whole = Figures()
-            for _, _, words in kept:
-                whole.add(words)
-        self.stride = max(LEAST_STRIDE, whole.longest)
         df, mean = whole.df, whole.words / max(1, whole.items)
         self.terms = {w: k for k, w in enumerate(sorted({w for _, _, words in kept for w in words}))}
         self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.terms]
@@ -105,7 +125,7 @@ class Index:
 
     def passages(self, ids: np.ndarray) -> list[int]:
         """Starts of the passages whose bound reaches the threshold in some block. A passage is two strides long, and one starts at every stride."""
-        out, step = [], 2048 * self.stride
+        out, step = [], self.stride * max(1, 131_072 // self.stride)
         for a in range(0, len(ids), step):
             part = ids[a : a + step + self.stride]
             at = np.flatnonzero(self.essential[part])
@@ -158,11 +178,8 @@ class Index:
                 for c in cursors[:pivot]:
                     seek(c, item)
 
-    def search(self, text: str) -> list[dict]:
-        """The items that the text holds, best score first found in any of its passages, with their overlaps."""
-        words = tokens(text.lower())
-        if not words or not self.items:
-            return []
+    def search(self, words: list[str]) -> list[dict]:
+        """The items that a text holds, with the score of the best of its passages and the overlaps there."""
         ids = np.fromiter((self.terms.get(w, len(self.terms)) for w in words), np.int64, len(words))
         best: dict[int, dict] = {}
         for at in self.passages(ids):
@@ -179,17 +196,28 @@ class Index:
         return [best[k] for k in sorted(best)]
 
 
+def _tokens(texts: pa.Array) -> pa.Array:
+    return pa.array([tokens((x.as_py() or "").lower()) for x in texts], pa.list_(pa.string()))
+
+
 def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list:
-    """Indexes of all items, each of about INDEX_ITEMS at most, dealt by hash, as broadcast variables. All have the figures of the whole table."""
+    """Indexes of all items, each of at most about INDEX_ITEMS and INDEX_BYTES, dealt by hash, as broadcast variables.
+
+    All have the figures of the whole table: words are counted in Spark, and an index gets those of its own words. The
+    driver holds the items of one index at a time.
+    """
     spark = items.sparkSession
-    shards = max(1, -(-items.count() // INDEX_ITEMS))
-    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards)))
-    part = lambda k: [(r["i"], r["t"]) for r in rows.where(F.col("shard") == k).collect()]
-    whole = Figures() if shards > 1 else None
-    for k in range(shards if whole else 0):
-        for _, t in part(k):
-            whole.add(tokens((t or "").lower()))
-    return [spark.sparkContext.broadcast(Index(part(k), whole=whole)) for k in range(shards)]
+    rows = cut(items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t"), F.arrow_udf(_tokens, "array<string>")(F.col(text)).alias("w")))
+    total = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length("t")).alias("bytes"), F.sum((F.size("w") > 0).cast("long")).alias("items"), F.sum(F.size("w").cast("long")).alias("words")).first()
+    shards = max(1, -(-total["rows"] // INDEX_ITEMS), -(-(total["bytes"] or 0) // INDEX_BYTES))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards)))
+    seen = rows.select("shard", F.explode(F.array_distinct("w")).alias("word")).groupBy("shard", "word").agg(F.count("*").alias("n"))
+    df = cut(seen.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shards")))  # a word is listed once for each shard
+    out = []
+    for k in range(shards):
+        whole = Figures(total["items"] or 0, total["words"] or 0, {r["word"]: r["n"] for r in df.where(F.array_contains("shards", F.lit(k).cast("long"))).select("word", "n").collect()})
+        out.append(spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in rows.where(F.col("shard") == k).select("i", "t").collect()], whole=whole)))
+    return out
 
 
 def hits(text: Column, index) -> Column:
@@ -206,7 +234,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """A row for each document and test item that it holds: doc_id, item_id, score, question_overlap, answer_overlap.
 
     Every passage of every whole text is a query. Null and blank texts and items hold nothing; no items, no rows; repeated
-    documents and items are found each. Documents stay where they are; an index is bounded by INDEX_ITEMS, and further items make further indexes.
+    documents and items are found each. Keys and item ids are whole numbers. Documents stay where they are; an index is bounded by INDEX_ITEMS
+    and INDEX_BYTES, and further items make further indexes, which the documents are read for again.
     """
     out = None
     for index in indexes(items):

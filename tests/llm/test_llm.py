@@ -239,7 +239,7 @@ def items(n: int = 60) -> list[tuple[int, str | None]]:
 
 
 def test_wand_retrieves_all_above_the_threshold():
-    index = decontaminate.Index(items(), score=0.2)
+    (index,) = decontaminate.Index(items(), score=0.2).classes
     rng = random.Random(4)
     for _ in range(60):
         part = decontaminate.tokens(rng.choice(items()[:60])[1].lower()) + decontaminate.tokens(rng.choice(items()[:60])[1].lower())
@@ -270,7 +270,7 @@ def test_contaminated_documents_are_found(spark):
 
 
 def test_bounds_pass_over_no_passage():
-    index = decontaminate.Index(items())
+    (index,) = decontaminate.Index(items()).classes
     rng = random.Random(8)
     for _ in range(30):
         text = words(rng, 300, 5000) + " " + rng.choice(items()[:60])[1] + " " + words(rng, rng.randrange(300), 5000)
