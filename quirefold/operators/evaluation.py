@@ -55,14 +55,21 @@ def validity(question: Column, options: Column) -> Column:
     return _score((normalized(question) != "") | F.exists(options, lambda o: normalized(o["text"]) != ""))
 
 
-def text_coverage(pages: DataFrame, problems: DataFrame) -> DataFrame:
+def source_counts(pages: DataFrame) -> DataFrame:
+    """(doc_id, c, have): how often each document of pages has a character, and a row of none for each document. Texts are counted by character before they are exploded."""
+    none = F.array(F.struct(F.lit("").alias("c"), F.lit(0).cast("long").alias("n")))
+    texts = F.transform("elements", lambda e: normalized(e["content"]))
+    each = pages.select("doc_id", F.inline(F.concat(none, char_counts(F.array_join(texts, "")))))
+    return each.groupBy("doc_id", "c").agg(F.sum("n").alias("have"))
+
+
+def text_coverage(pages: DataFrame, problems: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_coverage) of every document of pages: the share of its characters, as a multiset, that its problems hold; 0 without characters.
 
-    Texts are counted by character before they are exploded, and both sides meet in one grouping.
+    source may hold the pages' source_counts(), which are the same for all extractions. Both sides meet in one grouping.
     """
-    none, zero = F.array(F.struct(F.lit("").alias("c"), F.lit(0).cast("long").alias("n"))), F.lit(0).cast("long")
-    texts = F.transform("elements", lambda e: normalized(e["content"]))
-    source = pages.select("doc_id", F.inline(F.concat(none, char_counts(F.array_join(texts, ""))))).select("doc_id", "c", F.col("n").alias("have"), zero.alias("got"))
+    zero = F.lit(0).cast("long")
+    source = (source_counts(pages) if source is None else source).select("doc_id", "c", "have", zero.alias("got"))
     parts = F.concat(F.array("number", "question", "answer", "analysis"), F.transform("options", lambda o: o["label"]), F.transform("options", lambda o: o["text"]))
     mine = problems.select("doc_id", F.inline(char_counts(normalized(F.array_join(parts, ""))))).select("doc_id", "c", zero.alias("have"), F.col("n").alias("got"))
     both = source.unionAll(mine).groupBy("doc_id", "c").agg(F.sum("have").alias("have"), F.sum("got").alias("got"))
@@ -81,7 +88,7 @@ def structural_consistency(numbers: Column) -> Column:
     return (F.size(filled) / F.nullif(F.size(numbers), F.lit(0)) + unique + ordering) / 3
 
 
-def evaluate(pages: DataFrame, problems: DataFrame, config: Config = Config()) -> DataFrame:
+def evaluate(pages: DataFrame, problems: DataFrame, config: Config = Config(), source: DataFrame | None = None) -> DataFrame:
     """One row for each document of pages: doc_id, score, the metrics and warnings. Documents without problems score 0.
 
     A number of digits that are no decimals can't be compared; such a document counts as failed.
@@ -95,11 +102,12 @@ def evaluate(pages: DataFrame, problems: DataFrame, config: Config = Config()) -
         "*", bind(F.transform("ns", lambda x: x["n"]), structural_consistency).alias("structural_consistency"), (F.size(F.array_distinct(raw)) < F.size(raw)).alias("repeated"),
         F.exists("ns", lambda x: is_digits(x["n"]) & ~is_decimals(x["n"])).alias("failed"), F.lit(True).alias("some"),
     ).drop("ns")
-    rows = text_coverage(pages, problems).join(each, "doc_id", "left")
+    rows = text_coverage(pages, problems, source).join(each, "doc_id", "left")
     rows = rows.withColumns({"some": F.coalesce("some", F.lit(False)), "failed": F.coalesce("failed", F.lit(False))})
     fine = F.col("some") & ~F.col("failed")
     rows = rows.withColumns({m: F.when(fine, F.coalesce(m, F.lit(0.0))).otherwise(F.lit(0.0)) for m in METRICS})
     product = reduce(lambda a, b: a * b, [F.pow(F.greatest(F.col(m), F.lit(1e-6)), F.lit(config.weights[m])) for m in METRICS])
+    # The bounds and texts of the warnings.
     low = F.array(
         F.when(F.col("question_completeness") < 0.6, "many questions appear incomplete"), F.when(F.col("option_completeness") < 0.6, "many option sets appear incomplete"),
         F.when(F.col("text_coverage") < 0.5, "extracted problems cover little OCR text"), F.when(F.col("repeated"), "duplicate problem numbers detected"),

@@ -12,6 +12,7 @@ from quirefold.functions.patterns import Pattern, PatternError, RegexPatterns, p
 from quirefold.functions.text import bind, is_decimals, is_digits, raw_text, strip
 from quirefold.operators.transforms import column_of
 from quirefold.sources.schemas import OPTION
+from quirefold.sources.scratch import written
 
 #: The first book's patterns, its watermark, its noise lines and what marks an annotation.
 BOOK_A = {
@@ -182,17 +183,25 @@ def annotations(lines: DataFrame) -> DataFrame:
 
 
 def first_range_join(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, stop: str, rank: str) -> DataFrame:
-    """Each point with the first range, by rank, of its keys such that start <= at < stop; points in no range are dropped."""
-    mine = ranges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(start).alias("_start"), F.col(stop).alias("_stop"), F.col(rank).alias("_rank"), *[c for c in ranges.columns if c not in (*keys, start, stop, rank, *points.columns)])
-    extra = [c for c in mine.columns if not c.startswith("_")]
-    hit = points.join(mine, [points[k] == mine[f"_{k}"] for k in keys] + [points[at] >= mine["_start"], points[at] < mine["_stop"]])
-    return hit.groupBy(*points.columns).agg(F.min_by(F.struct("_rank", *extra), "_rank").alias("r")).select(*points.columns, F.col("r._rank").alias(rank), *[f"r.{c}" for c in extra])
+    """Each point with the first range, by rank, of its keys such that start <= at < stop; points in no range are dropped.
+
+    Places are looked up once however many points share them, and only the least rank so far is held of the ranges that a place is in, so
+    pairs are never written. Points that are equal in all columns stay apart. Of ranges of the same keys and rank, their other columns are of any.
+    """
+    mine = ranges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(start).alias("_start"), F.col(stop).alias("_stop"), F.col(rank).alias("_rank"))
+    places = points.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col(at).alias("_at")).distinct()
+    inside = [places[f"_p_{k}"] == mine[f"_{k}"] for k in keys] + [places["_at"] >= mine["_start"], places["_at"] < mine["_stop"]]
+    first = places.join(mine, inside).groupBy(*places.columns).agg(F.min("_rank").alias(rank))
+    found = points.join(first, [points[k] == first[f"_p_{k}"] for k in keys] + [points[at] == first["_at"]]).select(points["*"], first[rank])
+    extra = [c for c in ranges.columns if c not in (*keys, start, stop, rank, *points.columns)]
+    return found.join(ranges.select(*keys, rank, *extra).dropDuplicates([*keys, rank]), [*keys, rank]).select(*found.columns, *extra) if extra else found
 
 
 def extract_book_a(pages: DataFrame) -> DataFrame:
     """Problems of the first book's layout: body lines by the grammar, and notes of the annotation column added to the problem beside which they begin."""
     grammar = book_a_grammar()
-    lines = lines_of(pages.withColumn("sides", annotation_sides(F.col("elements")))).where("element IS NOT NULL")
+    sided = pages.withColumn("sides", annotation_sides(F.col("elements")))
+    lines = written(lines_of(sided).where("element IS NOT NULL"))  # read for the body, its headers and the notes
     body = lines.where("NOT annotation").withColumn("line", grammar.clean(F.col("element")["content"]))
     problems = problems_of_lines(body, grammar)
     order = Window.partitionBy("doc_id").orderBy("page_index", "element_index")

@@ -11,9 +11,9 @@ from quirefold.operators import evaluation as ev
 from quirefold.operators import extraction as ex
 from quirefold.operators import ranges as rg
 from quirefold.sources import adapters as ad
-from quirefold.sources.scratch import scratch_path
+from quirefold.sources.scratch import scratch_path, written
 from quirefold.streaming.events import run_once
-from quirefold.streaming.problems import stream_problems, with_document_ends
+from quirefold.streaming.problems import block_problems, stream_blocks, with_document_ends
 
 GENERAL = ex.general_grammar(ad.BOOK_PATTERNS)
 SINGLE = ex.general_grammar(ex.RegexPatterns(ad.BOOK_PATTERNS.question, ad.BOOK_PATTERNS.options, ad.BOOK_PATTERNS.answer, ad.BOOK_PATTERNS.noise_lines, ad.BOOK_PATTERNS.noise_prefixes, False))
@@ -52,10 +52,10 @@ def extract_book_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotation_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in the first order range of their customer: a user's events as points, 30-second spans as ranges."""
+    """A user's clicks as points, and a span about each of the user's events as ranges, numbered in the order of events."""
     events = ad.table(spark, sf_dir, "events").select("user_id", "event_id", F.col("value").alias("y"))
     w = Window.partitionBy("user_id").orderBy("event_id")
-    spans = events.select("user_id", F.row_number().over(w).alias("n"), (F.col("y") - 1).alias("lo"), (F.col("y") + F.col("event_id") % 5).alias("hi")).where("n <= 4")
+    spans = events.select("user_id", F.row_number().over(w).alias("n"), (F.col("y") - 1).alias("lo"), (F.col("y") + F.col("event_id") % 5).alias("hi"))
     points = events.where("event_type = 'click'")
     return ex.first_range_join(points, spans, ["user_id"], "y", "lo", "hi", "n").select("user_id", "event_id", "n")
 
@@ -82,9 +82,14 @@ def carry_forward_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, sf_dir: str, grammar: ex.Grammar = GENERAL) -> DataFrame:
-    """Pages are kept for all candidates and problems for all metrics, which read them more than once."""
-    pages = ad.book_pages(spark, sf_dir).persist()
-    return ev.evaluate(pages, ex.extract(pages, grammar).persist())
+    return _reports(spark, sf_dir, {"": grammar})[""]
+
+
+def _reports(spark: SparkSession, sf_dir: str, grammars: dict[str, ex.Grammar]) -> dict[str, DataFrame]:
+    """An evaluation for each grammar; pages, their characters and the problems are read more than once, so they are written."""
+    pages = written(ad.book_pages(spark, sf_dir))
+    source = written(ev.source_counts(pages)) if len(grammars) > 1 else ev.source_counts(pages)
+    return {name: ev.evaluate(pages, written(ex.extract(pages, grammar)), source=source) for name, grammar in grammars.items()}
 
 
 def metric(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +101,7 @@ def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {"book_b": _evaluated(spark, sf_dir, ex.book_b_grammar()), "single": _evaluated(spark, sf_dir, SINGLE), "general": _evaluated(spark, sf_dir, GENERAL)}
+    return _reports(spark, sf_dir, {"book_b": ex.book_b_grammar(), "single": SINGLE, "general": GENERAL})
 
 
 def rank_extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +131,10 @@ def resolve_question_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validate_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as named ranges: each customer's first four orders."""
-    rows = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("ordinal")).where("ordinal <= 4")
+    """Orders as named ranges: every four orders of a customer in a row are those of a document."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    rows = ad.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", place.alias("place"))
+    rows = rows.select(F.concat_ws("-", "o_custkey", F.floor(F.col("place") / 4)).alias("doc_id"), "o_orderkey", (F.col("place") % 4 + 1).alias("ordinal"))
     names = F.array(*[F.lit(x) for x in ("contents", "questions", "answers", "front_matter")])
     rows = rows.select("doc_id", "ordinal", F.element_at(names, F.col("ordinal")).alias("name"), (F.col("ordinal") * 10 - F.col("o_orderkey") % 3 * 2).cast("int").alias("start"), (F.col("ordinal") * 10 + 9 - F.col("o_orderkey") % 23).cast("int").alias("stop"), F.lit(1).alias("step"), F.lit(48).alias("page_count"))
     return rg.validate_ranges(rows)
@@ -145,8 +152,9 @@ def streaming_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch_path(spark, "stream")
     pages.write.parquet(f"{at}/in")
     stream = spark.readStream.schema(pages.schema).parquet(f"{at}/in")
-    run_once(stream_problems(stream, ad.BOOK_PATTERNS), f"{at}/out", f"{at}/checkpoint")
-    return _shown(spark.read.parquet(f"{at}/out"))
+    grammar = ex.general_grammar(ad.BOOK_PATTERNS)
+    run_once(stream_blocks(stream, grammar), f"{at}/out", f"{at}/checkpoint")
+    return _shown(block_problems(spark.read.parquet(f"{at}/out"), grammar))
 
 
 _ORDERS = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, o_orderkey AS k, o_orderpriority AS pr, o_orderstatus AS st FROM orders), c AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)"
@@ -199,8 +207,9 @@ t AS (SELECT k, string_agg(label || '=' || text, '|' ORDER BY first) AS options_
 SELECT CAST(k AS VARCHAR) AS number, pr || CASE WHEN options_text IS NULL THEN 'after' ELSE '' END AS question, '' AS answer, coalesce(options_text, '') AS options_text FROM o LEFT JOIN t USING (k)"""
 
 _RANGES_SQL = """
-WITH r AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal FROM orders),
-n AS (SELECT doc_id, ordinal, ['contents', 'questions', 'answers', 'front_matter'][ordinal] AS name, ordinal * 10 - o_orderkey % 3 * 2 AS start, ordinal * 10 + 9 - o_orderkey % 23 AS stop FROM r WHERE ordinal <= 4),
+WITH q AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders),
+r AS (SELECT o_custkey || '-' || place // 4 AS doc_id, o_orderkey, place % 4 + 1 AS ordinal FROM q),
+n AS (SELECT doc_id, ordinal, ['contents', 'questions', 'answers', 'front_matter'][ordinal] AS name, ordinal * 10 - o_orderkey % 3 * 2 AS start, ordinal * 10 + 9 - o_orderkey % 23 AS stop FROM r),
 b AS (SELECT *, CASE WHEN start >= stop THEN name || ' must be a non-empty range with step 1' WHEN start < 0 OR stop > 48 THEN name || ' is out of bounds' END AS bad FROM n),
 f AS (SELECT doc_id, bool_or(name = 'questions') AS has, arg_min(bad, ordinal) FILTER (bad IS NOT NULL) AS bad FROM b GROUP BY doc_id),
 v AS (SELECT x.doc_id, arg_min(x.name || ' overlaps ' || y.name, (x.ordinal, y.ordinal)) AS e FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.ordinal < y.ordinal AND x.start < y.stop AND y.start < x.stop GROUP BY x.doc_id)
@@ -251,7 +260,7 @@ ORACLES = {
     "problem_pages": f"WITH {_general()}, p AS (SELECT doc_id, CAST(unnest(range(last_page + 1)) AS INT) AS page_index FROM (SELECT DISTINCT doc_id, last_page FROM g)) SELECT p.doc_id, p.page_index + 10 AS page_index, CAST(count(number) AS INT) AS n, coalesce(string_agg(number, ',' ORDER BY problem_seq), '') AS numbers FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.page_index = g.completed_page GROUP BY p.doc_id, p.page_index",
     "extract_book_a": _BOOK_A_SQL,
     "extract_book_b": _BOOK_B_SQL,
-    "annotation_interval_join": "WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, value - 1 AS lo, value + event_id % 5 AS hi FROM events) SELECT e.user_id, event_id, CAST(min(n) AS INT) AS n FROM events e JOIN s ON e.user_id = s.user_id AND n <= 4 AND value >= lo AND value < hi WHERE event_type = 'click' GROUP BY e.user_id, event_id",
+    "annotation_interval_join": "WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, value - 1 AS lo, value + event_id % 5 AS hi FROM events) SELECT e.user_id, event_id, CAST(min(n) AS INT) AS n FROM events e JOIN s ON e.user_id = s.user_id AND value >= lo AND value < hi WHERE event_type = 'click' GROUP BY e.user_id, event_id",
     "chat_segments": "WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM conversations) SELECT doc_id, CAST(segment AS BIGINT) AS segment, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM t WHERE segment > 0 GROUP BY ALL",
     "carry_forward_section": f"WITH {_LINES} SELECT doc_id, page_index, nth, CAST(last_value(CASE WHEN line LIKE '%the.' THEN length(line) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS section FROM l",
     **{m: f"WITH {_scores()} SELECT doc_id, round({m}, 6) AS {m} FROM e" for m in (*ev.METRICS,)},

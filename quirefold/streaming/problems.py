@@ -1,113 +1,65 @@
-"""Problems from a stream of pages: the open problem of each document is kept between batches, and its last is given out when the document ends."""
+"""Problems from a stream of pages: the lines of each document's open problem are kept between batches, and a block of lines is given out when the next begins or the document ends."""
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quirefold.functions.patterns import RegexPatterns
-from quirefold.sources.schemas import OPTION
+from quirefold.operators.extraction import Grammar, problems_of_lines
 
-OUTPUT = f"doc_id string, problem_seq int, number string, question string, answer string, options array<{OPTION}>, header_page int, completed_page int"
-_STATE = "seq int, open string, page int"
+_LINE = "struct<page_index: int, element_index: int, line: string>"
+BLOCK = f"doc_id string, problem_seq int, lines array<{_LINE}>, completed_page int"
+_STATE = f"seq int, lines array<{_LINE}>, page int"
 
 
-@dataclass
-class Open:
-    """A problem under way."""
+def stream_blocks(pages: DataFrame, grammar: Grammar) -> DataFrame:
+    """The blocks of a stream of pages (doc_id, page_index, elements): a problem's header and the lines up to the next. A page with null elements ends its document.
 
-    number: str
-    question: str
-    header_page: int
-    answer: str = ""
-    options: dict[str, str] = field(default_factory=dict)
-    section: str = "question"
-    label: str = ""
-
-
-class LineMachine:
-    """One document's lines in order, by the general grammar, a line at a time."""
-
-    def __init__(self, patterns: RegexPatterns, seq: int = 0, open_: Open | None = None) -> None:
-        self.p, self.seq, self.open = patterns, seq, open_
-        self.q, self.o = re.compile(patterns.question), re.compile(patterns.options)
-        self.a = re.compile(patterns.answer) if patterns.answer else None
-
-    def page(self, page_index: int, contents: Iterable[str]) -> Iterator[tuple]:
-        for content in contents:
-            line = content.strip()
-            noise = line.isdigit() or line in self.p.noise_lines or (bool(self.p.noise_prefixes) and line.startswith(self.p.noise_prefixes))
-            if line and not noise:
-                yield from self._line(page_index, line)
-
-    def _line(self, page_index: int, line: str) -> Iterator[tuple]:
-        head = self.q.match(line)
-        if head:
-            yield from self.end(page_index)
-            self.seq += 1
-            self.open = Open(head["number"], (head.groupdict().get("question") or "").strip(), page_index)
-            return
-        p = self.open
-        if p is None:
-            return
-        options = [*self.o.finditer(line)]
-        answer = None if options or not self.a else self.a.match(line)
-        if options:
-            for m in options:
-                p.label, p.section = m["label"], "option"
-                p.options[p.label] = m["text"].strip()
-        elif answer:
-            p.answer, p.section, p.label = answer["answer"].strip(), "answer", ""
-        elif p.section == "question":
-            p.question += line
-        elif p.section == "option" and self.p.multiline_options:
-            p.options[p.label] += line
-
-    def end(self, page_index: int) -> Iterator[tuple]:
-        """The open problem, complete on this page."""
-        if self.open:
-            p, self.open = self.open, None
-            yield self.seq, p.number, p.question, p.answer, [{"label": k, "text": v} for k, v in p.options.items()], p.header_page, page_index
-
-
-def stream_problems(pages: DataFrame, patterns: RegexPatterns) -> DataFrame:
-    """Problems of a stream of pages (doc_id, page_index, elements). A page with null elements ends its document.
-
-    Pages of a document must come in order from batch to batch; within a batch they are sorted. What is held of a document is its open problem.
+    Pages of a document must come in order from batch to batch; within a batch they are sorted. Lines are cleaned and told apart
+    before they reach the state, which holds the lines of one open problem.
     """
 
-    def run(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+    def split(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
-        seq, open_, last = state.get if state.exists else (0, "", -1)
-        machine = LineMachine(patterns, seq, Open(**json.loads(open_)) if open_ else None)
-        found: list[tuple] = []
-        batch = pd.concat([*frames]).sort_values("page_index")
-        ended = False
-        for page_index, contents in zip(batch["page_index"].tolist(), batch["contents"].tolist(), strict=True):
-            if contents is None:
-                found += machine.end(last)
-                ended = True
-            else:
-                last = int(page_index)
-                found += machine.page(last, contents)
-        if ended:
+        seq, held, last = state.get if state.exists else (0, [], -1)
+        held, done = [tuple(x) for x in held], []
+        rows = pd.concat([*frames]).sort_values("page_index")
+        over = False
+        for page, lines in zip(rows["page_index"].tolist(), rows["lines"].tolist(), strict=True):
+            over = over or lines is None
+            for x in [] if lines is None else lines:
+                if x["head"] and held:
+                    done.append((key[0], seq, held, page))
+                if x["head"]:
+                    seq, held = seq + 1, []
+                if seq:
+                    held.append((page, x["element_index"], x["line"]))
+            last = last if lines is None else page
+        if over and held:
+            done.append((key[0], seq, held, last))
+        if over:
             state.remove()
         else:
-            state.update((machine.seq, json.dumps(machine.open.__dict__) if machine.open else "", last))
-        names = ["problem_seq", "number", "question", "answer", "options", "header_page", "completed_page"]
-        out = pd.DataFrame(found, columns=names)
-        out.insert(0, "doc_id", key[0])
-        yield out
-
-    rows = pages.select("doc_id", "page_index", F.transform("elements", lambda e: F.coalesce(e["content"], F.lit(""))).alias("contents"))
-    return rows.groupBy("doc_id").applyInPandasWithState(run, OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+            state.update((seq, held, last))
+        names = ("page_index", "element_index", "line")
+        yield pd.DataFrame([(d, n, [dict(zip(names, x, strict=True)) for x in block], p) for d, n, block, p in done], columns=["doc_id", "problem_seq", "lines", "completed_page"])
+
+    cleaned = F.transform("elements", lambda e, i: F.struct(i.alias("element_index"), grammar.clean(e["content"]).alias("line")))
+    told = F.filter(cleaned, lambda x: x["line"].isNotNull() & (x["line"] != "") & ~grammar.noise(x["line"]))
+    lines = F.transform(told, lambda x: F.struct(x["element_index"], x["line"], grammar.question.matches(x["line"]).alias("head")))
+    return pages.select("doc_id", "page_index", lines.alias("lines")).groupBy("doc_id").applyInPandasWithState(split, BLOCK, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def block_problems(blocks: DataFrame, grammar: Grammar) -> DataFrame:
+    """The problems of blocks, by the same grammar as whole documents: each block stands for a document of one problem."""
+    whole = F.struct("doc_id", "problem_seq")
+    lines = blocks.select(whole.alias("doc_id"), F.col("completed_page").alias("last_page"), F.inline("lines"))
+    found = problems_of_lines(lines, grammar).drop("problem_seq")
+    return found.select("doc_id.*", *[c for c in found.columns if c != "doc_id"])
 
 
 def with_document_ends(pages: DataFrame) -> DataFrame:

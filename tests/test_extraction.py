@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from quirefold.operators import ranges as rg
 from quirefold.sources.adapters import BOOK_PATTERNS
 from quirefold.sources.schemas import PAGES
 from quirefold.streaming.events import run_once
-from quirefold.streaming.problems import LineMachine, stream_problems, with_document_ends
+from quirefold.streaming.problems import block_problems, stream_blocks, with_document_ends
 
 
 def line(text, x=200.0, y=10.0, width=600.0):
@@ -58,32 +59,51 @@ def test_general(spark):
     assert [(r.header_page, r.completed_page) for r in got.orderBy("problem_seq").collect()] == [(0, 2), (2, 2)]
 
 
-def test_random_books_against_the_line_machine(spark):
+def plain_problems(book):
+    """Problems of one document's pages (contents), block by block: a block is a header's line and the lines to the next header."""
+    q, o, a = (re.compile(x) for x in (GENERAL.question, GENERAL.options, GENERAL.answer))
+    lines = [(p, t.strip()) for p, contents in enumerate(book) for t in contents]
+    lines = [(p, t) for p, t in lines if t and not t.isdigit() and t not in GENERAL.noise_lines and not t.startswith(GENERAL.noise_prefixes)]
+    heads = [i for i, (_, t) in enumerate(lines) if q.match(t)]
+    for n, (i, stop) in enumerate(zip(heads, [*heads[1:], len(lines)]), 1):
+        head, texts, into = q.match(lines[i][1]), {"question": "", "answer": ""}, ("question", None)
+        texts["question"] = head["question"].strip()
+        options = {}
+        for _, t in lines[i + 1 : stop]:
+            if found := o.findall(t):
+                options |= {label: x.strip() for label, x in found}
+                into = ("option", found[-1][0])
+            elif m := a.match(t):
+                texts["answer"], into = m["answer"].strip(), ("answer", None)
+            elif into[0] == "option":
+                options[into[1]] += t
+            elif into[0] == "question":
+                texts["question"] += t
+        yield n, head["number"], texts["question"], texts["answer"], [*options.items()], lines[i][0], lines[stop][0] if stop < len(lines) else len(book) - 1
+
+
+def test_random_books_against_plain_blocks(spark):
     rng = random.Random(0)
     rows, want = [], []
     for d in range(12):
-        machine, last = LineMachine(GENERAL), -1
-        for p in range(rng.randrange(1, 5)):
-            contents = [rng.choice(["Q%d. q" % rng.randrange(9), "A) a%d" % rng.randrange(9), "B) b C) c", "Answer: z", "text", " noise ", "5", "", "D)", "-- x"]) for _ in range(rng.randrange(0, 9))]
-            rows.append((f"d{d}", p, [([], "text", c) for c in contents]))
-            want += [(f"d{d}", *x) for x in machine.page(p, contents)]
-            last = p
-        want += [(f"d{d}", *x) for x in machine.end(last)]
-    book = spark.createDataFrame(rows, PAGES)
-    got = ex.extract(book, ex.general_grammar(GENERAL))
-    key = lambda r: (r[0], r[1], r[2], r[3], r[4], [(o["label"], o["text"]) for o in r[5]], r[6], r[7])
-    assert sorted(key(r) for r in got.select("doc_id", "problem_seq", "number", "question", "answer", "options", "header_page", "completed_page").collect()) == sorted(key(w) for w in want)
+        book = [[rng.choice(["Q%d. q" % rng.randrange(9), "A) a%d" % rng.randrange(9), "B) b C) c", "Answer: z", "text", " noise ", "5", "", "D)", "-- x", "Q3. r A) s", "\u2003A) wide\u3000"]) for _ in range(rng.randrange(0, 9))] for _ in range(rng.randrange(1, 5))]
+        rows += [(f"d{d}", p, [([], "text", c) for c in contents]) for p, contents in enumerate(book)]
+        want += [(f"d{d}", *x) for x in plain_problems(book)]
+    got = ex.extract(spark.createDataFrame(rows, PAGES), ex.general_grammar(GENERAL))
+    key = lambda r: (*r[:5], [(o["label"], o["text"]) for o in r[5]], r[6], r[7])
+    assert sorted(key(r) for r in got.select("doc_id", "problem_seq", "number", "question", "answer", "options", "header_page", "completed_page").collect()) == sorted(want)
 
 
 def test_stream_gives_what_the_batch_does(spark, tmp_path):
-    book = pages(spark, ["Q1. a", "A) x"], ["goes on", "Q2. b"], []).unionByName(pages(spark, ["Q7. c"], doc="e"))
+    book = pages(spark, ["Q1. a", "A) x"], ["goes on", "Q2. b"], []).unionByName(pages(spark, ["Q7. c"], doc="e")).unionByName(pages(spark, ["none"], doc="f"))
     whole = with_document_ends(book)
     for batch in (whole.where("page_index = 0"), whole.where("page_index > 0")):
         batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run_once(stream_problems(stream, GENERAL), str(tmp_path / "out"), str(tmp_path / "cp"))
+    run_once(stream_blocks(stream, ex.general_grammar(GENERAL)), str(tmp_path / "out"), str(tmp_path / "cp"))
     columns = ["doc_id", "problem_seq", "number", "question", "answer", "options", "header_page", "completed_page"]
-    assert sorted(spark.read.parquet(str(tmp_path / "out")).select(columns).collect()) == sorted(ex.extract(book, ex.general_grammar(GENERAL)).select(columns).collect())
+    got = block_problems(spark.read.parquet(str(tmp_path / "out")), ex.general_grammar(GENERAL))
+    assert sorted(got.select(columns).collect()) == sorted(ex.extract(book, ex.general_grammar(GENERAL)).select(columns).collect())
 
 
 def test_pages_without_problems_stay(spark):
@@ -102,7 +122,7 @@ def test_inferred_patterns(spark):
         return "{}" if error is None else GENERAL.to_json()
 
     assert [p[0] for p in problems(ex.extract_inferred(book, 0, 1, analyzer))] == ["1", "2"]
-    assert asked[0] == ("Q1. a", None) and "strings" in asked[1][1]
+    assert asked[0] == ("Q1. a", None) and "question should be a string" in asked[1][1]
     with pytest.raises(ValueError, match="exceed"):
         ex.infer_patterns(book, 0, 3, analyzer)
     with pytest.raises(ex.PatternError, match="3 attempts"):

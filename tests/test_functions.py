@@ -64,9 +64,11 @@ def test_translated_patterns(spark):
 @pytest.mark.parametrize(
     ("bad", "why"),
     [
-        ('{"question": 1, "options": "x"}', "strings"), ("[1]", "object"), ("{", "JSON"), ('{"question": "(", "options": "x"}', "invalid question"), ('{"question": "(?P<number>a)", "options": "b"}', "missing groups: label, text"),
-        ('{"question": "(?P<number>a)", "options": "(?P<label>a)(?P<text>b)", "answer": "c"}', "missing groups: answer"), ('{"question": "(?P<number>a)", "options": "(?P<label>a)(?P<text>b)(?P<text_2>c)"}', "numbered"),
-        ('{"question": "(?P<number>a)", "options": "(?P<label>a)(?P<text>b)", "multiline_options": 1}', "boolean"), ('{"question": "(?P<number>a)", "options": "(?P<label>a)(?P<text>b)", "noise_lines": "x"}', "noise_lines"),
+        ('{"question": 1, "options": "x"}', "question should be a string"), ("[1]", "not a JSON object"), ("{", "not JSON"), ("{}", "question should be a string; options should be a string"), ('{"question": "(", "options": "x"}', "question does not compile"),
+        ('{"question": "(?P<number>a)", "options": "b"}', "options lacks the group <label>; options lacks the group <text>"), ('{"question": "(?P<number>a)", "options": "(?P<label>a)(?P<text>b)", "answer": "c"}', "answer lacks the group <answer>"),
+        ('{"question": "(?P<number>a)", "options": "(?P<label>a)(?P<text>b)(?P<text_2>c)"}', "options counts its groups"), ('{"question": "(?P<number>a)", "options": "(?P<label>a)(?P<text>b)(?P<label1>c)"}', "<label1>"), ('{"question": "(?P<number>a)", "options": "(?P<label>a)(?P<text>b)", "multiline_options": 1}', "multiline_options should be true or false"),
+        ('{"question": "(?P<number>a)", "options": "(?P<label>a)(?P<text>b)", "noise_lines": "x"}', "noise_lines should be a list"), ('{"question": "(?P<number>a)", "options": "(?P<label>a)(?P<text>b)", "noise_prefixes": ["x", 1]}', "noise_prefixes should be a list"),
+        ('{"question": "(?P<number>a)", "options": "(?P<label>a)(?P<text>b)", "answer": true}', "answer should be a string"),
     ],
 )
 def test_bad_patterns(bad, why):
@@ -77,7 +79,8 @@ def test_bad_patterns(bad, why):
 def test_patterns_round_trip():
     p = pt.RegexPatterns("(?P<number>a)", "(?P<label>a)(?P<text>b)", None, ("x",), ("y",), False)
     assert pt.parse_patterns(p.to_json()) == p
-    with pytest.raises(pt.PatternError, match="too long"):
+    assert pt.parse_patterns('{"question": "(?P<number>a)", "options": "(?P<label>a)(?P<text>b)(?P<texts>c)", "answer": "", "more": 1}').noise_lines == ()
+    with pytest.raises(pt.PatternError, match="2013 characters"):
         pt.RegexPatterns("(?P<number>a)" + "b" * 2000, "(?P<label>a)(?P<text>b)")
 
 
