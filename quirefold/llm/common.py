@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.sources.scratch import discard, scratch_path, shared_dir
+from quirefold.sources.scratch import written as cut
+
+__all__ = ["bind", "cut", "discard", "fresh", "n_words_of", "scratch_path", "shared_dir", "small", "words_of"]
+
 #: What separates words.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A side of a join is broadcast below so many rows, each of a few dozen bytes; above, Spark shuffles.
-BROADCAST_ROWS = 50_000
-
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_written: list[tuple[SparkSession, str]] = []
+#: A side of a join is broadcast up to so many rows and bytes; above, Spark shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -36,44 +36,13 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master one made here."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="quirefold-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended before; the folder is then left to the cluster's cleaner
-            return
-
-
-atexit.register(_remove_written)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a table written to the shared folder, which survives lost executors and ends the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quirefold/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")  # the table replaces the shuffles it was made from
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(*names: str) -> list[str]:
+    """Column names that no table has, for columns beside those of a caller's table."""
+    mark = uuid.uuid4().hex
+    return [f"{n}_{mark}" for n in names]
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows by count; otherwise as it is, for a shuffle join. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has few rows by count, and few bytes as JSON; otherwise as it is, for a shuffle join. df should be cheap to count."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["size"] or 0) <= size else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import cut, n_words_of, small
+from quirefold.llm.common import cut, fresh, n_words_of, small
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEEDS = 1.5, 2.0, 16
@@ -78,9 +78,10 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
 
 def emit(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs. Documents without words are not taken."""
-    goal = small(plan_rates(sizes_of(docs, key, source, text)).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("seed").alias("_seed")))
+    """The mix itself: each document as often as it is taken, with the columns of docs, whatever their names. Documents without words are not taken."""
+    of, rate, seed, n = fresh("source", "rate", "seed", "n")
+    goal = small(plan_rates(sizes_of(docs, key, source, text)).select(F.col("source").alias(of), F.col("rate").alias(rate), F.col("seed").alias(seed)))
     size = n_words_of(F.col(text))
-    rows = docs.join(goal, docs[source].eqNullSafe(F.col("_source")), "left")
-    n = F.when(size > 0, copies(F.col("_rate"), F.col("_seed"), F.col(key), size)).otherwise(F.lit(0).cast("long"))
-    return rows.withColumn("_n", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)
+    rows = docs.join(goal, docs[source].eqNullSafe(F.col(of)), "left")
+    times = F.when(size > 0, copies(F.col(rate), F.col(seed), F.col(key), size)).otherwise(F.lit(0).cast("long"))
+    return rows.withColumn(n, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[docs[c] for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import SPACE_CLASS, bind, cut, small, words_of
+from quirefold.llm.common import SPACE_CLASS, bind, cut, fresh, small, words_of
 
 #: The characters that count as symbols.
 SYMBOL_CLASS = "[#*$%&|<>]"
@@ -56,6 +56,12 @@ def rule_values(text: Column, window: int = WINDOW) -> Column:
     )
 
 
+def base_fails(text: Column, window: int = WINDOW) -> Column:
+    """rule_values()' base_failed alone, without the figures that it doesn't need."""
+    few = lambda w: (F.size(w) < 10) | (_repeat_words(w, window) * 100 > F.size(w) * 20)
+    return bind(words_of(text), few)
+
+
 def host_verdicts(counts: DataFrame, max_rate: float = 0.5) -> DataFrame:
     """counts (host, n, failed) with rate, shrunk towards the hosts' mean by a beta prior fitted by moments, and rejected.
 
@@ -74,27 +80,34 @@ def host_verdicts(counts: DataFrame, max_rate: float = 0.5) -> DataFrame:
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", keep: tuple[str, ...] = ("doc_id",), max_rate: float = 0.5) -> DataFrame:
-    """One row per document: the columns of keep, the base figures, base_failed, host_rate and kept.
+    """One row per document: the columns of keep, the base figures, base_failed, what was counted of its host (host_rows, host_failed), host_rate, host_rejected and kept.
 
     A document is kept if it passes the base rules and its host's shrunk failure rate is at most max_rate.
-    Null hosts form a host of their own; repeated rows are judged each; other columns are not read.
+    Null hosts form a host of their own; repeated rows are judged each; other columns are not read, and those of keep may have any names but these.
     The figures are written once to the shared folder, so the texts are read once; hosts are counted with
     map-side sums, and their verdicts are broadcast only if they are few, else joined with split hot hosts.
     """
-    figures = cut(docs.select(*keep, F.col(host).alias("_host"), rule_values(F.col(text)).alias("_q")))
-    counts = figures.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("_q.base_failed").cast("long")).alias("failed"))
-    verdicts = small(host_verdicts(counts.withColumnRenamed("_host", "_h"), max_rate).select("_h", F.col("rate").alias("host_rate"), "rejected"))
-    joined = figures.join(verdicts, figures["_host"].eqNullSafe(verdicts["_h"]), "left")
-    return joined.select(*keep, "_q.*", "host_rate", (~F.col("_q.base_failed") & ~F.coalesce(F.col("rejected"), F.lit(False))).alias("kept"))
+    own, q, of = fresh("host", "q", "of")
+    figures = cut(docs.select(*keep, F.col(host).alias(own), rule_values(F.col(text)).alias(q)))
+    counts = figures.groupBy(F.col(own).alias(of)).agg(F.count("*").alias("n"), F.sum(F.col(f"{q}.base_failed").cast("long")).alias("failed"))
+    found = host_verdicts(counts, max_rate)
+    verdicts = small(found.select(of, F.struct(F.col("n").alias("rows"), "failed", "rate", "rejected").alias(f"v_{of}")))
+    joined = figures.join(verdicts, figures[own].eqNullSafe(verdicts[of]), "left")
+    v = F.col(f"v_{of}")
+    kept = ~F.col(f"{q}.base_failed") & ~F.coalesce(v["rejected"], F.lit(False))
+    return joined.select(*keep, f"{q}.*", v["rows"].alias("host_rows"), v["failed"].alias("host_failed"), v["rate"].alias("host_rate"), v["rejected"].alias("host_rejected"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = 0.5) -> DataFrame:
-    """The documents that judge() keeps, with their own columns. Texts stay where they are: they are read twice and never shuffled.
+    """The documents that judge() keeps, with their own columns, whatever their names.
 
-    Should there be more rejected hosts than may be broadcast, the documents are shuffled by host instead.
+    The rules are computed once: documents that pass are written to the shared folder, and how many of a host failed is what is missing there of its
+    rows, for which no text is read. Should there be more rejected hosts than may be broadcast, the documents are shuffled by host instead.
     """
-    failed = rule_values(F.col(text))["base_failed"]
-    counts = docs.groupBy(F.col(host).alias("_h")).agg(F.count("*").alias("n"), F.sum(failed.cast("long")).alias("failed"))
-    rejected = cut(host_verdicts(cut(counts), max_rate).where("rejected").select("_h"))
-    passed = docs.where(~failed)
-    return passed.join(small(rejected), passed[host].eqNullSafe(rejected["_h"]), "left_anti")
+    of, n = fresh("of", "n")
+    passed = cut(docs.where(~base_fails(F.col(text))))
+    rows = docs.select(F.col(host).alias(of), F.lit(1).alias(n), F.lit(1).alias("failed"))
+    rows = rows.union(passed.select(F.col(host).alias(of), F.lit(0).alias(n), F.lit(-1).alias("failed")))
+    counts = rows.groupBy(of).agg(F.sum(n).alias("n"), F.sum("failed").alias("failed"))
+    rejected = cut(host_verdicts(cut(counts), max_rate).where("rejected").select(of))
+    return passed.join(small(rejected), passed[host].eqNullSafe(rejected[of]), "left_anti")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quirefold.llm import chat, decontaminate, mixing, pii, quality_rules, sharding, simhash, substring, toxicity, url_rules
+from quirefold.llm.common import scratch_path
 from quirefold.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -26,7 +27,7 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +36,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rows", "host_failed", "host_rejected")
 
 
 def op6_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents")).drop("vslot")
+    return sharding.assign(table(spark, sf_dir, "documents"), map_path=scratch_path(spark, "slot-map")).drop("vslot")
 
 
 def op7_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quirefold.llm.common import cut, small
+from quirefold.llm.common import cut, fresh, small
 from quirefold.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -59,7 +59,8 @@ def links(prints: DataFrame, tile: int = TILE, blocks: int | None = None) -> Dat
     """Links (a, b) that connect all fingerprints of prints (fp: distinct longs) within RADIUS bits.
 
     A tile holds fingerprints that agree under a mask, so every pair within the radius meets in some tile; the number of
-    blocks rises with the input so that tiles stay small. Larger tiles are cut by population count and hash, and those
+    blocks rises with the input so that tiles stay small. In a tile, fingerprints whose population counts differ beyond the radius are
+    passed over without a comparison. Larger tiles are cut by population count and hash, and those
     parts are compared pair by pair, but for the pairs whose counts differ beyond the radius. All pairs of a tile are compared by
     exclusive-or and bit count; a spanning forest of the tile's links is returned, never all of its pairs.
     """
@@ -119,10 +120,13 @@ def _compare_tiles(fp: np.ndarray, side: np.ndarray, tile: np.ndarray) -> Iterat
 
 
 def _near_in_runs(fp: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Small tiles side by side: each fingerprint against the d-th after it in its tile, for all d."""
+    """Small tiles side by side, each in the order of population counts: each fingerprint against the d-th after it in its tile, for all d, as long as their counts are within the radius."""
+    pop = np.bitwise_count(fp).astype(np.int16)
+    order = np.lexsort((pop, tile))
+    fp, tile, pop = fp[order], tile[order], pop[order]
     a, b = [fp[:0]], [fp[:0]]
     for d in range(1, 64):
-        same = np.flatnonzero(tile[d:] == tile[:-d]) if d < len(tile) else []
+        same = np.flatnonzero((tile[d:] == tile[:-d]) & (pop[d:] - pop[:-d] <= RADIUS)) if d < len(tile) else []
         if not len(same):
             break
         near = same[np.bitwise_count(fp[same] ^ fp[same + d]) <= RADIUS]
@@ -200,12 +204,13 @@ def first_of(docs: DataFrame, prints: DataFrame, classed: DataFrame, print_of: C
     Documents of other keys are taken out by an anti join that hashes the keys to be dropped and sorts no texts. Rows that share a
     key, or have none, are told apart by their fingerprints, and one row stays of those that are first in their component.
     """
-    shared = cut(prints.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_key")))
-    out = cut(prints.join(classed, "fp").where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_key")).union(shared.where("_key IS NOT NULL")).distinct())
-    kept = docs.where(docs[key].isNotNull()).join(out.hint("shuffle_hash"), docs[key] == out["_key"], "left_anti")
+    only, fp, of, root, first = fresh("key", "fp", "class_fp", "root", "first")
+    shared = cut(prints.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias(only)))
+    out = cut(prints.join(classed, "fp").where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(only)).union(shared.where(F.col(only).isNotNull())).distinct())
+    kept = docs.where(docs[key].isNotNull()).join(out.hint("shuffle_hash"), docs[key] == out[only], "left_anti")
     if shared.isEmpty():
         return kept
-    again = docs.join(shared, docs[key].eqNullSafe(shared["_key"]), "left_semi").withColumn("_fp", print_of(F.col(text)))
-    classed = classed.withColumnsRenamed({c: f"_class_{c}" for c in classed.columns})
-    again = again.join(classed, again["_fp"] == classed["_class_fp"]).where(F.col(key).eqNullSafe(F.col("_class_component_id")))
-    return kept.union(again.dropDuplicates(["_class_root"]).select(*docs.columns))
+    again = docs.join(shared, docs[key].eqNullSafe(shared[only]), "left_semi").withColumn(fp, print_of(F.col(text)))
+    classed = classed.select(F.col("fp").alias(of), F.col("root").alias(root), F.col("component_id").alias(first))
+    again = again.join(classed, again[fp] == classed[of]).where(F.col(key).eqNullSafe(F.col(first)))
+    return kept.union(again.dropDuplicates([root]).select(*docs.columns))

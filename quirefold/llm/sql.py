@@ -34,8 +34,9 @@ e AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS bad FROM e GROUP BY source),
 m AS (SELECT sum(bad) / sum(n) AS m, count(*) AS k, sum(n) AS n, sum(bad * bad / n) / sum(n) AS q FROM h),
 v AS (SELECT m, least(greatest(m * (1 - m) / greatest(q - m * m - m * (1 - m) * k / n, 1e-6) - 1, 1), 1e6) AS weight FROM m),
-r AS (SELECT source, (bad + m * weight) / (n + weight) > 0.5 AS rejected FROM h, v)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+r AS (SELECT source, n, bad, (bad + m * weight) / (n + weight) > 0.5 AS rejected FROM h, v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept,
+  CAST(n AS BIGINT) AS host_rows, CAST(bad AS BIGINT) AS host_failed, rejected AS host_rejected
 FROM e JOIN r ON e.source IS NOT DISTINCT FROM r.source
 """
 

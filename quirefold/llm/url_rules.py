@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import LOWER, UPPER, cut, small
@@ -12,7 +12,8 @@ from quirefold.llm.common import LOWER, UPPER, cut, small
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Labelled URLs that rules are mined from, at most about so many, drawn by hash.
 TRAIN_URLS = 50_000
-SUPPORT, CONFIDENCE = 0.002, 0.9
+#: A rule's share of the labelled URLs, and their number, are to be so much at least.
+SUPPORT, LEAST_ROWS, CONFIDENCE = 0.002, 3, 0.9
 BLOCK = "=block"
 
 
@@ -43,53 +44,63 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(names(host, "[.]", "."), names(path, "/", "/"), keys))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules (antecedent: array of tokens, confidence, support) whose consequent is block, from labelled (url, blocked).
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Rules (antecedent: array of tokens, confidence, support) whose consequent is block, from labelled (url, blocked), and the table (token, stands_for) that they speak of.
 
-    A rule is left out if one with part of its tokens is as sure. No labelled rows or none blocked, no rules.
+    Tokens that are in the same labelled URLs are one to all rules: the first of them by name stands for all, so a URL whose many folders only come together is no
+    larger to the miner than one with a single folder. Tokens in fewer URLs than a rule needs are in no rule. Neither changes which URLs are blocked.
+    A rule is left out if one with part of its tokens is as sure. No labelled rows or none blocked, no rules. Null URLs and labels are passed over.
     """
     spark = labelled.sparkSession
-    kind = "antecedent array<string>, confidence double, support double"
-    blocked = F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
-    baskets = cut(labelled.select(F.concat(tokens_of(F.col("url")), blocked).alias("items")).where(F.size("items") > 0))
-    if baskets.isEmpty():
-        return spark.createDataFrame([], kind)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    rows = labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select(F.monotonically_increasing_id().alias("row"), "blocked", tokens_of(F.col("url")).alias("tokens"))
+    rows = cut(rows)
+    n = rows.count()
+    least = max(LEAST_ROWS, support * n)
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    marks = [F.sum(F.xxhash64(F.lit(k), "row").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    often = each.groupBy("token").agg(F.count("*").alias("n"), *marks).where(F.col("n") >= least)
+    stands = cut(often.withColumn("stands_for", F.min("token").over(Window.partitionBy("n", "h1", "h2"))).select("token", "stands_for"))
+    kept = each.join(small(stands), "token").groupBy("row").agg(F.collect_set("stands_for").alias("items"))
+    block = F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
+    baskets = cut(rows.join(kept, "row", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), block).alias("items")))
+    if stands.isEmpty():
+        return spark.createDataFrame([], "antecedent array<string>, confidence double, support double"), stands
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent")[0] == BLOCK)
     found = cut(found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
     part = found.select(F.col("antecedent").alias("_a"), F.col("confidence").alias("_c"), F.explode("antecedent").alias("_t"))
     sure = found.select("antecedent", "confidence", F.explode("antecedent").alias("_t"))
     implied = sure.join(part, "_t").where((F.size("_a") < F.size("antecedent")) & (F.col("_c") >= F.col("confidence")) & (F.size(F.array_except("_a", "antecedent")) == 0))
-    return cut(found.join(implied.select("antecedent").distinct(), "antecedent", "left_anti"))
+    return cut(found.join(implied.select("antecedent").distinct(), "antecedent", "left_anti")), stands
 
 
-def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def matched(urls: DataFrame, rules: DataFrame, stands: DataFrame) -> DataFrame:
     """The distinct urls (url, tokens) that hold all tokens of some rule: an inverted index lists a rule under its rarest token, and the rest is compared."""
     df = rules.select(F.explode("antecedent").alias("t"), "support").groupBy("t").agg(F.max("support").alias("often"))
     post = rules.select("antecedent", F.explode("antecedent").alias("t")).join(df, "t")
     post = post.groupBy("antecedent").agg(F.min(F.struct("often", "t"))["t"].alias("token"))
     index = small(cut(post.groupBy("token").agg(F.collect_list("antecedent").alias("rules"))))
-    seen = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    named = urls.select("url", F.explode("tokens").alias("token")).join(small(stands), "token").groupBy("url").agg(F.collect_set("stands_for").alias("tokens"))
+    seen = named.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
     return seen.where(F.exists("rules", lambda r: F.size(F.array_except(r, F.col("tokens"))) == 0)).select("url").distinct()
 
 
-def judge(pages: DataFrame, labels: DataFrame, train_urls: int = TRAIN_URLS) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame | None = None, train_urls: int = TRAIN_URLS) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
     The longest listed rule decides; where none fits, a URL that matches a mined rule is blocked and any other
-    allowed. Rules are mined from a bounded sample of labelled URLs: those that the list judges, by its verdict, and others by the
-    quality in labels of the page's id. Null URLs and URLs without :// have an empty host and path and no rule, and are allowed
+    allowed. Rules are mined from a bounded sample of labels (url, blocked); where none are given, the labels are the list's verdicts on the pages that it judges.
+    Null URLs and URLs without :// have an empty host and path and no rule, and are allowed
     unless their tokens match. Equal URLs are matched once, and joined back with hot URLs split.
     """
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = cut(rows.withColumn("listed", listed_rule(F.col("host"), F.col("path"))))
-    marks = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = rows.join(marks, rows["page_id"] == marks["doc_id"], "left").withColumn("blocked", F.coalesce(F.col("listed.verdict") == "block", F.col("quality") == 0)).where("blocked IS NOT NULL AND url IS NOT NULL")
-    known = cut(known.select("page_id", "url", "blocked"))
+    known = rows.where("listed IS NOT NULL").select("url", (F.col("listed.verdict") == "block").alias("blocked")) if labels is None else labels.select("url", "blocked")
     rate = min(1.0, train_urls / max(1, known.count()))
-    rules = mine(known.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < round(rate * 1_000_000)))
+    # A label is drawn by its URL and its row, so that one URL of very many rows is thinned too.
+    rules, stands = mine(known.where(F.pmod(F.xxhash64("url", F.monotonically_increasing_id()), F.lit(1_000_000)) < round(rate * 1_000_000)))
     urls = rows.where("listed IS NULL AND url IS NOT NULL").select("url").distinct().withColumn("tokens", tokens_of(F.col("url")))
-    hit = cut(matched(urls, rules).withColumnRenamed("url", "_url"))
+    hit = cut(matched(urls, rules, stands).withColumnRenamed("url", "_url"))
     out = rows.join(small(hit), rows["url"] == hit["_url"], "left")
     verdict = F.coalesce(F.col("listed.verdict"), F.when(F.col("_url").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("listed.rule").alias("rule"), verdict.alias("verdict"))

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quirefold.llm import decontaminate, graph, mixing, quality_rules, sharding, simhash, substring, toxicity, url_rules
+from quirefold.llm import decontaminate, graph, mixing, quality_rules, sharding, similar, simhash, substring, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, root string, fp string, shard int"
 
@@ -104,6 +104,39 @@ def test_mixing_emits_what_it_takes_and_agrees_with_itself(docs):
     assert mixing.mix(docs.limit(0)).collect() == [] and mixing.emit(docs.limit(0)).collect() == []
 
 
+def test_a_row_repeated_often_is_spread(spark):
+    rows = [(7, "x" * 90)] * 2000 + [(None, None)] * 500 + [(i, "y" * 50) for i in range(100)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    load = defaultdict(int)
+    for r in got:
+        load[r.shard] += r["size"]
+    assert len(load) == 16 and max(load.values()) <= 1.03 * min(load.values())
+    for shard in load:
+        assert sorted(r.slot for r in got if r.shard == shard) == [*range(sum(r.shard == shard for r in got))]
+    again = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+CLASHING = ("_source", "_n", "_rate", "_seed", "_fp", "_h", "_key", "_host", "_q", "_of", "n", "failed", "size", "word", "component_id", "root", "copies", "items", "class", "part")
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    bench = [(1, "which town is the seat of the old court of salt and rope. It is Ombra on the river.")]
+    own = [(i, words(random.Random(i), 60, 10**6), "s", 1) for i in range(30)]
+    rows = [*own, (3, own[3][1], "s", 1), (90, own[5][1] + " more", "s", 1), (91, own[6][1] + " " + bench[0][1], None, 1), (92, "short", "t", 1), (None, own[7][1], "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").withColumns({c: F.lit(f"mine {c}") for c in CLASHING})
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    for stage in (quality_rules.keep_good, simhash.keep_first, similar.keep_first, lambda d: decontaminate.keep_clean(d, table), mixing.emit):
+        out = stage(docs)
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
+        assert all(r[c] == f"mine {c}" for r in out.collect() for c in CLASHING)
+        assert stage(docs.limit(0)).collect() == []
+        docs = docs if stage is simhash.keep_first else out
+    assert sharding.assign(docs).count() == docs.count() and sharding.assign(docs.limit(0)).collect() == []
+    left = {r.doc_id for r in docs.collect()}
+    assert 91 not in left and 92 not in left
+
+
 def test_simhash_against_brute_force(docs):
     rows = [(i, t) for i, t in dict(r for r in corpus() if r[0] is not None).items()]
     want = brute.components(rows)
@@ -201,38 +234,14 @@ def test_shards_are_even_gapless_and_stable(spark, tmp_path):
     for r in got:
         slot_bytes[r.vslot] += r["size"]
     two = sharding.rebalanced(one, slot_bytes, 17)
-    assert sharding.store_map(spark, str(tmp_path / "map"), two) == 2 and sharding.load_map(spark, str(tmp_path / "map"), 1) == one
+    assert sharding.load_map(spark, str(tmp_path / "map"), 1) == sharding.even_map(16) and sharding.load_map(spark, str(tmp_path / "map"), 2) == one
+    assert sharding.store_map(spark, str(tmp_path / "map"), two) == 3 and sharding.load_map(spark, str(tmp_path / "map"), 2) == one
     grown = [sum(b for v, b in slot_bytes.items() if two[v] == s) for s in range(17)]
     assert max(grown) - min(grown) <= 0.03 * sum(grown) / 17 and all(two[v] == 16 or one[v] == s for v, s in two.items() if s == one[v] or s == 16)
     assert {s for s in sharding.rebalanced(two, slot_bytes, 8).values()} <= set(range(8))
     assert sharding.assign(table.limit(0)).collect() == []
 
 
-URLS = [
-    (None, "", "", None), ("no scheme", "", "", None), ("http://A.EXAMPLE.org/es/x?q", "a.example.org", "/es/x", "example.org/es/"), ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1"), ("http://x.org", "x.org", "", None),
-    ("http://x.org?a=/", "x.org", "", None), ("https://q.com/fr/", "q.com", "/fr/", "com/fr/"), ("https://q.com/de/#x", "q.com", "/de/", "com/de/"), ("ftp://notorg/", "notorg", "/", None), ("x://É.ORG/p\nq", "É.org", "/p\nq", "org/"),
-]
-
-
-def test_url_rules(spark):
-    pages = spark.createDataFrame([(i, u, "h") for i, (u, *_) in enumerate(URLS)] + [(0, None, "h")], "page_id long, url string, host string")
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_rules.judge(pages, labels).collect()}
-    verdict = {"example.org/es/": "block", "example.org/en/1": "block", "com/de/": "block"}
-    assert got == {(i, h, p, r, verdict.get(r, "allow")) for i, (_, h, p, r) in enumerate(URLS)}
-    assert url_rules.judge(pages.limit(0), labels).collect() == []
-
-
-def test_mined_rules_block_what_labels_say(spark):
-    rows = [(i, f"http://{'spam' if i % 4 == 0 else 'fine'}.net/{'en' if i % 2 else 'fr'}/{i}") for i in range(400)]
-    pages = spark.createDataFrame(rows, "page_id long, url string")
-    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(0, 200)], "doc_id long, quality int, toxic int")
-    got = {r.page_id: r.verdict for r in url_rules.judge(pages, labels).collect()}
-    assert got == {i: "block" if i % 4 == 0 else "allow" for i in range(400)}
-    rules = url_rules.mine(spark.createDataFrame([(u, i % 4 == 0) for i, u in rows], "url string, blocked boolean")).collect()
-    assert [r.antecedent for r in rules] == [[".spam"]] and rules[0].confidence == 1
-
-
 def items(n: int = 60) -> list[tuple[int, str | None]]:
     rng = random.Random(9)
     return [(i, " ".join(f"k{rng.randrange(3000)}" if rng.random() < 0.6 else rng.choice("the of and in to".split()) for _ in range(rng.randrange(12, 50))) + ". The answer is " + f"k{i} k{i + 1}.") for i in range(n)] + [(900, None), (901, ""), (902, "one")]
