@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quirefold.llm import decontaminate, mixing, quality_rules, sharding, similar
-from quirefold.llm.common import cut
+from quirefold.llm.common import cut, scratch_path
 
 #: None: components of near copies are not expressible in SQL.
 ORACLE_SQL = None
@@ -34,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's shard and place."""
-    return sharding.assign(docs).drop("vslot")
+    """Every row's shard and place, by a stored map of virtual slots."""
+    return sharding.assign(docs, map_path=scratch_path(spark, "slot-map")).drop("vslot")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
