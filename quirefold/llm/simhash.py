@@ -27,12 +27,16 @@ def fingerprint(raw: bytes | None) -> int:
         return 0
     n = max(1, len(words) - SHINGLE + 1)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else iter([b" ".join(words)])
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, n)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are 1 in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
+    for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(texts: pa.Array) -> pa.Array:

@@ -1,4 +1,4 @@
-"""Near copies by similarity: texts whose sets of five-word shingles overlap by 0.8 of their union or more, found exactly by prefixes."""
+"""Near copies by similarity: texts whose sets of five-word shingles overlap by 0.8 of their union or more. SimHash tiles find most; prefixes find what fingerprints miss."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
 from quirefold.llm import simhash
-from quirefold.llm.common import cut, small
+from quirefold.llm.common import cut, discard, small
 from quirefold.llm.graph import components
 
 SHINGLE, SEED = 5, 42
@@ -19,13 +19,18 @@ SAMPLE, LISTED = 8000, 200_000
 BITS = 512
 
 
-def shingles(raw: bytes | None) -> np.ndarray:
-    """The distinct hashes of the lower-cased words' shingles, in order; a text of fewer words is one shingle, and no words have none."""
+def hashes(raw: bytes | None) -> np.ndarray:
+    """The hashes of the lower-cased words' shingles, repeats included; a text of fewer words is one shingle, and no words have none."""
     words = (raw or b"").decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape").split()
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     found = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else iter([b" ".join(words)])
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64).view(np.int64))
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64)
+
+
+def shingles(raw: bytes | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(hashes(raw).view(np.int64))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -50,28 +55,29 @@ def set_id_of(text: Column) -> Column:
 
 
 def prints_of(text: Column, common: np.ndarray, times: np.ndarray) -> Column:
-    """A struct of the set's id fp, its size n, its bits, and its prefix: the first items in an order that all texts share.
+    """A struct of the set's id fp, its SimHash sim, its size n, its bits, and its prefix: the first items in an order that all texts share.
 
     Sets that are similar share an item of their prefixes, whatever the order. Common items (sorted) come last, by their times.
     A bit tells whether an odd number of the items fall on it, so that sets differ in as many items as bits at least.
     """
 
-    def one(raw: bytes | None) -> tuple[int, int, bytes, np.ndarray]:
-        items = shingles(raw)
+    def one(raw: bytes | None) -> tuple[int, int, int, bytes, np.ndarray]:
+        every = hashes(raw)
+        items = np.unique(every.view(np.int64))
         n, first = len(items), items
         if n and len(common):
             at = np.minimum(np.searchsorted(common, items), len(common) - 1)
             first = items[np.argsort(np.where(common[at] == items, times[at], 0), kind="stable")]
         bits = np.packbits((np.bincount(items & (BITS - 1), minlength=BITS) & 1).astype(bool)).tobytes()
-        return _id(items), n, bits, first[: n - (4 * n + 4) // 5 + 1 if n else 0]
+        return _id(items), simhash._signed(simhash.majority(every)), n, bits, first[: n - (4 * n + 4) // 5 + 1 if n else 0]
 
     def prints(texts: pa.Array) -> pa.Array:
-        fp, n, bits, first = zip(*[one(x.as_py()) for x in texts], strict=True) if len(texts) else ((), (), (), ())
+        fp, sim, n, bits, first = zip(*[one(x.as_py()) for x in texts], strict=True) if len(texts) else ((),) * 5
         flat = pa.array(np.concatenate([np.zeros(0, np.int64), *first]))
         prefix = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), flat)
-        return pa.StructArray.from_arrays([pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), prefix], ["fp", "n", "bits", "prefix"])
+        return pa.StructArray.from_arrays([pa.array(fp, pa.int64()), pa.array(sim, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), prefix], ["fp", "sim", "n", "bits", "prefix"])
 
-    return F.arrow_udf(prints, "fp long, n int, bits binary, prefix array<long>")(_raw(text))
+    return F.arrow_udf(prints, "fp long, sim long, n int, bits binary, prefix array<long>")(_raw(text))
 
 
 def _items_of(text: Column) -> Column:
@@ -109,44 +115,81 @@ def _both(pairs: DataFrame, each: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar: those that their bits (each: fp, n, bits, key) don't tell apart are compared as sets, made again from texts (doc_id, text)."""
     few = F.arrow_udf(_few_bits, BooleanType())
-    pairs = cut(_both(pairs, each.drop("key")).where(few("a_n", "b_n", "a_bits", "b_bits")).select("a", "b"))
+    pairs = cut(_both(pairs, each.select("fp", "n", "bits")).where(few("a_n", "b_n", "a_bits", "b_bits")).select("a", "b"))
     ids = pairs.select(F.col("a").alias("_fp")).union(pairs.select(F.col("b").alias("_fp"))).distinct()
     ids = cut(each.join(ids, each["fp"] == ids["_fp"]).select("_fp", F.col("key").alias("_key")))
     again = texts.join(small(ids.select("_key").distinct()), F.col("doc_id").eqNullSafe(F.col("_key")), "left_semi")
-    sets = cut(again.select(_items_of(F.col("text")).alias("s")).select("s.*"))
-    sets = cut(sets.join(small(ids), sets["fp"] == ids["_fp"], "left_semi").dropDuplicates(["fp"]))
+    made = again.select(_items_of(F.col("text")).alias("s")).select("s.*")
+    sets = cut(made.join(small(ids), made["fp"] == ids["_fp"], "left_semi"))
+    if sets.count() > ids.count():  # a key is repeated
+        once = cut(sets.dropDuplicates(["fp"]))
+        discard(sets)
+        sets = once
     near = F.arrow_udf(lambda x, y: pa.array([similar(np.frombuffer(p.as_py(), "<i8"), np.frombuffer(q.as_py(), "<i8")) for p, q in zip(x, y, strict=True)], pa.bool_()), BooleanType())
-    return cut(_both(pairs, sets).where(near("a_items", "b_items")).select("a", "b"))
+    out = cut(_both(pairs, sets).where(near("a_items", "b_items")).select("a", "b"))
+    discard(pairs, ids, sets)
+    return out
+
+
+def _fingerprint_pairs(each: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that connect all those whose SimHashes are linked by simhash.links(): each fingerprint's sets with the least of them, and linked fingerprints by their least sets."""
+    least = cut(each.groupBy("sim").agg(F.min("fp").alias("least")))
+    same = each.join(least, "sim").where("fp > least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    near = simhash.links(least.select(F.col("sim").alias("fp")))
+    one, two = (least.select(F.col("sim").alias(f"_{x}"), F.col("least").alias(f"_{x}_least")) for x in "ab")
+    near = near.join(one, near["a"] == one["_a"]).join(two, near["b"] == two["_b"])
+    return same.union(near.select(F.least("_a_least", "_b_least").alias("a"), F.greatest("_a_least", "_b_least").alias("b")))
 
 
 def links(prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all similar sets of prints (doc_id, fp, n, bits, prefix), which are those of texts (doc_id, text).
+    """Links (a, b) that connect all similar sets of prints (doc_id, fp, sim, n, bits, prefix), which are those of texts (doc_id, text).
 
-    Similar sets share an item of their prefixes, and at the first that they share enough items follow. Each item first links
-    sets to the least that has it; then only the pairs of an item whose sets are not connected yet are compared, so that a
-    large group of near copies isn't compared pair by pair.
+    Sets whose SimHashes are linked are compared first. Similar sets share an item of their prefixes, and at the first that they share enough items follow: each item then links
+    sets to the least that has it, and at last only the pairs of an item whose sets are not connected yet are compared, so that a
+    large group of near copies isn't compared pair by pair. Every link given is of sets that were compared as a whole.
     """
-    each = cut(prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("key")))
+    each = cut(prints.groupBy("fp").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("key")))
+    found = _verified(cut(_fingerprint_pairs(each)), each, texts)
     items = prints.select("fp", "n", F.posexplode("prefix").alias("pos", "item"))
     shared = cut(items.groupBy("item").agg(F.min("fp").alias("least"), F.max("fp").alias("_most")).where("least < _most").select(F.col("item").alias("_item"), "least"))
-    rows = cut(items.join(small(shared), items["item"] == shared["_item"]).select("item", "fp", "n", "pos", "least").distinct())
-    heads = rows.where("fp = least").select(F.col("item").alias("_item"), F.col("n").alias("_n"), F.col("pos").alias("_pos"))
+    classed = components(found).select(F.col("node").alias("_node"), "root")
+    rows = items.join(small(shared), items["item"] == shared["_item"]).select("item", "fp", "n", "pos", "least").distinct()
+    rows = rows.join(classed, rows["fp"] == classed["_node"], "left").select("item", "fp", "n", "pos", "least", F.coalesce("root", "fp").alias("class"))
+    rows = _several(cut(rows))
+    heads = rows.where("fp = least").select(F.col("item").alias("_item"), F.col("n").alias("_n"), F.col("pos").alias("_pos"), F.col("class").alias("_class"))
     fits = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) * 9 >= (F.col("n") + F.col("_n")) * 4
-    starred = rows.where("fp > least").join(heads, (rows["item"] == heads["_item"]) & fits)
+    starred = rows.where("fp > least").join(heads, (rows["item"] == heads["_item"]) & (F.col("class") != F.col("_class")) & fits)
     tried = cut(starred.select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct())
-    found = _verified(tried, each, texts)
+    found = found.union(_verified(tried, each, texts))
     classed = components(found).select(F.col("node").alias("_node"), "root")
-    rows = cut(rows.join(classed, rows["fp"] == classed["_node"], "left").select("item", "fp", "n", "pos", F.coalesce("root", "fp").alias("class")))
-    mixed = cut(rows.groupBy("item").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select(F.col("item").alias("_item")))
-    rows = cut(rows.join(small(mixed), rows["item"] == mixed["_item"], "left_semi"))
+    again = cut(rows.drop("class", "least").join(classed, rows["fp"] == classed["_node"], "left").select("item", "fp", "n", "pos", F.coalesce("root", "fp").alias("class")))
+    discard(rows, shared)
+    rows = _several(again)
     others = rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
     apart = rows.join(others, (rows["item"] == others["_item"]) & (F.col("fp") < F.col("_fp")) & (F.col("class") != F.col("_class")) & fits)
     left = cut(apart.select(F.col("fp").alias("a"), F.col("_fp").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return found.union(_verified(left, each, texts))
+    out = cut(found.union(_verified(left, each, texts)))
+    discard(rows, tried, left, each)
+    return out
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """The written rows (item, class, ...) of items that sets of more than one class have, written in their place."""
+    mixed = cut(rows.groupBy("item").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select(F.col("item").alias("_item")))
+    out = cut(rows.join(small(mixed), rows["item"] == mixed["_item"], "left_semi"))
+    discard(rows, mixed)
+    return out
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component of similar documents, with the columns of docs: that of the smallest key. Blank texts are similar to each other."""
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    prints = cut(texts.select("doc_id", prints_of(F.col("text"), *_common(texts)).alias("s"))).select("doc_id", "s.*")
-    return simhash.first_of(docs, prints.select("doc_id", "fp"), simhash.classes(prints.select("doc_id", "fp"), lambda each: links(prints, texts)), set_id_of, key, text)
+    whole = cut(texts.select("doc_id", prints_of(F.col("text"), *_common(texts)).alias("s")))
+    prints = cut(whole.select("doc_id", "s.fp"))
+
+    def linked(_: DataFrame) -> DataFrame:
+        found = links(whole.select("doc_id", "s.*"), texts)
+        discard(whole)
+        return found
+
+    return simhash.first_of(docs, prints, simhash.classes(prints, linked), set_id_of, key, text)
