@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings that hold while a table is written: it replaces the shuffles it was made from, and batches to Python workers are bounded by bytes, however long texts are.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 _written: dict[str, SparkSession] = {}
 
 
@@ -34,12 +35,15 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows from a table written to the shared folder, which survives lost executors and ends the lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, "table")
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")  # the table replaces the shuffles it was made from
+    given = spark.conf.getAll
+    before = {k: given.get(k) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_at = path
     return table
