@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -194,20 +195,37 @@ def test_repeats_against_brute_force(docs):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("ab"), max_size=60), min_size=1, max_size=3))
-def test_locating_finds_every_covered_word(texts):
+def test_locating_finds_every_place(texts):
     raw = {k: [w.encode() for w in t] for k, t in enumerate(texts)}
-    phrases = [(k, s, 2) for k, t in enumerate(texts) for s in range(0, len(t) - 5, 7)]
-    spelled = {tuple(texts[k][s : s + 6]) for k, s, _ in phrases}
-    for k, got in substring.locate(raw, phrases, 5).items():
-        want = {j for i in range(len(texts[k])) if tuple(texts[k][i : i + 6]) in spelled for j in range(i, i + 6)}
-        assert {*np.flatnonzero(got)} == want
+    phrases = [list(p) for p in {tuple(t[s : s + n]) for t in raw.values() for s in range(0, len(t) - 6, 7) for n in (5, 6)}]
+    for k, got in substring.locate(raw, phrases).items():
+        assert sorted(got) == sorted((i, at) for i, p in enumerate(phrases) for at in range(len(raw[k]) - len(p) + 1) if raw[k][at : at + len(p)] == p)
 
 
 def test_pairs_of_letters_spell_large_vocabularies(monkeypatch):
     monkeypatch.setattr(substring, "_VOCABULARY", 10)
     raw = {0: [b"w%d" % i for i in range(80)], 1: [b"w%d" % i for i in range(40, 80)]}
-    got = substring.locate(raw, [(1, 0, 6)], 35)
-    assert [*np.flatnonzero(got[0])] == [*range(40, 80)] and got[1].all()
+    assert substring.locate(raw, [raw[1][:36], raw[0][3:9]]) == {0: [(1, 3), (0, 40)], 1: [(0, 0)]}
+
+
+def test_a_phrase_found_once_is_not_removed():
+    words = b" ".join(b"w%d" % i for i in range(40))
+    table = lambda *seen: pa.table({"m": [1] * len(seen), "c": [*range(len(seen))], "seen": [*seen], "words": [words + b" x%d" % i for i in range(len(seen))]})
+    phrase = pa.table({"words": [words], "parts": [1]})
+    assert substring._locate_shard(table(1), phrase).num_rows == 0
+    assert substring._locate_shard(table(1, 1), phrase).to_pylist() == [{"m": 1, "c": c, "runs": [{"pos": 0, "n": 6}]} for c in (0, 1)]
+    assert substring._locate_shard(table(1), pa.table({"words": [words], "parts": [2]})).num_rows == 1
+
+
+@pytest.mark.parametrize("part", [10_000, 2])
+def test_a_common_passage_in_many_documents(spark, monkeypatch, part):
+    monkeypatch.setattr(substring, "PART", part)
+    rng = random.Random(part)
+    common, other = words(rng, 50, 10**6), words(rng, 44, 10**6)
+    rows = [(i, f"{words(rng, rng.randrange(1, 40), 10**6)} {common} {words(rng, rng.randrange(1, 40), 10**6)} {other[: rng.choice([0, 250, 400])]}") for i in range(60)]
+    want = brute.repeats_removed(rows)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and all(n >= 50 for _, n, _ in got.values())
 
 
 @given(st.lists(st.booleans()))
