@@ -141,44 +141,41 @@ def _fingerprint_pairs(each: DataFrame) -> DataFrame:
     return same.union(near.select(F.least("_a_least", "_b_least").alias("a"), F.greatest("_a_least", "_b_least").alias("b")))
 
 
-def links(prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all similar sets of prints (doc_id, fp, sim, n, bits, prefix), which are those of texts (doc_id, text).
+def links(each: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all similar sets of each (fp, sim, n, bits, prefix, key), a written table of distinct sets, which are those of texts (doc_id, text). The table is discarded.
 
     Sets whose SimHashes are linked are compared first. Similar sets share an item of their prefixes, and at the first that they share enough items follow: each item then links
     sets to the least that has it, and at last only the pairs of an item whose sets are not connected yet are compared, so that a
     large group of near copies isn't compared pair by pair. Every link given is of sets that were compared as a whole.
     """
-    each = cut(prints.groupBy("fp").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("key")))
-    found = _verified(cut(_fingerprint_pairs(each)), each, texts)
-    items = prints.select("fp", "n", F.posexplode("prefix").alias("pos", "item"))
-    shared = cut(items.groupBy("item").agg(F.min("fp").alias("least"), F.max("fp").alias("_most")).where("least < _most").select(F.col("item").alias("_item"), "least"))
-    classed = components(found).select(F.col("node").alias("_node"), "root")
-    rows = items.join(small(shared), items["item"] == shared["_item"]).select("item", "fp", "n", "pos", "least").distinct()
-    rows = rows.join(classed, rows["fp"] == classed["_node"], "left").select("item", "fp", "n", "pos", "least", F.coalesce("root", "fp").alias("class"))
-    rows = _several(cut(rows))
+    slim = cut(each.drop("prefix"))
+    found = _verified(cut(_fingerprint_pairs(slim)), slim, texts)
+    items = _classed(each.select("fp", "n", "prefix"), found).select("fp", "n", "class", F.posexplode("prefix").alias("pos", "item"))
+    shared = items.groupBy("item").agg(F.min("fp").alias("least"), F.min("class").alias("_x"), F.max("class").alias("_y")).where("_x < _y")
+    shared = cut(shared.select(F.col("item").alias("_item"), "least"))
+    rows = cut(items.join(small(shared), items["item"] == shared["_item"]).select("item", "fp", "n", "pos", "class", "least"))
+    discard(each, shared)
     heads = rows.where("fp = least").select(F.col("item").alias("_item"), F.col("n").alias("_n"), F.col("pos").alias("_pos"), F.col("class").alias("_class"))
     fits = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) * 9 >= (F.col("n") + F.col("_n")) * 4
     starred = rows.where("fp > least").join(heads, (rows["item"] == heads["_item"]) & (F.col("class") != F.col("_class")) & fits)
     tried = cut(starred.select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct())
-    found = found.union(_verified(tried, each, texts))
-    classed = components(found).select(F.col("node").alias("_node"), "root")
-    again = cut(rows.drop("class", "least").join(classed, rows["fp"] == classed["_node"], "left").select("item", "fp", "n", "pos", F.coalesce("root", "fp").alias("class")))
-    discard(rows, shared)
-    rows = _several(again)
-    others = rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
-    apart = rows.join(others, (rows["item"] == others["_item"]) & (F.col("fp") < F.col("_fp")) & (F.col("class") != F.col("_class")) & fits)
-    left = cut(apart.select(F.col("fp").alias("a"), F.col("_fp").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    out = cut(found.union(_verified(left, each, texts)))
-    discard(rows, tried, left, each)
+    found = found.union(_verified(tried, slim, texts))
+    again = _classed(rows.select("item", "fp", "n", "pos"), found)
+    mixed = cut(again.groupBy("item").agg(F.min("class").alias("_x"), F.max("class").alias("_y")).where("_x < _y").select(F.col("item").alias("_item")))
+    left = cut(again.join(small(mixed), again["item"] == mixed["_item"], "left_semi"))
+    discard(rows, mixed)
+    others = left.select(*[F.col(c).alias(f"_{c}") for c in left.columns])
+    apart = left.join(others, (left["item"] == others["_item"]) & (F.col("fp") < F.col("_fp")) & (F.col("class") != F.col("_class")) & fits)
+    pairs = cut(apart.select(F.col("fp").alias("a"), F.col("_fp").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    out = cut(found.union(_verified(pairs, slim, texts)))
+    discard(left, tried, pairs, slim)
     return out
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """The written rows (item, class, ...) of items that sets of more than one class have, written in their place."""
-    mixed = cut(rows.groupBy("item").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select(F.col("item").alias("_item")))
-    out = cut(rows.join(small(mixed), rows["item"] == mixed["_item"], "left_semi"))
-    discard(rows, mixed)
-    return out
+def _classed(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """sets (fp, ...) with class: the component that the links found put them in, or themselves."""
+    classed = components(found).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return sets.join(small(classed), sets["fp"] == classed["_node"], "left").select(*sets.columns, F.coalesce("_root", "fp").alias("class"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,10 +183,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     whole = cut(texts.select("doc_id", prints_of(F.col("text"), *_common(texts)).alias("s")))
     prints = cut(whole.select("doc_id", "s.fp"))
-
-    def linked(_: DataFrame) -> DataFrame:
-        found = links(whole.select("doc_id", "s.*"), texts)
-        discard(whole)
-        return found
-
-    return simhash.first_of(docs, prints, simhash.classes(prints, linked), set_id_of, key, text)
+    each = whole.groupBy("s.fp").agg(*[F.first(f"s.{c}").alias(c) for c in ("sim", "n", "bits", "prefix")], F.min("doc_id").alias("key"))
+    each = cut(each)
+    discard(whole)
+    return simhash.first_of(docs, prints, simhash.classes(prints, lambda _: links(each, texts)), set_id_of, key, text)
