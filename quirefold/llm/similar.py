@@ -80,14 +80,34 @@ def prints_of(text: Column, common: np.ndarray, times: np.ndarray) -> Column:
     return F.arrow_udf(prints, "fp long, sim long, n int, bits binary, prefix array<long>")(_raw(text))
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """A set's wide bits, packed: like those of prints_of(), but as many as a power of two from four times its size on."""
+    n = max(BITS, 1 << int(4 * len(items) - 1).bit_length()) if len(items) else BITS
+    return np.packbits((np.bincount(items & (n - 1), minlength=n) & 1).astype(bool))
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many wide bits two sets differ; the longer row of bits is folded to the length of the other."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def _items_of(text: Column) -> Column:
-    """A struct of the set's id fp and its items as bytes."""
+    """A struct of the set's id fp, its size n, its items as bytes and its wide bits."""
 
     def sets(texts: pa.Array) -> pa.Array:
         found = [shingles(x.as_py()) for x in texts]
-        return pa.StructArray.from_arrays([pa.array([_id(x) for x in found], pa.int64()), pa.array([x.astype("<i8").tobytes() for x in found], pa.binary())], ["fp", "items"])
+        columns = [
+            pa.array([_id(x) for x in found], pa.int64()),
+            pa.array([len(x) for x in found], pa.int64()),
+            pa.array([x.astype("<i8").tobytes() for x in found], pa.binary()),
+            pa.array([parity(x).tobytes() for x in found], pa.binary()),
+        ]
+        return pa.StructArray.from_arrays(columns, ["fp", "n", "items", "wide"])
 
-    return F.arrow_udf(sets, "fp long, items binary")(_raw(text))
+    return F.arrow_udf(sets, "fp long, n long, items binary, wide binary")(_raw(text))
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +133,11 @@ def _both(pairs: DataFrame, each: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: those that their bits (each: fp, n, bits, key) don't tell apart are compared as sets, made again from texts (doc_id, text)."""
+    """Links (a, b), all of similar sets, that connect those of pairs (a, b) whose sets are similar.
+
+    The pairs that their bits (each: fp, n, bits, key) don't tell apart, and then their wide bits, are compared as sets, made again from texts
+    (doc_id, text). Each set is compared with the nearest by wide bits first, twice; after that only pairs that are not connected yet are.
+    """
     few = F.arrow_udf(_few_bits, BooleanType())
     pairs = cut(_both(pairs, each.select("fp", "n", "bits")).where(few("a_n", "b_n", "a_bits", "b_bits")).select("a", "b"))
     ids = pairs.select(F.col("a").alias("_fp")).union(pairs.select(F.col("b").alias("_fp"))).distinct()
@@ -125,10 +149,30 @@ def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame) -> DataFrame:
         once = cut(sets.dropDuplicates(["fp"]))
         discard(sets)
         sets = once
+    apart = F.arrow_udf(lambda x, y: pa.array([differing(np.frombuffer(p.as_py(), np.uint8), np.frombuffer(q.as_py(), np.uint8)) for p, q in zip(x, y, strict=True)], pa.int64()), LongType())
+    wide = _both(pairs, sets.select("fp", "n", "wide")).select("a", "b", apart("a_wide", "b_wide").alias("d"), (F.col("a_n") + F.col("b_n")).alias("n"))
+    left = cut(wide.where(F.col("d") * 9 <= F.col("n")).select("a", "b", "d"))
+    discard(pairs, ids)
     near = F.arrow_udf(lambda x, y: pa.array([similar(np.frombuffer(p.as_py(), "<i8"), np.frombuffer(q.as_py(), "<i8")) for p, q in zip(x, y, strict=True)], pa.bool_()), BooleanType())
-    out = cut(_both(pairs, sets).where(near("a_items", "b_items")).select("a", "b"))
-    discard(pairs, ids, sets)
-    return out
+    items, found = sets.select("fp", "items"), None
+    for last in (False, False, True):
+        best = F.min(F.struct("d", "a", "b")).alias("p")
+        tried = left.select("a", "b") if last else cut(left.withColumn("_x", F.explode(F.array("a", "b"))).groupBy("_x").agg(best).select("p.a", "p.b").distinct())
+        linked = cut(_both(tried, items).where(near("a_items", "b_items")).select("a", "b"))
+        found = linked if found is None else cut(found.union(linked))
+        if last:
+            break
+        of = small(cut(components(found)))
+        rest = left.join(tried, ["a", "b"], "left_anti")
+        for x in "ab":
+            rest = rest.join(of.select(F.col("node").alias(f"_{x}"), F.col("root").alias(f"_{x}_root")), F.col(x) == F.col(f"_{x}"), "left")
+        rest = cut(rest.where(F.coalesce("_a_root", "a") != F.coalesce("_b_root", "b")).select("a", "b", "d"))
+        discard(left, tried)
+        left = rest
+        if left.isEmpty():
+            break
+    discard(left, sets)
+    return found
 
 
 def _fingerprint_pairs(each: DataFrame) -> DataFrame:
