@@ -81,19 +81,19 @@ def links(prints: DataFrame, tile: int = TILE, blocks: int | None = None) -> Dat
     return cut(dealt.mapInArrow(_compare, "a long, b long"))
 
 
-def _split_tiles(rows: DataFrame, tile: int) -> DataFrame:
-    """Rows of the hot keys, dealt to pairs of parts: (fp, side, tile). A part is of one key and population count, and near tile rows by hash."""
+def _split_tiles(rows: DataFrame, tile: int, radius: int = RADIUS, carried: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """Rows of the hot keys, dealt to pairs of parts: (carried, side, tile). A part is of one key and population count (pop), and near tile rows by hash."""
     cells = cut(rows.groupBy("key", "pop").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")))
     one = cells.select("key", "pop", F.col("parts").alias("n1"))
     two = cells.select(F.col("key").alias("_k"), F.col("pop").alias("pop2"), F.col("parts").alias("n2"))
-    pairs = one.join(two, (F.col("key") == F.col("_k")) & (F.col("pop2") >= F.col("pop")) & (F.col("pop2") <= F.col("pop") + RADIUS))
+    pairs = one.join(two, (F.col("key") == F.col("_k")) & (F.col("pop2") >= F.col("pop")) & (F.col("pop2") <= F.col("pop") + radius))
     pairs = pairs.withColumn("p1", F.explode(F.sequence(F.lit(0), F.col("n1") - 1))).withColumn("p2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)))
     pairs = pairs.where((F.col("pop") < F.col("pop2")) | (F.col("p1") <= F.col("p2"))).withColumn("tile", F.xxhash64("key", "pop", "p1", "pop2", "p2"))
     own = (F.col("pop") == F.col("pop2")) & (F.col("p1") == F.col("p2"))
     sides = pairs.select("key", "pop", F.col("p1").alias("part"), F.when(own, 0).otherwise(1).cast("byte").alias("side"), "tile")
     sides = sides.union(pairs.where(~own).select("key", F.col("pop2").alias("pop"), F.col("p2").alias("part"), F.lit(2).cast("byte").alias("side"), "tile"))
     parted = rows.join(cells, ["key", "pop"]).withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts").cast("long")).cast("int"))
-    return parted.join(sides, ["key", "pop", "part"]).select("fp", "side", "tile")
+    return parted.join(sides, ["key", "pop", "part"]).select(*carried, "side", "tile")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

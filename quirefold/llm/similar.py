@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,6 +20,8 @@ SHINGLE, SEED = 5, 42
 #: Texts from which common shingles are learned. They are put last in the order of shingles, which changes the work and not the result.
 SAMPLE, LISTED = 8000, 200_000
 BITS = 512
+#: Columns of the rows of an item, which a tile compares.
+CARRIED = ("fp", "n", "pos", "class", "bits")
 
 
 def hashes(raw: bytes | None) -> np.ndarray:
@@ -116,7 +121,9 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     each = F.arrow_udf(lambda found: pa.array([shingles(x.as_py()) for x in found], pa.list_(pa.int64())), "array<long>")(_raw(F.col("text")))
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
     counts = sample.select(F.explode(each).alias("item")).groupBy("item").agg(F.count("*").cast("int").alias("n"))
-    rows = counts.where("n > 2").orderBy(F.desc("n"), "item").limit(LISTED).toArrow().sort_by("item")
+    counts = cut(counts.where("n > 2"))
+    rows = counts.orderBy(F.desc("n"), "item").limit(LISTED).toArrow().sort_by("item")
+    discard(counts)
     return rows["item"].to_numpy(), rows["n"].to_numpy()
 
 
@@ -133,13 +140,10 @@ def _both(pairs: DataFrame, each: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b), all of similar sets, that connect those of pairs (a, b) whose sets are similar.
+    """Those of pairs (a, b), a written table, whose sets are similar.
 
-    The pairs that their bits (each: fp, n, bits, key) don't tell apart, and then their wide bits, are compared as sets, made again from texts
-    (doc_id, text). Each set is compared with the nearest by wide bits first, twice; after that only pairs that are not connected yet are.
+    Pairs that their wide bits don't tell apart are compared as sets, made again from texts (doc_id, text) of the keys in each (fp, key).
     """
-    few = F.arrow_udf(_few_bits, BooleanType())
-    pairs = cut(_both(pairs, each.select("fp", "n", "bits")).where(few("a_n", "b_n", "a_bits", "b_bits")).select("a", "b"))
     ids = pairs.select(F.col("a").alias("_fp")).union(pairs.select(F.col("b").alias("_fp"))).distinct()
     ids = cut(each.join(ids, each["fp"] == ids["_fp"]).select("_fp", F.col("key").alias("_key")))
     again = texts.join(small(ids.select("_key").distinct()), F.col("doc_id").eqNullSafe(F.col("_key")), "left_semi")
@@ -150,28 +154,10 @@ def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame) -> DataFrame:
         discard(sets)
         sets = once
     apart = F.arrow_udf(lambda x, y: pa.array([differing(np.frombuffer(p.as_py(), np.uint8), np.frombuffer(q.as_py(), np.uint8)) for p, q in zip(x, y, strict=True)], pa.int64()), LongType())
-    wide = _both(pairs, sets.select("fp", "n", "wide")).select("a", "b", apart("a_wide", "b_wide").alias("d"), (F.col("a_n") + F.col("b_n")).alias("n"))
-    left = cut(wide.where(F.col("d") * 9 <= F.col("n")).select("a", "b", "d"))
-    discard(pairs, ids)
+    left = cut(_both(pairs, sets.select("fp", "n", "wide")).where(apart("a_wide", "b_wide") * 9 <= F.col("a_n") + F.col("b_n")).select("a", "b"))
     near = F.arrow_udf(lambda x, y: pa.array([similar(np.frombuffer(p.as_py(), "<i8"), np.frombuffer(q.as_py(), "<i8")) for p, q in zip(x, y, strict=True)], pa.bool_()), BooleanType())
-    items, found = sets.select("fp", "items"), None
-    for last in (False, False, True):
-        best = F.min(F.struct("d", "a", "b")).alias("p")
-        tried = left.select("a", "b") if last else cut(left.withColumn("_x", F.explode(F.array("a", "b"))).groupBy("_x").agg(best).select("p.a", "p.b").distinct())
-        linked = cut(_both(tried, items).where(near("a_items", "b_items")).select("a", "b"))
-        found = linked if found is None else cut(found.union(linked))
-        if last:
-            break
-        of = small(cut(components(found)))
-        rest = left.join(tried, ["a", "b"], "left_anti")
-        for x in "ab":
-            rest = rest.join(of.select(F.col("node").alias(f"_{x}"), F.col("root").alias(f"_{x}_root")), F.col(x) == F.col(f"_{x}"), "left")
-        rest = cut(rest.where(F.coalesce("_a_root", "a") != F.coalesce("_b_root", "b")).select("a", "b", "d"))
-        discard(left, tried)
-        left = rest
-        if left.isEmpty():
-            break
-    discard(left, sets)
+    found = cut(_both(left, sets.select("fp", "items")).where(near("a_items", "b_items")).select("a", "b"))
+    discard(ids, left, sets)
     return found
 
 
@@ -185,34 +171,131 @@ def _fingerprint_pairs(each: DataFrame) -> DataFrame:
     return same.union(near.select(F.least("_a_least", "_b_least").alias("a"), F.greatest("_a_least", "_b_least").alias("b")))
 
 
-def links(each: DataFrame, texts: DataFrame) -> DataFrame:
+def _fitting(x: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs p[k], q[k] of an item's rows that can be similar by size, place of the item and bits, and aren't connected yet; and the share of bits that differ."""
+    apart = x["class"][p] != x["class"][q]
+    p, q = p[apart], q[apart]
+    both = x["n"][p] + x["n"][q]
+    fits = np.minimum(x["n"][p] - x["pos"][p], x["n"][q] - x["pos"][q]) * 9 >= both * 4
+    p, q, both = p[fits], q[fits], both[fits]
+    differ = np.bitwise_count(x["bits"][p] ^ x["bits"][q]).sum(axis=1, dtype=np.int64)
+    near = differ * 9 <= both
+    return p[near], q[near], differ[near] / both[near]
+
+
+def _nearest(x: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs between classes, a forest of the nearest: each class with the nearest other, then what they make with the nearest other, until all that pairs connect is connected."""
+    order = np.argsort(share, kind="stable")
+    p, q = p[order], q[order]
+    one, two = (np.unique(x["class"], return_inverse=True)[1][v] for v in (p, q))
+    root = np.arange(int(max(one.max(initial=0), two.max(initial=0))) + 1)
+    chosen = [np.zeros(0, np.int64)]
+    left = np.arange(len(p))
+    while len(left := left[root[one[left]] != root[two[left]]]):
+        best = np.full(len(root), len(p))
+        np.minimum.at(best, root[one[left]], left)
+        np.minimum.at(best, root[two[left]], left)
+        chosen.append(np.unique(best[best < len(p)]))
+        simhash._union(root, one[chosen[-1]], two[chosen[-1]])
+    chosen = np.concatenate(chosen)
+    return p[chosen], q[chosen]
+
+
+def _in_tile(x: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The fitting pairs of one large tile, by sub-tiles in the order of sizes; sub-tiles of distant sizes are passed over."""
+    order, step = np.argsort(x["n"], kind="stable"), simhash.SUBTILE
+    n, side = x["n"][order], x["side"][order]
+    found = [(order[:0], order[:0], np.zeros(0))]
+    for i in range(0, len(n), step):
+        for j in range(i, len(n), step):
+            if n[j] * 4 > n[min(i + step, len(n)) - 1] * 5:
+                break
+            a, b = np.meshgrid(np.arange(i, min(i + step, len(n))), np.arange(j, min(j + step, len(n))), indexing="ij")
+            meet = (a < b) & (side[a] != side[b]) if side[0] else a < b
+            found.append(_fitting(x, order[a[meet]], order[b[meet]]))
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+
+
+def _pairs_of(x: dict[str, np.ndarray], every: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole tiles: all that fit, or a forest of the nearest."""
+    tile = x["tile"]
+    if not len(tile):
+        return
+    start = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+    size = np.diff(np.r_[start, len(tile)])
+    at = np.flatnonzero(np.repeat(size <= 64, size))
+    found = [(at[:0], at[:0], np.zeros(0))]
+    for d in range(1, 64):
+        same = np.flatnonzero(tile[at[d:]] == tile[at[:-d]])
+        if not len(same):
+            break
+        found.append(_fitting(x, at[same], at[same + d]))
+    several = [tuple(np.concatenate(v) for v in zip(*found, strict=True))]
+    for s, n in zip(start[size > 64], size[size > 64], strict=True):
+        p, q, share = _in_tile({c: v[s : s + n] for c, v in x.items()})
+        several.append((p + s, q + s, share))
+    for p, q, share in several:
+        p, q = (p, q) if every else _nearest(x, p, q, share)
+        if len(p):
+            a, b = x["fp"][p], x["fp"][q]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """Whole tiles at a time, from batches sorted by tile."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        x = {c: batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", "n", "pos", "class", "side", "tile")}
+        x["bits"] = np.frombuffer(b"".join(batch["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        x = x if held is None else {c: np.concatenate([held[c], v]) for c, v in x.items()}
+        last = int(np.searchsorted(x["tile"], x["tile"][-1])) if len(x["tile"]) else 0
+        yield from _pairs_of({c: v[:last] for c, v in x.items()}, every)
+        held = {c: v[last:] for c, v in x.items()}
+    if held is not None:
+        yield from _pairs_of(held, every)
+
+
+def _item_pairs(rows: DataFrame, every: bool, tile: int = simhash.TILE) -> DataFrame:
+    """Pairs (a, b) of the sets of an item that fit and are of different classes, from rows (CARRIED, item, hot): all, or a forest of the nearest.
+
+    An item's rows are a tile. Those of a hot item are cut by size and hash, and the parts are compared in pairs, as simhash.links() does.
+    """
+    tiles = rows.where("NOT hot").select(*CARRIED, F.lit(0).cast("byte").alias("side"), F.col("item").alias("tile"))
+    hot = rows.where("hot")
+    if not hot.isEmpty():
+        # sizes within 5 : 4 are in the same class of sizes or in neighbouring ones
+        sized = hot.select(*CARRIED, F.col("item").alias("key"), F.floor(F.log(1.2501, F.col("n"))).cast("int").alias("pop"))
+        tiles = tiles.union(simhash._split_tiles(sized, tile, 1, CARRIED))
+    dealt = tiles.repartition("tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(partial(_compare, every=every), "a long, b long").distinct()
+
+
+def links(each: DataFrame, texts: DataFrame, tile: int = simhash.TILE) -> DataFrame:
     """Links (a, b) that connect all similar sets of each (fp, sim, n, bits, prefix, key), a written table of distinct sets, which are those of texts (doc_id, text). The table is discarded.
 
-    Sets whose SimHashes are linked are compared first. Similar sets share an item of their prefixes, and at the first that they share enough items follow: each item then links
-    sets to the least that has it, and at last only the pairs of an item whose sets are not connected yet are compared, so that a
-    large group of near copies isn't compared pair by pair. Every link given is of sets that were compared as a whole.
+    Sets whose SimHashes are linked are compared first. Similar sets share an item of their prefixes, and at the first that they share enough items follow. The sets of an item
+    that aren't connected yet are tiles, whose pairs are told apart by bits where they are: first a forest of the nearest pairs is compared as sets, so that a large group of near copies
+    is not compared pair by pair, and then all pairs that are still not connected. Every link given is of sets that were compared as a whole.
     """
     slim = cut(each.drop("prefix"))
-    found = _verified(cut(_fingerprint_pairs(slim)), slim, texts)
+    few = F.arrow_udf(_few_bits, BooleanType())
+    near = _both(_fingerprint_pairs(slim), slim.select("fp", "n", "bits")).where(few("a_n", "b_n", "a_bits", "b_bits")).select("a", "b")
+    near = cut(near)
+    found = _verified(near, slim, texts)
+    discard(near)
     items = _classed(each.select("fp", "n", "prefix"), found).select("fp", "n", "class", F.posexplode("prefix").alias("pos", "item"))
-    shared = items.groupBy("item").agg(F.min("fp").alias("least"), F.min("class").alias("_x"), F.max("class").alias("_y")).where("_x < _y")
-    shared = cut(shared.select(F.col("item").alias("_item"), "least"))
-    rows = cut(items.join(small(shared), items["item"] == shared["_item"]).select("item", "fp", "n", "pos", "class", "least"))
+    shared = items.groupBy("item").agg(F.min("class").alias("_x"), F.max("class").alias("_y"), F.count("*").alias("_n")).where("_x < _y")
+    shared = cut(shared.select(F.col("item").alias("_item"), (F.col("_n") > tile).alias("hot")))
+    rows = cut(items.join(small(shared), items["item"] == shared["_item"]).select("item", "fp", "n", "pos", "class", "hot"))
     discard(each, shared)
-    heads = rows.where("fp = least").select(F.col("item").alias("_item"), F.col("n").alias("_n"), F.col("pos").alias("_pos"), F.col("class").alias("_class"))
-    fits = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos")) * 9 >= (F.col("n") + F.col("_n")) * 4
-    starred = rows.where("fp > least").join(heads, (rows["item"] == heads["_item"]) & (F.col("class") != F.col("_class")) & fits)
-    tried = cut(starred.select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct())
-    found = found.union(_verified(tried, slim, texts))
-    again = _classed(rows.select("item", "fp", "n", "pos"), found)
-    mixed = cut(again.groupBy("item").agg(F.min("class").alias("_x"), F.max("class").alias("_y")).where("_x < _y").select(F.col("item").alias("_item")))
-    left = cut(again.join(small(mixed), again["item"] == mixed["_item"], "left_semi"))
-    discard(rows, mixed)
-    others = left.select(*[F.col(c).alias(f"_{c}") for c in left.columns])
-    apart = left.join(others, (left["item"] == others["_item"]) & (F.col("fp") < F.col("_fp")) & (F.col("class") != F.col("_class")) & fits)
-    pairs = cut(apart.select(F.col("fp").alias("a"), F.col("_fp").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    out = cut(found.union(_verified(pairs, slim, texts)))
-    discard(left, tried, pairs, slim)
+    bits = slim.select(F.col("fp").alias("_fp"), "bits")
+    wide = rows.join(bits, rows["fp"] == bits["_fp"])
+    nearest = cut(_item_pairs(wide, False, tile))
+    found = cut(found.union(_verified(nearest, slim, texts)))
+    wide = _classed(wide.drop("class"), found)
+    others = cut(_item_pairs(wide, True, tile).join(nearest, ["a", "b"], "left_anti"))
+    out = cut(found.union(_verified(others, slim, texts)))
+    discard(rows, slim, nearest, others)
     return out
 
 
@@ -222,7 +305,7 @@ def _classed(sets: DataFrame, found: DataFrame) -> DataFrame:
     return sets.join(small(classed), sets["fp"] == classed["_node"], "left").select(*sets.columns, F.coalesce("_root", "fp").alias("class"))
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = simhash.TILE) -> DataFrame:
     """One document of each component of similar documents, with the columns of docs: that of the smallest key. Blank texts are similar to each other."""
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     whole = cut(texts.select("doc_id", prints_of(F.col("text"), *_common(texts)).alias("s")))
@@ -230,4 +313,4 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     each = whole.groupBy("s.fp").agg(*[F.first(f"s.{c}").alias(c) for c in ("sim", "n", "bits", "prefix")], F.min("doc_id").alias("key"))
     each = cut(each)
     discard(whole)
-    return simhash.first_of(docs, prints, simhash.classes(prints, lambda _: links(each, texts)), set_id_of, key, text)
+    return simhash.first_of(docs, prints, simhash.classes(prints, lambda _: links(each, texts, tile)), set_id_of, key, text)

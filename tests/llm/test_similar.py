@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import brute
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -78,3 +79,32 @@ def test_rows_without_own_keys(spark):
     rows = [(1, base), (1, base), (1, "other words are here"), (2, base + " x"), (None, base + " y"), (None, "alone")]
     got = similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, "alone"), (1, base), (1, "other words are here")])
+
+
+@pytest.mark.parametrize("tile", [4, 40])
+def test_hot_items_are_cut_into_parts(spark, tile):
+    rng = random.Random(6)
+    base = " ".join(f"w{rng.randrange(10**5)}" for _ in range(150))
+    texts = [edited(rng, base, rng.randrange(1, 12)) + " x" * rng.randrange(30) for _ in range(150)] + [f"unlike {i} in every word {i}" for i in range(5)]
+    rows = list(enumerate(texts))
+    got = similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile)
+    assert sorted(r.doc_id for r in got.collect()) == kept_ids(rows)
+
+
+def test_nearest_pairs_connect_what_all_pairs_do():
+    rng = np.random.default_rng(5)
+    x = {"class": rng.integers(0, 40, 200)}
+    p, q = rng.integers(0, 200, 300), rng.integers(0, 200, 300)
+    apart = x["class"][p] != x["class"][q]
+    p, q = p[apart], q[apart]
+    a, b = similar._nearest(x, p, q, rng.random(len(p)))
+
+    def groups(p, q):
+        of = {c: c for c in range(40)}
+        for i, j in zip(x["class"][p], x["class"][q], strict=True):
+            old, new = of[i], of[j]
+            of = {c: new if r == old else r for c, r in of.items()}
+        return {frozenset(c for c in of if of[c] == r) for r in of.values()}
+
+    assert groups(a, b) == groups(p, q)
+    assert len(a) == 40 - len(groups(p, q))
