@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import chat, decontaminate, mixing, pii, quality_rules, sharding, simhash, substring, toxicity, url_rules
+from quirefold.llm import bpe, chat, decontaminate, mixing, pii, quality_rules, sharding, simhash, spelling, substring, toxicity, url_rules, whitening
 from quirefold.llm.common import scratch_path
 from quirefold.llm.sql import ORACLES
 
@@ -59,6 +60,18 @@ def op10_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.recover(table(spark, sf_dir, "conversations"))
 
 
+def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
+def op13_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -70,4 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_spans": op8_pii_spans,
     "op9_toxicity_grades": op9_toxicity_grades,
     "op10_chat_roles": op10_chat_roles,
+    "op11_whitened": op11_whitened,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_spelling_forms": op13_spelling_forms,
 }

@@ -50,4 +50,22 @@ k AS (SELECT x.rid, count(c.j) AS n_removed, string_agg(word, ' ' ORDER BY x.j)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
 """
 
-ORACLES = {"op1_mix_sources": OP1, "op5_quality_rules": OP5, "op7_repeated_phrases": OP7}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP13 = rf"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))),
+r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[a-zÀ-ÿ]+')) AS w FROM documents),
+d AS (SELECT w, k, hex(encode(k)) AS x FROM (SELECT w, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS k FROM r WHERE length(w) >= 7)),
+h AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i:i+1])::BIGINT)), lambda c, b: xor(c >> 8, t.t[1 + (xor(c, b) & 255)]))) AS h FROM d, t),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word FROM h),
+n AS (SELECT word, count(*) AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+c AS (SELECT word, n, i, left(word, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS rest FROM n, range(30) g(i) WHERE i < length(word)),
+e AS (SELECT a.word, b.word AS near, b.n FROM c a JOIN c b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT c.word, n.word, n.n FROM c JOIN n ON c.rest = n.word UNION SELECT n.word, c.word, c.n FROM c JOIN n ON c.rest = n.word),
+b AS (SELECT word, count(*) AS n_near, min({{'less': -n, 'near': near}}) AS best FROM e GROUP BY word),
+f AS (SELECT n.word, n.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 10 * n.n THEN best.near END AS form, CASE WHEN -best.less >= 10 * n.n THEN -best.less END AS form_n FROM n LEFT JOIN b USING (word)),
+p AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT p.word, f.word, f.form FROM p JOIN f ON p.next = f.word)
+SELECT f.word, f.form, p.root, f.n, f.n_near, f.form_n FROM f JOIN p ON f.word = p.word WHERE p.next IS NULL
+"""
+
+ORACLES = {"op1_mix_sources": OP1, "op5_quality_rules": OP5, "op7_repeated_phrases": OP7, "op13_spelling_forms": OP13}
