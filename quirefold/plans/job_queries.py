@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.operators import joblog as jl
 from quirefold.sources.adapters import job_events, table
+from quirefold.sources.result_store import ResultStore, records
 from quirefold.sources.scratch import scratch_path
 from quirefold.streaming import events as se
 
@@ -62,6 +63,34 @@ def streaming_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").select("job_id", "sequence", "type")
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> ResultStore:
+    """The records of all customers as jobs, an order a problem, written twice under one name; then those of some jobs again, without their later half."""
+    store = ResultStore(spark, scratch_path(spark, "results"))
+    orders = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    none = F.lit("")
+    rows = orders.select(
+        F.col("c_custkey").cast("string").alias("job_id"), F.col("o_orderkey").alias("problem_seq"), F.col("o_orderkey").cast("string").alias("number"), F.col("o_orderpriority").alias("question"),
+        F.col("o_orderstatus").alias("answer"), F.array(F.struct(F.lit("A").alias("label"), F.col("o_orderpriority").alias("text"))).alias("options"), none.alias("analysis"),
+    )
+    for _ in range(2):
+        store.write(records(rows), "all")
+    again = F.col("job_id").cast("long") % 5 == 0
+    store.write(records(rows.where(again & ((F.col("problem_seq") % 2 == 0) | F.col("problem_seq").isNull()))), "again")
+    return store
+
+
+def result_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _stored(spark, sf_dir).read()
+    return found.select("job_id", "status", "problem_count", F.array_join(F.transform("problems", lambda p: F.concat(p["number"], F.lit("="), p["question"], p["answer"])), ",").alias("problems"))
+
+
+def result_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that ask for the record of their customer's neighbours, some of whom no state is known of."""
+    states = jl.status(job_events(spark, sf_dir)).select("job_id", F.when(F.col("status") == "purchase", "completed").otherwise(F.col("status")).alias("status"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("asked_by"), (F.col("o_custkey") * 3 % 2000).cast("string").alias("job_id"))
+    return _stored(spark, sf_dir).ask(asked, states).select("asked_by", "job_id", "problem_count", "error")
+
+
 QUERIES = {
     "event_sequence": event_sequence,
     "updates_cursor": updates_cursor,
@@ -72,8 +101,14 @@ QUERIES = {
     "admission": admission,
     "append_sequence": append_sequence,
     "streaming_events": streaming_events,
+    "result_records": result_records,
+    "result_lookup": result_lookup,
 }
 
+_RECORDS = """o AS (SELECT c_custkey, o_orderkey AS k, o_orderkey || '=' || o_orderpriority || o_orderstatus AS p FROM customer LEFT JOIN orders ON c_custkey = o_custkey),
+again AS (SELECT DISTINCT c_custkey FROM o WHERE c_custkey % 5 = 0 AND (k IS NULL OR k % 2 = 0)),
+r AS (SELECT CAST(o.c_custkey AS VARCHAR) AS job_id, 'completed' AS status, CAST(count(k) AS INT) AS problem_count, coalesce(string_agg(p, ',' ORDER BY k), '') AS problems FROM o LEFT JOIN again USING (c_custkey) WHERE again.c_custkey IS NULL OR k IS NULL OR k % 2 = 0 GROUP BY o.c_custkey)"""
+
 ORACLES = {
     "event_sequence": f"WITH {_EVENTS} SELECT job_id, sequence, type FROM e",
     "updates_cursor": f"WITH {_EVENTS}, c AS (SELECT job_id, count(*) > 5 AS has_more, min(7) AS cap, max(sequence) AS last FROM e WHERE sequence > 2 GROUP BY job_id) SELECT job_id, sequence, type, CAST(least(cap, last) AS INT) AS next_cursor, has_more FROM e JOIN c USING (job_id) WHERE sequence > 2 AND sequence <= 7",
@@ -84,4 +119,6 @@ ORACLES = {
     "admission": "SELECT o_custkey AS queue, o_orderkey AS job_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 3 AS admitted FROM orders",
     "append_sequence": f"WITH {_EVENTS}, m AS (SELECT job_id, max(sequence) AS last FROM e GROUP BY job_id) SELECT job_id, CAST(last + row_number() OVER (PARTITION BY job_id ORDER BY created_at) AS INT) AS sequence FROM e JOIN m USING (job_id) WHERE type = 'click'",
     "streaming_events": f"WITH {_EVENTS} SELECT job_id, sequence, type FROM e",
+    "result_records": f"WITH {_RECORDS} SELECT * FROM r",
+    "result_lookup": f"WITH {_EVENTS}, {_LAST}, {_RECORDS}, q AS (SELECT o_orderkey AS asked_by, CAST(o_custkey * 3 % 2000 AS VARCHAR) AS job_id FROM orders), a AS (SELECT q.*, r.problem_count, CASE WHEN s.job_id IS NULL THEN 'no such job' WHEN s.status <> 'purchase' THEN 'job is not complete: ' || s.status WHEN r.job_id IS NULL THEN 'the job''s result is missing' END AS error FROM q LEFT JOIN s USING (job_id) LEFT JOIN r USING (job_id)) SELECT asked_by, job_id, CASE WHEN error IS NULL THEN problem_count END AS problem_count, error FROM a",
 }
