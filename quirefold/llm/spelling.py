@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,7 +85,7 @@ def near_pairs(listed: DataFrame, tile: int = TILE) -> DataFrame:
     """(a, na, b, nb): all pairs of words one inserted, deleted or replaced letter apart, each once, with their counts. listed (word, n) is read twice.
 
     Pairs of a tile are told apart by exclusive-or and bit counts of masks, skipping population counts that are too far; only pairs within an edit's
-    bits leave it, and Spark's levenshtein decides on those. Large tiles are cut into parts by hash, of which each two are compared in a task of their own.
+    bits are laid letter by letter beside each other, and only those one edit apart leave it. Large tiles are cut into parts by hash, of which each two are compared in a task of their own.
     """
     bits = bits_of_letters(listed)
 
@@ -101,7 +102,7 @@ def near_pairs(listed: DataFrame, tile: int = TILE) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     dealt = dealt.select("tile", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "side", "mask", "word", "n")
     tiles = dealt.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")
-    return tiles.mapInArrow(_compare, "a string, na long, b string, nb long").where(F.levenshtein("a", "b", 1) == 1)
+    return tiles.mapInArrow(_compare, "a string, na long, b string, nb long")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +135,49 @@ def _pairs(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     few = np.repeat(sizes <= 64, sizes)
     at = np.flatnonzero(few)
     tile = np.repeat(np.arange(len(starts)), sizes)
-    for p, q in (_near_small(at, tile, mask, pop), *(_near_large(np.arange(s, s + n), mask, pop) for s, n in zip(starts, sizes, strict=True) if n > 64)):
+    words = rows.column("word").combine_chunks()
+    codes, offset = _codes(words)
+    found = [_near_small(at, tile, mask, pop)]
+    for p, q in itertools.chain(found, *(_near_large(np.arange(s, s + n), mask, pop) for s, n in zip(starts, sizes, strict=True) if n > 64)):
         ok = _allowed(mask[p] ^ mask[q], kind[p], side[p] != side[q]) & (~cross[p] | (part[p] != part[q]))
         p, q = p[ok], q[ok]
+        near = _one_edit(codes, offset, p, q)
+        p, q = p[near], q[near]
         for k in range(0, len(p), 65536):
             a, b = (rows.select(["word", "n"]).take(pa.array(x[k : k + 65536])).combine_chunks() for x in (p, q))
             for x, y in zip(a.to_batches(), b.to_batches(), strict=True):
                 yield pa.RecordBatch.from_arrays([*x.columns, *y.columns], ["a", "na", "b", "nb"])
 
 
+def _codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all words, a byte each, and where each word begins and the last ends."""
+    text = words.to_pylist()
+    return np.frombuffer("".join(text).encode("latin-1"), np.uint8), np.r_[0, np.cumsum(np.fromiter(map(len, text), np.int64, len(text)))]
+
+
+def _one_edit(codes: np.ndarray, offset: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which pairs of words are exactly one replaced or one added letter apart; letters of pairs of equal lengths are laid side by side, a few MB at a time."""
+    size = np.diff(offset)
+    swap = size[p] > size[q]
+    p, q = np.where(swap, q, p), np.where(swap, p, q)
+    out = np.zeros(len(p), bool)
+    more = size[q] - size[p]
+    for length in np.unique(size[p]):
+        for extra in (0, 1):
+            group = np.flatnonzero((size[p] == length) & (more == extra))
+            step = max(1, (1 << 20) // int(length + 1))
+            for k in range(0, len(group), step):
+                g = group[k : k + step]
+                x, y = codes[offset[p[g], None] + np.arange(length)], codes[offset[q[g], None] + np.arange(length + extra)]
+                differ = x != y[:, :length]
+                if extra:
+                    first = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+                    out[g] = ((x == y[:, 1:]) | (np.arange(length) < first[:, None])).all(axis=1)
+                else:
+                    out[g] = differ.sum(axis=1) == 1
+    return out
+
+
 def _allowed(flipped: np.ndarray, kind: np.ndarray, across: np.ndarray) -> np.ndarray:
     """Pairs of equal length with two bits flipped or none, in the first band that they share alone; pairs of the two sides with one bit flipped."""
     bits = np.bitwise_count(flipped)
@@ -165,19 +200,16 @@ def _near_small(at: np.ndarray, tile: np.ndarray, mask: np.ndarray, pop: np.ndar
     return np.concatenate(p), np.concatenate(q)
 
 
-def _near_large(at: np.ndarray, mask: np.ndarray, pop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _near_large(at: np.ndarray, mask: np.ndarray, pop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A large tile: rows of each population count against those of the same and of the next two, a block at a time."""
     at = at[np.argsort(pop[at], kind="stable")]
     m, c = mask[at], pop[at]
-    p, q = [at[:0]], [at[:0]]
-    for i in range(0, len(at), 256):
-        last = min(i + 256, len(at))
+    for i in range(0, len(at), 128):
+        last = min(i + 128, len(at))
         end = int(np.searchsorted(c, c[last - 1] + 2, "right"))
         x, y = np.nonzero(np.bitwise_count(m[i:last, None] ^ m[None, i:end]) <= 2)
         later = x < y
-        p.append(at[i + x[later]])
-        q.append(at[i + y[later]])
-    return np.concatenate(p), np.concatenate(q)
+        yield at[i + x[later]], at[i + y[later]]
 
 
 def forms(listed: DataFrame, times: int = TIMES, tile: int = TILE) -> DataFrame:
