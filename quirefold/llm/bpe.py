@@ -11,6 +11,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -199,15 +200,13 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
 
 
 def _looked_up(words: Column, listed: DataFrame) -> Column:
-    """For each word of an array its ids as listed (word, ids) has them, or null. listed is as small as the slots and is sent to each worker once."""
+    """For each word of an array its ids as listed (word, ids) has them, or null. listed is as small as the slots and is sent to each executor once."""
     sent = listed.sparkSession.sparkContext.broadcast(listed.select("word", "ids").toArrow().combine_chunks())
-    held: dict[bytes, list[int]] = {}
 
     def of_batch(batch: pa.Array) -> pa.Array:
-        if not held and sent.value.num_rows:
-            held.update(zip(sent.value["word"].cast("binary").to_pylist(), sent.value["ids"].to_pylist(), strict=True))
-        found = [held.get(w) for w in batch.flatten().cast("binary").to_pylist()]
-        return pa.ListArray.from_arrays(batch.offsets if batch.offset == 0 else pa.array(np.asarray(batch.offsets) - batch.offsets[0].as_py(), pa.int32()), pa.array(found, pa.list_(pa.int32())))
+        known, ids = (sent.value[c].combine_chunks() for c in ("word", "ids"))
+        at = pc.index_in(batch.flatten(), value_set=known.cast(batch.type.value_type))
+        return pa.ListArray.from_arrays(pc.subtract(batch.offsets, batch.offsets[0]), ids.take(at))
 
     return F.arrow_udf(of_batch, "array<array<int>>")(words)
 
