@@ -132,6 +132,7 @@ def _pairs(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     cross = rows.column("low").to_numpy() != rows.column("high").to_numpy()
     sizes = np.diff(np.r_[starts, rows.num_rows])
     pop = np.bitwise_count(mask).astype(np.int16)
+    pop = np.where(kind < 3, pop + (pop & 1) * 128, pop)  # pairs of equal length have population counts that are both odd or both even
     few = np.repeat(sizes <= 64, sizes)
     at = np.flatnonzero(few)
     tile = np.repeat(np.arange(len(starts)), sizes)
@@ -186,7 +187,7 @@ def _allowed(flipped: np.ndarray, kind: np.ndarray, across: np.ndarray) -> np.nd
 
 
 def _near_small(at: np.ndarray, tile: np.ndarray, mask: np.ndarray, pop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Small tiles side by side, in the order of population counts: each row against the d-th after it in its tile, for all d."""
+    """Small tiles side by side, in the order of pop: each row against the d-th after it in its tile, for all d."""
     at = at[np.lexsort((pop[at], tile[at]))]
     t, m, c = tile[at], mask[at], pop[at]
     p, q = [at[:0]], [at[:0]]
@@ -201,7 +202,7 @@ def _near_small(at: np.ndarray, tile: np.ndarray, mask: np.ndarray, pop: np.ndar
 
 
 def _near_large(at: np.ndarray, mask: np.ndarray, pop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A large tile: rows of each population count against those of the same and of the next two, a block at a time."""
+    """A large tile in the order of pop: rows against those after them whose pop is within two, a block at a time."""
     at = at[np.argsort(pop[at], kind="stable")]
     m, c = mask[at], pop[at]
     for i in range(0, len(at), 128):
