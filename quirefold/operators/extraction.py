@@ -46,6 +46,10 @@ class Grammar:
     clean: Callable[[Column], Column] = strip
     strip_parts: bool = True
     one_option: bool = False
+    follows: Callable[[Column], Column] | None = None  # instead of goes_on, where that is a column
+
+    def goes_on_with(self, kind: Column) -> Column:
+        return self.follows(kind) if self.follows else kind.isin(*sorted(self.goes_on))
 
 
 def general_grammar(patterns: RegexPatterns) -> Grammar:
@@ -118,7 +122,7 @@ def problems_of_lines(lines: DataFrame, grammar: Grammar) -> DataFrame:
     place = F.struct("page_index", "element_index")
     label = F.when(F.col("kind") == "option", F.element_at("options", -1)["label"])
     opened = F.when(F.col("kind").isNotNull(), F.struct(F.col("kind").alias("kind"), place.alias("at"), F.size("options").alias("ord"), label.alias("label")))
-    rows = rows.withColumn("open", F.last(opened, ignorenulls=True).over(running)).where(F.col("kind").isNotNull() | F.col("open.kind").isin(*sorted(grammar.goes_on)))
+    rows = rows.withColumn("open", F.last(opened, ignorenulls=True).over(running)).where(F.col("kind").isNotNull() | grammar.goes_on_with(F.col("open.kind")))
 
     def piece(kind: Column, at: Column, ord_: Column, label: Column, text: Column) -> Column:
         return F.struct(place.alias("here"), kind.alias("kind"), F.struct(at["page_index"].alias("p"), at["element_index"].alias("e"), ord_.alias("o")).alias("run"), label.alias("label"), text.alias("text"))

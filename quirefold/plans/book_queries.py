@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quirefold.operators import evaluation as ev
 from quirefold.operators import extraction as ex
+from quirefold.operators import grammars as gr
+from quirefold.operators import process as pr
 from quirefold.operators import ranges as rg
 from quirefold.sources import adapters as ad
 from quirefold.sources.scratch import scratch_path, written
@@ -157,6 +159,46 @@ def streaming_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(block_problems(spark.read.parquet(f"{at}/out"), grammar))
 
 
+def _fifty(n: int) -> ex.RegexPatterns:
+    """One of fifty configurations of the order book, which differ in how they are written; every third has no answers, and of the others every second takes options of one line."""
+    b = ad.BOOK_PATTERNS
+    question = b.question.replace("第", f"(?:第){{1,{n + 1}}}") if n % 4 else b.question.replace("^第", "^(?P<mark>第)")
+    return ex.RegexPatterns(question, b.options.replace("A-G", "A-GZ" if n % 5 else "A-G"), None if n % 3 == 0 else b.answer, (*b.noise_lines, f"noise {n}"), b.noise_prefixes, n % 3 != 0 and n % 2 == 1)
+
+
+def extract_own_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's book by patterns of its own, of fifty configurations that are data."""
+    pages = ad.book_pages(spark, sf_dir)
+    texts = F.array(*[F.lit(_fifty(n).to_json()) for n in range(50)])
+    raw = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id")).distinct().withColumn("raw_json", F.get(texts, (F.col("doc_id").cast("long") % 50).cast("int")))
+    return gr.extract(pages, gr.parsed(raw)).select("doc_id", "problem_seq", "number", "question", "answer", options_text(F.col("options")).alias("options_text"))
+
+
+def _processed(spark: SparkSession, sf_dir: str, first: int, looked_at: int) -> pr.Processed:
+    """Books whose questions begin at a page: some have a range of no pages or none of questions, two fixed extractors see the first pages, and a third of the books have patterns of their own, half of them faulty."""
+    pages = ad.book_pages(spark, sf_dir)
+    n = F.col("doc_id").cast("long")
+    counts = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("stop"))
+    start = F.when(n % 7 == 0, F.col("stop")).when(F.col("stop") > first, first).otherwise(0)
+    ranges = counts.select("doc_id", F.lit(1).alias("ordinal"), F.when(n % 11 == 0, "contents").otherwise("questions").alias("name"), start.alias("start"), "stop", F.lit(1).alias("step"))
+    raw = F.when(n % 3 == 0, F.when(n % 2 == 0, ad.BOOK_PATTERNS.to_json()).otherwise("{}"))
+    patterns = counts.select("doc_id", raw.alias("raw_json")).where("raw_json IS NOT NULL")
+    fixed = {"book_b": lambda p: ex.extract(p, ex.book_b_grammar()), "single": lambda p: ex.extract(p, SINGLE)}
+    return pr.process(pages, ranges, fixed, patterns, pr.Policy(looked_at, 0.9, 0.5))
+
+
+def process_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages are looked at."""
+    return _processed(spark, sf_dir, 0, 1_000_000).decisions.select("doc_id", "extractor", F.round("score", 6).alias("score"), "error")
+
+
+def process_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages are looked at, from the second on."""
+    rows = _processed(spark, sf_dir, 1, 3).pages
+    shown = F.transform("problems", lambda p: F.concat(p["number"], F.lit(":"), options_text(p["options"])))
+    return rows.select("doc_id", "page_index", F.size("problems").alias("n"), F.array_join(shown, ";").alias("problems"))
+
+
 _ORDERS = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, o_orderkey AS k, o_orderpriority AS pr, o_orderstatus AS st FROM orders), c AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)"
 _ITEMS = "i AS (SELECT l_orderkey AS k, l_linenumber AS ln, l_partkey AS p, l_suppkey AS s, l_extendedprice AS x, count(*) AS m FROM lineitem JOIN o ON k = l_orderkey GROUP BY ALL)"
 
@@ -251,6 +293,9 @@ QUERIES = {
     "validate_ranges": validate_ranges,
     "pattern_lookup": pattern_lookup,
     "streaming_problems": streaming_problems,
+    "extract_own_patterns": extract_own_patterns,
+    "process_decisions": process_decisions,
+    "process_pages": process_pages,
 }
 
 ORACLES = {
@@ -273,4 +318,10 @@ ORACLES = {
     "validate_ranges": _RANGES_SQL,
     "pattern_lookup": _LOOKUP_SQL,
     "streaming_problems": f"WITH {_general()} {_SHOWN}",
+    "process_decisions": f"""WITH a AS (WITH {_scores(True)} SELECT doc_id, score FROM e), z AS (WITH {_scores(False)} SELECT doc_id, score FROM e),
+k AS (SELECT doc_id, CAST(doc_id AS BIGINT) AS n, z.score AS s, a.score AS o FROM z JOIN a USING (doc_id)),
+f AS (SELECT *, CASE WHEN n % 11 = 0 THEN 'questions is required' WHEN n % 7 = 0 THEN 'questions must be a non-empty range with step 1' END AS bad, CASE WHEN s >= 0.9 OR n % 6 = 0 THEN NULL WHEN n % 3 = 0 THEN 'fallback failed: question should be a string; options should be a string' ELSE 'fallback failed: no patterns' END AS failure, s < 0.9 AND n % 6 = 0 AND o > s AS better FROM k),
+g AS (SELECT *, CASE WHEN better THEN o ELSE s END AS score FROM f)
+SELECT doc_id, CASE WHEN bad IS NULL THEN CASE WHEN better THEN 'general' WHEN s > 0 THEN 'single' ELSE 'book_b' END END AS extractor, CASE WHEN bad IS NULL THEN round(score, 6) END AS score, coalesce(bad, failure, CASE WHEN score < 0.5 THEN 'confidence is low' END) AS error FROM g""",
+    "extract_own_patterns": f"WITH a AS (WITH {_general()} SELECT * FROM g), z AS (WITH {_general(False)} SELECT * FROM g), c AS (SELECT *, CAST(doc_id AS BIGINT) % 50 AS v FROM a UNION ALL SELECT *, CAST(doc_id AS BIGINT) % 50 + 100 FROM z) SELECT doc_id, problem_seq, number, question || CASE WHEN v % 100 % 3 = 0 AND n_options = 0 THEN '答案：' || answer ELSE '' END AS question, CASE WHEN v % 100 % 3 = 0 THEN '' ELSE answer END AS answer, options_text FROM c WHERE (v < 100) = (v % 100 % 3 <> 0 AND v % 2 = 1)",
 }
