@@ -15,6 +15,7 @@ from quirefold.operators import ranges as rg
 from quirefold.sources import adapters as ad
 from quirefold.sources.scratch import scratch_path, written
 from quirefold.streaming.events import run_once
+from quirefold.streaming import timed
 from quirefold.streaming.problems import block_problems, stream_blocks, with_document_ends
 
 GENERAL = ex.general_grammar(ad.BOOK_PATTERNS)
@@ -159,6 +160,29 @@ def streaming_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(block_problems(spark.read.parquet(f"{at}/out"), grammar))
 
 
+def streaming_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order books as a stream in three batches: all pages; the ends of a third of the books, and orders to cancel a tenth; a page ten days later, after which the other books have been silent for long."""
+    pages = ad.book_pages(spark, sf_dir).withColumns({"at": F.timestamp_seconds(F.lit(1_704_067_200)), "cancel": F.lit(False)})
+    later = F.timestamp_seconds(F.lit(1_704_067_260))
+    n = F.col("doc_id").cast("long")
+    books = pages.groupBy("doc_id").agg((F.max("page_index") + 1).alias("page_index"))
+    ends = books.where((n % 3 == 0) & (n % 10 != 0)).withColumns({"at": later, "cancel": F.lit(False)})
+    controls = books.where(n % 10 == 0).select("doc_id", later.alias("at"), F.lit(True).alias("cancel"))
+    clock = pages.limit(1).withColumns({"doc_id": F.lit("clock"), "at": F.timestamp_seconds(F.lit(1_704_931_200)), "elements": F.slice("elements", 1, 0)})
+    at = scratch_path(spark, "timed")
+    for i, batch in enumerate((pages, ends.unionByName(controls, allowMissingColumns=True), clock)):
+        pages.limit(0).unionByName(batch, allowMissingColumns=True).write.parquet(f"{at}/in/b={i}")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    timed.with_store(spark)
+    try:
+        for i in range(3):
+            stream = spark.readStream.schema(pages.schema).parquet(f"{at}/in/b={{{','.join(map(str, range(i + 1)))}}}" if i else f"{at}/in/b=0")
+            run_once(timed.timed_blocks(stream, GENERAL, "1 day", "0 seconds"), f"{at}/out", f"{at}/checkpoint")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(f"{at}/out").select("doc_id", "problem_seq", F.size("lines").alias("n_lines"), "completed_page", "outcome")
+
+
 def _fifty(n: int) -> ex.RegexPatterns:
     """One of fifty configurations of the order book, which differ in how they are written; every third has no answers, and of the others every second takes options of one line."""
     b = ad.BOOK_PATTERNS
@@ -293,6 +317,7 @@ QUERIES = {
     "validate_ranges": validate_ranges,
     "pattern_lookup": pattern_lookup,
     "streaming_problems": streaming_problems,
+    "streaming_timed": streaming_timed,
     "extract_own_patterns": extract_own_patterns,
     "process_decisions": process_decisions,
     "process_pages": process_pages,
@@ -318,6 +343,7 @@ ORACLES = {
     "validate_ranges": _RANGES_SQL,
     "pattern_lookup": _LOOKUP_SQL,
     "streaming_problems": f"WITH {_general()} {_SHOWN}",
+    "streaming_timed": f"WITH {_general()}, v AS (SELECT g.*, c.n, lead(problem_seq) OVER (PARTITION BY doc_id ORDER BY problem_seq) IS NULL AS last, CAST(doc_id AS BIGINT) AS d FROM g LEFT JOIN c ON c.k = CAST(g.number AS BIGINT)) SELECT doc_id, problem_seq, CAST(CASE WHEN last AND d % 10 = 0 THEN 0 ELSE 2 + 2 * coalesce(n, 0) END AS INT) AS n_lines, completed_page, CASE WHEN NOT last THEN 'next' WHEN d % 10 = 0 THEN 'cancelled' WHEN d % 3 = 0 THEN 'ended' ELSE 'silent' END AS outcome FROM v",
     "process_decisions": f"""WITH a AS (WITH {_scores(True)} SELECT doc_id, score FROM e), z AS (WITH {_scores(False)} SELECT doc_id, score FROM e),
 k AS (SELECT doc_id, CAST(doc_id AS BIGINT) AS n, z.score AS s, a.score AS o FROM z JOIN a USING (doc_id)),
 f AS (SELECT *, CASE WHEN n % 11 = 0 THEN 'questions is required' WHEN n % 7 = 0 THEN 'questions must be a non-empty range with step 1' END AS bad, CASE WHEN s >= 0.9 OR n % 6 = 0 THEN NULL WHEN n % 3 = 0 THEN 'fallback failed: question should be a string; options should be a string' ELSE 'fallback failed: no patterns' END AS failure, s < 0.9 AND n % 6 = 0 AND o > s AS better FROM k),
