@@ -63,6 +63,26 @@ def streaming_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").select("job_id", "sequence", "type")
 
 
+def _lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as the lives of jobs: the first two put it in the queue and start it, and the others are of all kinds."""
+    kinds = F.array(*[F.lit(x) for x in ("page", "page", "cancellation_requested", "page", "completed", "error", "cancelled", "started")])
+    kind = F.when(F.col("sequence") == 1, "queued").when(F.col("sequence") == 2, "started").otherwise(F.get(kinds, (F.floor(F.col("value")) % 8).cast("int")))
+    return job_events(spark, sf_dir).select("job_id", "sequence", kind.alias("type"), "created_at")
+
+
+def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jl.transitions(_lifecycles(spark, sf_dir)).select("job_id", "sequence", "type", "status_before", "status", "error")
+
+
+def job_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after a sweep that was written twice, and a second sweep."""
+    log = _lifecycles(spark, sf_dir)
+    at = F.timestamp_seconds(F.lit(1_704_067_200))
+    first = jl.recovery_events(log, at)
+    once = jl.upserted(jl.upserted(log, first), first)
+    return jl.upserted(once, jl.recovery_events(once, at)).select("job_id", "sequence", "type", "message")
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> ResultStore:
     """The records of all customers as jobs, an order a problem, written twice under one name; then those of some jobs again, without their later half."""
     store = ResultStore(spark, scratch_path(spark, "results"))
@@ -101,10 +121,17 @@ QUERIES = {
     "admission": admission,
     "append_sequence": append_sequence,
     "streaming_events": streaming_events,
+    "job_transitions": job_transitions,
+    "job_recovery": job_recovery,
     "result_records": result_records,
     "result_lookup": result_lookup,
 }
 
+_LIVES = f"""{_EVENTS},
+l AS (SELECT job_id, sequence, CASE sequence WHEN 1 THEN 'queued' WHEN 2 THEN 'started' ELSE ['page', 'page', 'cancellation_requested', 'page', 'completed', 'error', 'cancelled', 'started'][CAST(floor(value) AS BIGINT) % 8 + 1] END AS type FROM e),
+m AS (SELECT *, CASE type WHEN 'queued' THEN 'queued' WHEN 'started' THEN 'running' WHEN 'cancellation_requested' THEN 'cancelling' WHEN 'completed' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'cancelled' THEN 'cancelled' END AS to_status FROM l),
+t AS (SELECT *, coalesce(last_value(to_status IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS status_before FROM m)"""
+
 _RECORDS = """o AS (SELECT c_custkey, o_orderkey AS k, o_orderkey || '=' || o_orderpriority || o_orderstatus AS p FROM customer LEFT JOIN orders ON c_custkey = o_custkey),
 again AS (SELECT DISTINCT c_custkey FROM o WHERE c_custkey % 5 = 0 AND (k IS NULL OR k % 2 = 0)),
 r AS (SELECT CAST(o.c_custkey AS VARCHAR) AS job_id, 'completed' AS status, CAST(count(k) AS INT) AS problem_count, coalesce(string_agg(p, ',' ORDER BY k), '') AS problems FROM o LEFT JOIN again USING (c_custkey) WHERE again.c_custkey IS NULL OR k IS NULL OR k % 2 = 0 GROUP BY o.c_custkey)"""
@@ -121,4 +148,6 @@ ORACLES = {
     "streaming_events": f"WITH {_EVENTS} SELECT job_id, sequence, type FROM e",
     "result_records": f"WITH {_RECORDS} SELECT * FROM r",
     "result_lookup": f"WITH {_EVENTS}, {_LAST}, {_RECORDS}, q AS (SELECT o_orderkey AS asked_by, CAST(o_custkey * 3 % 2000 AS VARCHAR) AS job_id FROM orders), a AS (SELECT q.*, r.problem_count, CASE WHEN s.job_id IS NULL THEN 'no such job' WHEN s.status <> 'purchase' THEN 'job is not complete: ' || s.status WHEN r.job_id IS NULL THEN 'the job''s result is missing' END AS error FROM q LEFT JOIN s USING (job_id) LEFT JOIN r USING (job_id)) SELECT asked_by, job_id, CASE WHEN error IS NULL THEN problem_count END AS problem_count, error FROM a",
+    "job_transitions": f"WITH {_LIVES} SELECT job_id, sequence, type, status_before, coalesce(to_status, status_before) AS status, CASE WHEN status_before = '' AND type = 'queued' OR status_before = 'queued' AND type IN ('started', 'error', 'cancelled') OR status_before IN ('running', 'cancelling') AND type IN ('page', 'completed', 'error', 'cancelled') OR status_before = 'running' AND type = 'cancellation_requested' THEN NULL ELSE type || ' is not allowed when ' || status_before END AS error FROM t",
+    "job_recovery": f"WITH {_LIVES}, z AS (SELECT job_id, max(sequence) AS n, arg_max(coalesce(to_status, status_before), sequence) AS status FROM t GROUP BY job_id) SELECT job_id, sequence, type, NULL AS message FROM l UNION ALL SELECT job_id, n + 1, 'interrupted', 'service stopped before the job completed' FROM z WHERE status IN ('queued', 'running', 'cancelling')",
 }
