@@ -84,4 +84,4 @@ def emit(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     size = n_words_of(F.col(text))
     rows = docs.join(goal, docs[source].eqNullSafe(F.col(of)), "left")
     times = F.when(size > 0, copies(F.col(rate), F.col(seed), F.col(key), size)).otherwise(F.lit(0).cast("long"))
-    return rows.withColumn(n, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[docs[c] for c in docs.columns])
+    return rows.withColumn(n, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])

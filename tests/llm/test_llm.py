@@ -334,3 +334,9 @@ def test_cuts_are_in_order_and_weights_shared():
     model = toxicity.fit([([1, 2], 0)] * 50 + [([2, 3], 1)] * 20 + [([3, 4], 2)] * 20)
     assert model.cuts == sorted(model.cuts) and set(model.weights) <= {1, 2, 3, 4} and model.weights[4] > 0
     assert toxicity.fit([]).weights == {}
+
+
+def test_the_mix_takes_columns_of_any_name(spark):
+    docs = frame(spark).withColumn("a.b", F.lit(1)).withColumn("tick`", F.lit("x")).withColumn("rate", F.lit(2))
+    got = mixing.emit(docs)
+    assert got.columns == docs.columns and got.count() == mixing.mix(docs).where("size > 0").agg(F.sum("copies")).first()[0]
