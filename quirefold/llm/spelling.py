@@ -205,10 +205,10 @@ def _near_large(at: np.ndarray, mask: np.ndarray, pop: np.ndarray) -> Iterator[t
     """A large tile in the order of pop: rows against those after them whose pop is within two, a block at a time."""
     at = at[np.argsort(pop[at], kind="stable")]
     m, c = mask[at], pop[at]
-    for i in range(0, len(at), 128):
-        last = min(i + 128, len(at))
+    for i in range(0, len(at), 64):
+        last = min(i + 64, len(at))
         end = int(np.searchsorted(c, c[last - 1] + 2, "right"))
-        x, y = np.nonzero(np.bitwise_count(m[i:last, None] ^ m[None, i:end]) <= 2)
+        x, y = np.divmod(np.flatnonzero(np.bitwise_count(m[i:last, None] ^ m[None, i:end]) <= 2), end - i)
         later = x < y
         yield at[i + x[later]], at[i + y[later]]
 
