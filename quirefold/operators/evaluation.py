@@ -88,6 +88,20 @@ def structural_consistency(numbers: Column) -> Column:
     return (F.size(filled) / F.nullif(F.size(numbers), F.lit(0)) + unique + ordering) / 3
 
 
+def evaluate_metric(name: str, pages: DataFrame, problems: DataFrame, config: Config = Config()) -> DataFrame:
+    """(doc_id, name) of every document of pages: one metric as evaluate() gives it, and nothing else computed; texts are only read for text_coverage."""
+    raw = normalized(F.col("number"))
+    measures = {
+        "question_completeness": lambda: F.avg(question_completeness(F.col("question"), config)), "option_completeness": lambda: F.avg(option_completeness(F.col("options"), config)),
+        "extraction_validity": lambda: F.avg(validity(F.col("question"), F.col("options"))), "text_coverage": lambda: F.lit(None).cast("double"),
+        "structural_consistency": lambda: bind(F.transform(F.array_sort(F.collect_list(F.struct("problem_seq", raw.alias("n")))), lambda x: x["n"]), structural_consistency),
+    }
+    each = problems.groupBy("doc_id").agg(measures[name]().alias("m"), F.max(is_digits(raw) & ~is_decimals(raw)).alias("failed"))
+    every = text_coverage(pages, problems).withColumnRenamed("text_coverage", "c") if name == "text_coverage" else pages.select("doc_id").distinct().withColumn("c", F.lit(0.0))
+    fine = F.coalesce(~F.col("failed"), F.lit(False))
+    return every.join(each, "doc_id", "left").select("doc_id", F.when(fine, F.coalesce("m", "c")).otherwise(0.0).alias(name))
+
+
 def evaluate(pages: DataFrame, problems: DataFrame, config: Config = Config(), source: DataFrame | None = None) -> DataFrame:
     """One row for each document of pages: doc_id, score, the metrics and warnings. Documents without problems score 0.
 

@@ -96,7 +96,11 @@ def _reports(spark: SparkSession, sf_dir: str, grammars: dict[str, ex.Grammar])
 
 
 def metric(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evaluated(spark, sf_dir).select("doc_id", F.round(name, 6).alias(name))
+    if name == "score":
+        return _evaluated(spark, sf_dir).select("doc_id", F.round(name, 6).alias(name))
+    pages = written(ad.book_pages(spark, sf_dir))
+    problems = ex.extract(pages, GENERAL)
+    return ev.evaluate_metric(name, pages, problems).select("doc_id", F.round(name, 6).alias(name))
 
 
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
