@@ -189,8 +189,8 @@ def annotations(lines: DataFrame) -> DataFrame:
 def first_range_join(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, stop: str, rank: str) -> DataFrame:
     """Each point with the first range, by rank, of its keys such that start <= at < stop; points in no range are dropped.
 
-    Places are looked up once however many points share them, and only the least rank so far is held of the ranges that a place is in, so
-    pairs are never written. Points that are equal in all columns stay apart. Of ranges of the same keys and rank, their other columns are of any.
+    For keys with few ranges, as a page has: every range of a key is tried for each place (operators/intervals.py has no such bound). Places are looked up once however
+    many points share them, and only the least rank so far is held of the ranges that a place is in, so pairs are never written. Points that are equal in all columns stay apart. Of ranges of the same keys and rank, their other columns are of any.
     """
     mine = ranges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(start).alias("_start"), F.col(stop).alias("_stop"), F.col(rank).alias("_rank"))
     places = points.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col(at).alias("_at")).distinct()

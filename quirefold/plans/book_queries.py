@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quirefold.operators import evaluation as ev
 from quirefold.operators import extraction as ex
 from quirefold.operators import grammars as gr
+from quirefold.operators import intervals as iv
 from quirefold.operators import process as pr
 from quirefold.operators import ranges as rg
 from quirefold.sources import adapters as ad
@@ -60,7 +61,7 @@ def annotation_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
     spans = events.select("user_id", F.row_number().over(w).alias("n"), (F.col("y") - 1).alias("lo"), (F.col("y") + F.col("event_id") % 5).alias("hi"))
     points = events.where("event_type = 'click'")
-    return ex.first_range_join(points, spans, ["user_id"], "y", "lo", "hi", "n").select("user_id", "event_id", "n")
+    return iv.first_range(points, spans, ["user_id"], "y", "lo", "hi", "n").select("user_id", "event_id", "n")
 
 
 def extract_book_b(spark: SparkSession, sf_dir: str) -> DataFrame:
