@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirefold.operators import evaluation as ev
 from quirefold.operators import extraction as ex
+from quirefold.operators import failures as fl
 from quirefold.operators import grammars as gr
 from quirefold.operators import intervals as iv
 from quirefold.operators import process as pr
@@ -228,6 +229,29 @@ def process_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "page_index", F.size("problems").alias("n"), F.array_join(shown, ";").alias("problems"))
 
 
+def isolated_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first book's layout by customer: a fifth of the books lack a box on each page with a note, and an operator of Python fails on the header of every 97th order; each fails its own book alone."""
+    pages = ad.book_a_pages(spark, sf_dir)
+    first = F.get("elements", F.lit(0))
+    noted = F.exists("elements", lambda e: e["content"].contains(ex.BOOK_A_ANNOTATION))
+    bare = F.concat(F.array(first.withField("bbox", F.slice(first["bbox"], 1, 0))), F.slice("elements", 2, F.size("elements")))
+    pages = pages.withColumn("elements", F.when(noted & (F.col("doc_id").cast("long") % 5 == 0), bare).otherwise(F.col("elements")))
+
+    def fussy(elements: list[dict]) -> list[dict]:
+        for e in elements:
+            number, dot, _ = e["content"].partition(".（")
+            if dot and int(number) % 97 == 0:
+                raise LookupError("unlucky order")
+        return elements
+
+    pages = written(pages)
+    tried = fl.attempt(pages, ex.extract_book_a, fl.tried("fussy", fussy), *fl.BOOK_A_STAGES)
+    tried = fl.Attempt(written(tried.problems), written(tried.errors))
+    reports = fl.evaluate(pages, tried).select("doc_id", (F.col("score") > 0).alias("scored"), F.array_join(F.filter("warnings", lambda w: w.startswith("extractor failed")), "; ").alias("warning"))
+    found = tried.problems.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return reports.join(found, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 _ORDERS = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, o_orderkey AS k, o_orderpriority AS pr, o_orderstatus AS st FROM orders), c AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)"
 _ITEMS = "i AS (SELECT l_orderkey AS k, l_linenumber AS ln, l_partkey AS p, l_suppkey AS s, l_extendedprice AS x, count(*) AS m FROM lineitem JOIN o ON k = l_orderkey GROUP BY ALL)"
 
@@ -277,6 +301,9 @@ q AS (SELECT k, label, arg_max(text, (ln, p, s, x, ord)) AS text, min((ln, p, s,
 t AS (SELECT k, string_agg(label || '=' || text, '|' ORDER BY first) AS options_text FROM q GROUP BY k)
 SELECT CAST(k AS VARCHAR) AS number, pr || CASE WHEN options_text IS NULL THEN 'after' ELSE '' END AS question, '' AS answer, coalesce(options_text, '') AS options_text FROM o LEFT JOIN t USING (k)"""
 
+_FAILURES_SQL = """WITH b AS (SELECT CAST(o_custkey AS VARCHAR) AS doc_id, count(*) AS m, CASE WHEN bool_or(o_orderkey % 97 = 0) THEN 'extractor failed: LookupError: unlucky order' WHEN o_custkey % 5 = 0 THEN 'extractor failed: ValueError: element 0 has no box' ELSE '' END AS warning FROM orders GROUP BY o_custkey)
+SELECT doc_id, warning = '' AS scored, warning, CASE WHEN warning = '' THEN m ELSE 0 END AS n FROM b"""
+
 _RANGES_SQL = """
 WITH q AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders),
 r AS (SELECT o_custkey || '-' || place // 4 AS doc_id, o_orderkey, place % 4 + 1 AS ordinal FROM q),
@@ -310,6 +337,7 @@ QUERIES = {
     "extract_book_a": extract_book_a,
     "extract_book_b": extract_book_b,
     "annotation_interval_join": annotation_interval_join,
+    "isolated_failures": isolated_failures,
     "chat_segments": chat_segments,
     "carry_forward_section": carry_forward_section,
     **{m: partial(metric, m) for m in ev.METRICS},
@@ -335,6 +363,7 @@ ORACLES = {
     "problem_pages": f"WITH {_general()}, p AS (SELECT doc_id, CAST(unnest(range(last_page + 1)) AS INT) AS page_index FROM (SELECT DISTINCT doc_id, last_page FROM g)) SELECT p.doc_id, p.page_index + 10 AS page_index, CAST(count(number) AS INT) AS n, coalesce(string_agg(number, ',' ORDER BY problem_seq), '') AS numbers FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.page_index = g.completed_page GROUP BY p.doc_id, p.page_index",
     "extract_book_a": _BOOK_A_SQL,
     "extract_book_b": _BOOK_B_SQL,
+    "isolated_failures": _FAILURES_SQL,
     "annotation_interval_join": "WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, value - 1 AS lo, value + event_id % 5 AS hi FROM events) SELECT e.user_id, event_id, CAST(min(n) AS INT) AS n FROM events e JOIN s ON e.user_id = s.user_id AND value >= lo AND value < hi WHERE event_type = 'click' GROUP BY e.user_id, event_id",
     "chat_segments": "WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM conversations) SELECT doc_id, CAST(segment AS BIGINT) AS segment, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM t WHERE segment > 0 GROUP BY ALL",
     "carry_forward_section": f"WITH {_LINES} SELECT doc_id, page_index, nth, CAST(last_value(CASE WHEN line LIKE '%the.' THEN length(line) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS section FROM l",
