@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: What the field tells apart: the kinds of the fixed patterns, and keys and passwords.
 LABELS = (*KINDS, "secret")
-#: The longest candidate segment in code points, its most parts (names, digit groups), and the context that is read before it.
+#: The longest candidate segment of several parts in code points, its most parts (names, digit groups), and the context that is read before it. A single run of letters and digits may be of any length, as its boundaries are known.
 LONGEST, PARTS, CONTEXT = 160, 6, 24
 #: How many digits a number of a kind may have, and how many groups.
 SHAPES = {"ip": (4, 12, 4, 4), "card": (13, 19, 1, PARTS), "phone": (7, 15, 1, PARTS)}
@@ -107,7 +107,7 @@ _date = re.compile(r"(?:19|20)[0-9]{2}\D[0-9]{1,2}\D[0-9]{1,2}|[0-9]{1,2}\D[0-9]
 
 def segment_features(text: str, start: int, end: int, kind: str) -> list[int]:
     """The places in NAMES of what holds for text[start:end] as a whole, taken as kind."""
-    return [_PLACE[kind, n] for n in (*_around(kind, *_before(text[max(0, start - CONTEXT) : start]), text[end : end + 2]), *_inside(text[start:end], kind))] + _assigned_letters(text, start, end, kind)
+    return [_PLACE[kind, n] for n in (*_around(kind, *_before(text[max(0, start - CONTEXT) : start]), text[end : end + 2]), *_inside_any(text[start:end], kind))] + _assigned_letters(text, start, end, kind)
 
 
 def _assigned_letters(text: str, start: int, end: int, kind: str) -> list[int]:
@@ -195,6 +195,11 @@ def _inside(s: str, kind: str) -> list[str]:
     return has
 
 
+def _inside_any(s: str, kind: str) -> list[str]:
+    """Long runs are not kept, so what is kept is bounded."""
+    return _inside(s, kind) if len(s) <= LONGEST else _inside.__wrapped__(s, kind)
+
+
 def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _chain.finditer(text):
         groups = [x.span() for x in _group.finditer(text, *m.span())]
@@ -235,6 +240,7 @@ def _secrets(text: str) -> Iterator[tuple[int, int, str]]:
             seeds.add(m.span(1))
     for a, b in seeds:
         if b - a > LONGEST:
+            yield a, b, "secret"
             continue
         starts, ends, at = [a], [b], a
         while (m := re.search(r"[A-Za-z0-9]+[-_./+=]\Z", text[max(0, at - 66) : at])) and b - at <= LONGEST // 2 and len(starts) < PARTS:
@@ -455,7 +461,7 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """One row per document: doc_id, the numbers of base spans by kind, base_sha256 and spans.
 
     Null and empty texts have no spans. Every whole text is read by itself, so repeated rows get equal results. The dynamic
-    program goes over all segments between boundaries of names and digit groups, of at most LONGEST code points and PARTS parts, with base spans as
+    program goes over all segments between boundaries of names and digit groups, of at most LONGEST code points and PARTS parts (single runs of letters and digits: of any length), with base spans as
     what it can't cross; its work is linear in a text's boundaries. Spans of the field may be of the kind secret, which sorts last.
     """
     rows = docs.select(F.col(key).alias("doc_id"), spans_of(F.col(text), learned(docs, key, text)).alias("s"))

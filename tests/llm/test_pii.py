@@ -41,6 +41,21 @@ def test_the_field_adds_spans(text, added):
     assert base == [] and [f"{k}:{s}:{e}" for k, s, e in every] == added
 
 
+@pytest.mark.parametrize("lead", ["key: ", "token = ", "password: "])
+@pytest.mark.parametrize("run", ["aB3x" * 45, "0f3a" * 40, "0f3a" * 41, "aB3xK9" * 5000])
+def test_single_runs_of_any_length(lead, run):
+    text = f"some words, {lead}{run} and more"
+    base, every = pii.find(text, pii.trained())
+    assert base == [] and every == [("secret", 12 + len(lead), 12 + len(lead) + len(run))]
+    assert (12 + len(lead), 12 + len(lead) + len(run), "secret") in pii.segments(text)
+
+
+def test_long_runs_are_not_kept():
+    pii._inside.cache_clear()
+    pii.segment_features("x9" * 500, 0, 1000, "secret")
+    assert pii._inside.cache_info().currsize == 0
+
+
 def test_base_spans_are_what_segments_go_around():
     base, every = pii.find("Des +1 (826) 555-4081 190.137.223.204 du", pii.trained())
     assert base == [("ip", 22, 37)] and every == [("ip", 22, 37), ("phone", 4, 21)]
