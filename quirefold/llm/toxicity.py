@@ -122,10 +122,11 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> G
     rate = min(1.0, train_docs / n) if n else 1.0
     graded = F.when(F.col("toxic") == 0, 0).when(F.coalesce(F.col("quality"), F.lit(1)) == 0, 2).otherwise(1)
     drawn = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(rate * 1_000_000)).groupBy("doc_id").agg(F.max(graded).alias("grade"))
-    both = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(drawn), "doc_id")  # train_docs rows, within chance
-    sparse = F.arrow_udf(_sparse, "binary")(F.coalesce("text", F.lit("")))
+    both = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    both = both.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # train_docs rows, within chance: of rows with the same doc_id the least text
+    sparse = F.arrow_udf(_sparse, "binary")(F.col("text"))
     rows = both.select(sparse.alias("f"), "grade", "doc_id").collect()
-    return fit([(np.frombuffer(r["f"], np.int32), r["grade"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["f"]))])
+    return fit([(np.frombuffer(r["f"], np.int32), r["grade"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 def grade_of(text: Column, model) -> Column:

@@ -308,6 +308,16 @@ def test_bounds_pass_over_no_passage():
             assert at in kept or not index.wand(terms)
 
 
+def test_toxicity_learns_from_one_row_of_each_labelled_document(spark):
+    """Repeated rows of an id, however many, count once, by its least text; other columns may have any names."""
+    rows = [(i, "vile awful words" if i % 3 == 0 else "good clean words here") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    more = spark.createDataFrame([*rows, *[(3, f"zz {i}") for i in range(500)], (None, "x")], "doc_id long, text string").withColumns({"grade": F.lit(1), "f": F.lit("x"), "toxic": F.lit(True)})
+    a, b = toxicity.train(once, labels), toxicity.train(more, labels)
+    assert repr(a) == repr(b)
+
+
 def test_toxicity_on_held_out_documents(spark):
     rng = random.Random(11)
     bad = ["idiotic", "moronesque", "scumbag"]
