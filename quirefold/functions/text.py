@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 #: Line boundaries; what str.strip() takes besides Unicode white space.
 LINE_END = "\r\n|[\n\r\x0b\f\x1c\x1d\x1e\u0085  ]"
 _SPACE = r"[\s\x1c-\x1f]"
+_SPACES = "".join(map(chr, (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at the ends."""
-    return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -48,7 +49,7 @@ def _digit_class() -> str:
 
 
 def is_digits(c: Column) -> Column:
-    return c.rlike(rf"\A{_digit_class()}+\z")
+    return c.rlike(rf"\A(?=[0-9\x{{B2}}-\x{{10FFFF}}]){_digit_class()}+\z")  # the long class is not tried on most letters
 
 
 def is_decimals(c: Column) -> Column:

@@ -92,68 +92,115 @@ def lines_of(pages: DataFrame) -> DataFrame:
     return rows.withColumn("last_page", F.max("page_index").over(Window.partitionBy("doc_id")))
 
 
+def told_lines(elements: Column, grammar: Grammar) -> Column:
+    """The lines of a page's elements that are no noise, as structs (element_index, line, head)."""
+    cleaned = F.transform(elements, lambda e, i: F.struct(i.alias("element_index"), grammar.clean(e["content"]).alias("line")))
+    told = F.filter(cleaned, lambda x: x["line"].isNotNull() & (x["line"] != "") & ~grammar.noise(x["line"]))
+    return F.transform(told, lambda x: F.struct(x["element_index"], x["line"], grammar.question.matches(x["line"]).alias("head")))
+
+
+def segments(pages: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, page_index, nth, lines, head, problem_seq, last_page, ...) for pages with a column of told_lines(): each page is cut at its headers.
+
+    A page without lines gives a segment without any, so that no page is lost. Lines before a document's first header have the problem_seq 0. Whole
+    segments are sorted by document, which are far fewer than lines.
+    """
+    starts = F.filter(F.transform("told", lambda x, i: F.when(x["head"] | (i == 0), i)), lambda i: i.isNotNull())
+    parts = bind(starts, lambda at: F.transform(at, lambda s, j: F.slice("told", s + 1, F.coalesce(F.get(at, j + 1), F.size("told")) - s)))
+    rows = pages.select("doc_id", "page_index", *carried, F.posexplode_outer(parts).alias("nth", "lines"))
+    order = Window.partitionBy("doc_id").orderBy("page_index", "nth")
+    head = F.coalesce(F.get("lines", F.lit(0))["head"], F.lit(False))
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("head", head).withColumns({
+        "problem_seq": F.coalesce(F.sum(F.col("head").cast("int")).over(running), F.lit(0)),
+        "last_page": F.max("page_index").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+
+
 def extract(pages: DataFrame, grammar: Grammar) -> DataFrame:
     """Problems (doc_id, problem_seq, number, question, answer, options, analysis, header_page, completed_page) of pages.
 
     An option given again takes the later text and stays in its first place. completed_page is that of the next
-    header, or the document's last. Documents without a header give no rows. All windows are over a document's lines in order.
+    header, or the document's last. Documents without a header give no rows. A document's segments come together once, in order.
     """
-    return problems_of_lines(lines_of(pages).withColumn("line", grammar.clean(F.col("element")["content"])), grammar)
+    return problems_of_blocks(blocks(segments(pages.select("doc_id", "page_index", told_lines(F.col("elements"), grammar).alias("told")))), grammar)
 
 
-def problems_of_lines(lines: DataFrame, grammar: Grammar) -> DataFrame:
-    line = F.col("line")
-    order = Window.partitionBy("doc_id").orderBy("page_index", "element_index")
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines.where(line.isNotNull() & (line != "") & ~grammar.noise(line))
-    rows = rows.withColumn("head", grammar.question.matches(line)).withColumn("problem_seq", F.sum(F.col("head").cast("int")).over(running)).where("problem_seq > 0")
-    tidy = strip if grammar.strip_parts else (lambda c: c)
-    if grammar.one_option:
-        found = F.when(grammar.options.matches(line), F.array(F.struct(grammar.options.first(line, "label").alias("label"), grammar.options.first(line, "text").alias("text"))))
-    else:
-        found = grammar.options.every(line, "label", "text")
-    rows = rows.withColumn("options", F.when(~F.col("head"), found))
-    kind = F.when(F.col("head"), "question").when(F.size("options") > 0, "option")
-    if grammar.answer:
-        kind = kind.when(grammar.answer.matches(line), "answer")
-    for name, pattern in grammar.sections:
-        kind = kind.when(pattern.matches(line), name)
-    rows = rows.withColumn("kind", kind)
-    place = F.struct("page_index", "element_index")
-    label = F.when(F.col("kind") == "option", F.element_at("options", -1)["label"])
-    opened = F.when(F.col("kind").isNotNull(), F.struct(F.col("kind").alias("kind"), place.alias("at"), F.size("options").alias("ord"), label.alias("label")))
-    rows = rows.withColumn("open", F.last(opened, ignorenulls=True).over(running)).where(F.col("kind").isNotNull() | grammar.goes_on_with(F.col("open.kind")))
-
-    def piece(kind: Column, at: Column, ord_: Column, label: Column, text: Column) -> Column:
-        return F.struct(place.alias("here"), kind.alias("kind"), F.struct(at["page_index"].alias("p"), at["element_index"].alias("e"), ord_.alias("o")).alias("run"), label.alias("label"), text.alias("text"))
+def blocks(parts: DataFrame) -> DataFrame:
+    """(doc_id, problem_seq, lines, header_page, completed_page) of segments(): a header's line and the lines up to the next, as an array of strings."""
+    texts = F.transform("lines", lambda x: x["line"])
+    listed = F.sort_array(F.collect_list(F.struct("page_index", "nth", texts.alias("lines"))))
+    whole = parts.where("problem_seq > 0 AND lines IS NOT NULL").groupBy("doc_id", "problem_seq").agg(listed.alias("parts"), F.max("last_page").alias("last_page"))
+    whole = whole.select("doc_id", "problem_seq", F.flatten(F.transform("parts", lambda p: p["lines"])).alias("lines"), F.col("parts")[0]["page_index"].alias("header_page"), "last_page")
+    seq = Window.partitionBy("doc_id").orderBy("problem_seq")
+    return whole.withColumn("completed_page", F.coalesce(F.lead("header_page").over(seq), "last_page")).drop("last_page")
 
-    none = F.lit(None).cast("string")
-    text = F.when(F.col("head"), strip(grammar.question.first(line, "question")) if grammar.strip_parts else grammar.question.first(line, "question"))
-    if grammar.answer:
-        text = text.when(F.col("kind") == "answer", tidy(grammar.answer.first(line, "answer")))
-    for name, pattern in grammar.sections:
-        text = text.when(F.col("kind") == name, pattern.first(line, name) if pattern.group(name) else F.lit(""))
-    text = F.when(F.col("kind").isNull(), line).otherwise(text)
-    single = F.array(piece(F.coalesce("kind", "open.kind"), F.col("open.at"), F.col("open.ord"), F.coalesce(F.when(F.col("kind").isNull(), F.col("open.label")), none), text))
-    several = F.transform("options", lambda o, i: piece(F.lit("option"), place, i + 1, o["label"], strip(o["text"]) if not grammar.one_option else o["text"]))
-    rows = rows.withColumn("pieces", F.when(F.col("kind") == "option", several).otherwise(single))
-    number = F.max(F.when(F.col("head"), grammar.question.first(line, "number")))
-    whole = rows.groupBy("doc_id", "problem_seq").agg(
-        number.alias("number"), F.array_sort(F.flatten(F.collect_list("pieces"))).alias("pieces"), F.min(F.when(F.col("head"), F.col("page_index"))).alias("header_page"), F.max("last_page").alias("last_page")
-    )
-    of = lambda k: F.filter("pieces", lambda x: x["kind"] == k)
-    joined = lambda xs: F.array_join(F.transform(xs, lambda x: x["text"]), "")
-
-    def latest(xs: Column) -> Column:
-        return bind(xs, lambda v: bind(F.array_max(F.transform(v, lambda y: y["run"])), lambda last: F.filter(v, lambda x: x["run"] == last)))
-
-    def options_of(xs: Column) -> Column:
-        return F.transform(F.array_distinct(F.transform(xs, lambda x: x["label"])), lambda k: F.struct(k.alias("label"), joined(latest(F.filter(xs, lambda x: x["label"] == k))).alias("text")))
 
-    seq = Window.partitionBy("doc_id").orderBy("problem_seq")
-    return whole.select(
-        "doc_id", "problem_seq", "number", joined(of("question")).alias("question"), joined(latest(of("answer"))).alias("answer"), bind(of("option"), options_of).cast(f"array<{OPTION}>").alias("options"),
-        joined(latest(of("analysis"))).alias("analysis"), "header_page", F.coalesce(F.lead("header_page").over(seq), "last_page").alias("completed_page"),
+def problems_of_blocks(found: DataFrame, grammar: Grammar) -> DataFrame:
+    """The problems of blocks(), each from its own lines.
+
+    A line that opens an option, an answer or another section begins a run, which the lines up to the next such line go on with, if the grammar lets them.
+    """
+    tidy = strip if grammar.strip_parts else (lambda c: c)
+    none = F.lit(None).cast("string")
+    no_options = F.array().cast(f"array<{OPTION}>")
+
+    def options_in(line: Column) -> Column:
+        option = lambda label, text: F.struct(label.alias("label"), text.alias("text"))
+        if grammar.one_option:
+            return F.when(grammar.options.matches(line), F.array(option(grammar.options.first(line, "label"), grammar.options.first(line, "text")))).otherwise(no_options)
+        every = F.transform(grammar.options.every(line, "label", "text"), lambda o: option(o["label"], strip(o["text"])))
+        return F.when(grammar.options.within(line), every).otherwise(no_options)
+
+    def told(line: Column, options: Column) -> Column:
+        kind, text = F.when(F.size(options) > 0, "option"), none
+        if grammar.answer:
+            kind = kind.when(grammar.answer.matches(line), "answer")
+        for name, pattern in grammar.sections:
+            kind = kind.when(pattern.matches(line), name)
+
+        def with_text(kind: Column) -> Column:
+            of = {name: pattern.first(line, name) if pattern.group(name) else F.lit("") for name, pattern in grammar.sections}
+            if grammar.answer:
+                of = {"answer": tidy(grammar.answer.first(line, "answer"))} | of
+            text = F.when(kind.isNull(), line)
+            for name, value in of.items():
+                text = text.when(kind == name, value)
+            return F.struct(kind.alias("kind"), options.alias("options"), text.alias("text"))
+
+        return bind(kind, with_text)
+
+    def runs(lines: Column) -> Column:
+        """Structs (kind, options, text, tail), the header's first."""
+        at = F.filter(F.transform(lines, lambda x, i: F.when(x["kind"].isNotNull(), i)), lambda i: i.isNotNull())
+
+        def run(at: Column, i: Column, j: Column) -> Column:
+            rest = F.slice(lines, i + 2, F.coalesce(F.get(at, j + 1), F.size(lines)) - i - 1)
+            tail = F.array_join(F.transform(rest, lambda x: x["text"]), "")
+            return bind(F.get(lines, i), lambda x: x.withField("tail", F.when(grammar.goes_on_with(x["kind"]), tail).otherwise("")))
+
+        return bind(at, lambda at: F.transform(at, lambda i, j: run(at, i, j)))
+
+    head = F.col("lines")[0]
+    first = grammar.question.first(head, "question")
+    opening = F.struct(F.lit("question").alias("kind"), no_options.alias("options"), (strip(first) if grammar.strip_parts else first).alias("text"))
+    rest = F.transform(F.slice("lines", 2, F.size("lines")), lambda line: bind(options_in(line), lambda o: told(line, o)))
+    rows = found.select("*", F.transform(F.array(F.concat(F.array(opening), rest)), runs)[0].alias("runs"))
+
+    def latest(kind: str) -> Column:
+        return F.coalesce(bind(F.get(F.filter("runs", lambda r: r["kind"] == kind), F.lit(0) if kind == "question" else F.size(F.filter("runs", lambda r: r["kind"] == kind)) - 1), lambda r: F.concat(r["text"], r["tail"])), F.lit(""))
+
+    def with_tail(r: Column) -> Column:
+        return F.transform(r["options"], lambda o, i: F.when(i == F.size(r["options"]) - 1, o.withField("text", F.concat(o["text"], r["tail"]))).otherwise(o))
+
+    def options_of(given: Column) -> Column:
+        return F.transform(F.array_distinct(F.transform(given, lambda o: o["label"])), lambda k: F.struct(k.alias("label"), F.element_at(F.filter(given, lambda o: o["label"] == k), -1)["text"].alias("text")))
+
+    given = F.flatten(F.transform(F.filter("runs", lambda r: r["kind"] == "option"), with_tail))
+    analysis = latest("analysis") if any(name == "analysis" for name, _ in grammar.sections) else F.lit("")
+    return rows.select(
+        "doc_id", "problem_seq", grammar.question.first(head, "number").alias("number"), latest("question").alias("question"), (latest("answer") if grammar.answer else F.lit("")).alias("answer"),
+        bind(given, options_of).cast(f"array<{OPTION}>").alias("options"), analysis.alias("analysis"), "header_page", "completed_page",
     )
 
 
@@ -177,12 +224,12 @@ def annotation_sides(elements: Column) -> Column:
 
 
 def annotations(lines: DataFrame) -> DataFrame:
-    """(doc_id, page_index, note, start_y, text): by top y, each marker line begins a note and the lines after it go on with it; lines before the first are dropped."""
-    rows = lines.where("annotation").withColumn("y", top_y(F.col("element"))).withColumn("line", book_a_clean(F.col("element")["content"]))
-    rows = rows.where((F.col("line") != "") & ~book_a_noise(F.col("line")))
+    """(doc_id, page_index, note, start_y, text) of the annotation columns' lines: by top y, each marker line begins a note and the lines after it go on with it; lines before the first are dropped."""
+    rows = lines.withColumn("line", book_a_clean(F.col("element")["content"]))
+    rows = rows.where((F.col("line") != "") & ~book_a_noise(F.col("line"))).select("doc_id", "page_index", "element_index", "line", top_y(F.col("element")).alias("y"))
     order = Window.partitionBy("doc_id", "page_index").orderBy("y", "element_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("note", F.sum(F.col("line").contains(BOOK_A_ANNOTATION).cast("int")).over(order)).where("note > 0")
-    pieces = F.array_sort(F.collect_list(F.struct("y", "element_index", "line")))
+    pieces = F.sort_array(F.collect_list(F.struct("y", "element_index", "line")))
     return rows.groupBy("doc_id", "page_index", "note").agg(pieces.alias("p")).select("doc_id", "page_index", "note", F.col("p")[0]["y"].alias("start_y"), F.array_join(F.transform("p", lambda x: x["line"]), "").alias("text"))
 
 
@@ -204,13 +251,18 @@ def first_range_join(points: DataFrame, ranges: DataFrame, keys: list[str], at:
 def extract_book_a(pages: DataFrame) -> DataFrame:
     """Problems of the first book's layout: body lines by the grammar, and notes of the annotation column added to the problem beside which they begin."""
     grammar = book_a_grammar()
-    sided = pages.withColumn("sides", annotation_sides(F.col("elements")))
-    lines = written(lines_of(sided).where("element IS NOT NULL"))  # read for the body, its headers and the notes
-    body = lines.where("NOT annotation").withColumn("line", grammar.clean(F.col("element")["content"]))
-    problems = problems_of_lines(body, grammar)
-    order = Window.partitionBy("doc_id").orderBy("page_index", "element_index")
-    heads = body.where(grammar.question.matches(F.col("line")) & ~grammar.noise(F.col("line"))).select("doc_id", "page_index", top_y(F.col("element")).alias("start"), F.row_number().over(order).alias("problem_seq"))
-    notes = annotations(lines)
+    sided = pages.select("doc_id", "page_index", "elements", annotation_sides(F.col("elements")).alias("sides"))
+    zipped = F.transform(F.arrays_zip(F.col("elements").alias("element"), F.col("sides").alias("annotation")), lambda z, i: F.struct(i.alias("element_index"), z["element"].alias("element"), z["annotation"].alias("annotation")))
+    sided = sided.select("doc_id", "page_index", zipped.alias("z"))
+    side = lambda on: F.filter("z", lambda x: x["annotation"] if on else ~x["annotation"])
+    body = sided.select("doc_id", "page_index", F.transform(side(False), lambda x: x["element"]).alias("body"), F.transform(side(True), lambda x: F.struct(x["element_index"], x["element"])).alias("notes"))
+    body = body.select("doc_id", "page_index", "body", "notes", told_lines(F.col("body"), grammar).alias("told"))
+    told = F.transform("told", lambda x: x.withField("y", F.when(x["head"], top_y(F.get("body", x["element_index"])))))
+    parts = segments(body.select("doc_id", "page_index", "notes", told.alias("told")), "notes")
+    parts = written(parts.withColumn("notes", F.when(F.col("nth").isNull() | (F.col("nth") == 0), F.col("notes"))))  # read for the problems, their headers and the notes
+    problems = problems_of_blocks(blocks(parts), grammar)
+    heads = parts.where("head").select("doc_id", "page_index", F.col("lines")[0]["y"].alias("start"), "problem_seq")
+    notes = annotations(parts.select("doc_id", "page_index", F.inline("notes")))
     page = Window.partitionBy("doc_id", "page_index").orderBy("problem_seq")
     here = heads.withColumn("stop", F.coalesce(F.lead("start").over(page), F.lit(float("inf"))))
     noted = notes.select("doc_id", "page_index").distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.patterns import PatternError, RegexPatterns, parse_patterns, translate
 from quirefold.functions.text import is_blank, is_digits
-from quirefold.operators.extraction import ATTEMPTS, SAMPLE_CHARS, Grammar, lines_of, page_texts, problems_of_lines
+from quirefold.operators.extraction import ATTEMPTS, SAMPLE_CHARS, Grammar, blocks, page_texts, problems_of_blocks, segments, told_lines
 
 _GROUPS = ("number", "question", "label", "text", "answer")
 _PART = "struct<java: string, number: int, question: int, label: int, text: int, answer: int>"
@@ -83,6 +83,9 @@ class PatternColumn:
         found = F.call_function("regexp_extract", c, self._at_start(), F.greatest(self.part[name], F.lit(0)))
         return F.when(self.part[name] < 0, "").otherwise(found)
 
+    def within(self, c: Column) -> Column:
+        return F.coalesce(F.call_function("regexp_instr", c, self.part["java"]) > 0, F.lit(False))
+
     def every(self, c: Column, *names: str) -> Column:
         parts = [F.regexp_extract_all(c, self.part["java"], self.part[n]).alias(n) for n in names]
         return F.transform(F.arrays_zip(*parts), lambda x: F.struct(*[x[n].alias(n) for n in names]))
@@ -100,13 +103,14 @@ def column_grammar(g: Column) -> Grammar:
 def extract(pages: DataFrame, grammars: DataFrame) -> DataFrame:
     """Problems of pages by the grammar of each document, of grammars (doc_id, g), a row a document; documents without one give none.
 
-    A document's lines are brought together once, and its grammar is joined to them there, so patterns are not shuffled with lines.
+    A document's grammar is joined to its pages, whose lines are told apart there, and to its blocks; pages and blocks of a document stay where they are.
     """
     own = grammars.select(F.col("doc_id").alias("_doc"), "g")
     grammar = column_grammar(F.col("g"))
-    lines = lines_of(pages.select("doc_id", "page_index", "elements"))
-    lines = lines.join(own, lines["doc_id"] == own["_doc"]).drop("_doc")
-    return problems_of_lines(lines.withColumn("line", grammar.clean(F.col("element")["content"])), grammar)
+    rows = pages.select("doc_id", "page_index", F.transform("elements", lambda e: F.struct(e["content"].alias("content"))).alias("elements"))
+    rows = rows.join(own, rows["doc_id"] == own["_doc"]).select("doc_id", "page_index", told_lines(F.col("elements"), grammar).alias("told"))
+    found = blocks(segments(rows))
+    return problems_of_blocks(found.join(own, found["doc_id"] == own["_doc"]).drop("_doc"), grammar)
 
 
 def samples(pages: DataFrame, ranges: DataFrame) -> DataFrame:

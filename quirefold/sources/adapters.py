@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,62 +30,79 @@ def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1))
 
 
-def paged(lines: DataFrame, order: list[str], x: Column | None = None) -> DataFrame:
+def paged(lines: DataFrame, order: list[str]) -> DataFrame:
     """Pages of PAGE_LINES lines each from (doc_id, content) in the given order; lines are boxes of height 8, ten apart."""
     rows = lines.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1)
     rows = rows.withColumn("page_index", F.floor(F.col("n") / PAGE_LINES).cast("int")).withColumn("at", F.col("n") % PAGE_LINES)
-    left = x if x is not None else F.lit(0)
-    element = F.struct(box(left, F.col("at") * 10, left + 100, F.col("at") * 10 + 8).alias("bbox"), F.lit("text").alias("label"), F.col("content"))
+    element = F.struct(box(F.lit(0), F.col("at") * 10, F.lit(100), F.col("at") * 10 + 8).alias("bbox"), F.lit("text").alias("label"), F.col("content"))
     listed = rows.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("at", element.alias("e")))).alias("es"))
     return listed.select("doc_id", "page_index", F.transform("es", lambda e: e["e"]).cast(f"array<{ELEMENT}>").alias("elements"))
 
 
-def book_lines(spark: SparkSession, sf_dir: str, header: Column, option: Column, answer: Column | None, tail: list[Column], follow: Column | None = None) -> DataFrame:
-    """Lines (doc_id, content, ord) of a book of orders for each customer: a header, an option for each line item, an answer and more lines.
+def book_pages_of(spark: SparkSession, sf_dir: str, header: Column, option: Callable[[Column], Column], answer: Column | None, tail: list[Column], follow: Callable[[Column], Column] | None = None, x: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Pages of a book of orders for each customer: a header, an option for each line item, an answer and more lines.
 
-    Line items are told apart by all that orders them, so the order is fixed.
+    Line items are told apart by all that orders them, so the order is fixed; order keys are unique. An order's lines stay in one row until pages are cut, so
+    what is shuffled and sorted is a row an order, and not one a line.
     """
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").alias("k"), "o_orderpriority", "o_orderstatus")
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    zero = F.lit(0).cast("long")
-    line = lambda part, content, a=zero, b=zero, c=F.lit(0.0), d=F.lit(0.0): F.struct(F.lit(part).alias("part"), a.cast("long").alias("a"), b.cast("long").alias("b"), c.cast("double").alias("c"), d.cast("double").alias("d"), content.alias("content"))
-    heads = orders.select("doc_id", "k", F.explode(F.array(line(0, header), *([line(2, answer)] if answer is not None else []), *[line(3 + i, t) for i, t in enumerate(tail)])).alias("l"))
-    key = (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice"))
-    parts = [line(1, option, *key)] + ([line(1, follow, *key, F.lit(1.0))] if follow is not None else [])
-    rows = items.join(orders.select("doc_id", "k"), "k").select("doc_id", "k", F.explode(F.array(*parts)).alias("l"))
-    rows = heads.unionByName(rows)
-    return rows.select("doc_id", F.col("l.content").alias("content"), F.struct("k", "l.part", "l.a", "l.b", "l.c", "l.d").alias("ord"))
+    items = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL")
+    items = items.groupBy(F.col("l_orderkey").alias("_k")).agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("items"))
+
+    def line(i: Column, d: int, content: Column) -> Column:
+        a = i["l_linenumber"].cast("long") * 1_000_000_000 + i["l_partkey"]
+        return F.struct(a.alias("a"), i["l_suppkey"].cast("long").alias("b"), i["l_extendedprice"].cast("double").alias("c"), F.lit(d).alias("d"), content.alias("content"))
+
+    parts = F.transform("items", lambda i: line(i, 0, option(i)))
+    if follow is not None:
+        parts = F.concat(parts, F.transform("items", lambda i: line(i, 1, follow(i))))
+    middle = F.coalesce(F.transform(F.sort_array(parts), lambda l: l["content"]), F.array().cast("array<string>"))
+    rows = orders.join(items, F.col("k") == F.col("_k"), "left")
+    rows = rows.select("doc_id", "k", F.concat(F.array(header), middle, F.array(*([answer] if answer is not None else []), *tail)).alias("lines"))
+    before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.size("lines")).over(before), F.lit(0)))
+    first, last = (F.floor(n / PAGE_LINES) for n in (F.col("start"), F.col("start") + F.size("lines") - 1))
+
+    def cut(page: Column) -> Column:
+        at = F.greatest(page * PAGE_LINES - F.col("start"), F.lit(0)).cast("int")
+        stop = F.least((page + 1) * PAGE_LINES - F.col("start"), F.size("lines")).cast("int")
+        return F.struct(page.cast("int").alias("page_index"), F.slice("lines", at + 1, stop - at).alias("lines"))
+
+    rows = rows.select("doc_id", "start", F.inline(F.transform(F.sequence(first, last), cut)))
+    listed = rows.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(F.struct("start", "lines"))).alias("ls"))
+    left = x or (lambda c: F.lit(0))
+    element = lambda c, i: F.struct(box(left(c), i * 10, left(c) + 100, i * 10 + 8).alias("bbox"), F.lit("text").alias("label"), c.alias("content"))
+    return listed.select("doc_id", "page_index", F.transform(F.flatten(F.transform("ls", lambda l: l["lines"])), element).cast(f"array<{ELEMENT}>").alias("elements"))
 
 
-def _label() -> Column:
-    return F.char(F.lit(64) + F.col("l_linenumber"))
+def _label(i: Column) -> Column:
+    return F.char(F.lit(64) + i["l_linenumber"])
 
 
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order book in the layout of BOOK_PATTERNS, with page numbers and other noise between."""
     header = F.concat(F.lit("第"), F.col("k"), F.lit("题 "), F.col("o_orderpriority"))
-    option = F.concat(_label(), F.lit(". part "), F.col("l_partkey"))
-    follow = F.concat(F.lit("from "), F.col("l_suppkey"))
+    option = lambda i: F.concat(_label(i), F.lit(". part "), i["l_partkey"])
+    follow = lambda i: F.concat(F.lit("from "), i["l_suppkey"])
     answer = F.concat(F.lit("答案："), F.col("o_orderstatus"))
     tail = [F.col("doc_id"), F.lit("-- end"), F.lit("orders")]
-    return paged(book_lines(spark, sf_dir, header, option, answer, tail, follow), ["ord"])
+    return book_pages_of(spark, sf_dir, header, option, answer, tail, follow)
 
 
 def book_a_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order book in the first book's layout, with an annotation in the right column beside each header."""
     header = F.concat(F.col("k"), F.lit(".（2024年 "), F.col("o_orderpriority"), F.lit(" 75%）"))
-    option = F.concat(F.char(F.lit(65) + F.col("l_linenumber") % 4), F.lit(". part "), F.col("l_partkey"))
+    option = lambda i: F.concat(F.char(F.lit(65) + i["l_linenumber"] % 4), F.lit(". part "), i["l_partkey"])
     answer = F.concat(F.lit("【参考答案】"), F.when(F.col("o_orderstatus") == "O", "A").otherwise("BC"))
     tail = [F.lit("【题型分类】 kind"), F.concat(F.lit("【实战解析】status "), F.col("o_orderstatus")), F.lit("时间"), F.concat(F.lit("花生批注"), F.col("k"))]
-    lines = book_lines(spark, sf_dir, header, option, answer, tail).withColumn("right", F.col("content").startswith("花生批注"))
-    return paged(lines, ["ord"], F.when(F.col("right"), 500).otherwise(0))
+    return book_pages_of(spark, sf_dir, header, option, answer, tail, x=lambda c: F.when(c.startswith("花生批注"), 500).otherwise(0))
 
 
 def book_b_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order book in the second book's layout: two options on a line, which end it."""
     header = F.concat(F.lit("例题"), F.col("k"), F.lit("（2024）"), F.col("o_orderpriority"))
-    option = F.concat(F.char(F.lit(65) + F.col("l_linenumber") % 4), F.lit(". part "), F.col("l_partkey"), F.lit(" D．supp "), F.col("l_suppkey"))
-    return paged(book_lines(spark, sf_dir, header, option, None, [F.lit("自测用，禁止商用"), F.lit("after")]), ["ord"])
+    option = lambda i: F.concat(F.char(F.lit(65) + i["l_linenumber"] % 4), F.lit(". part "), i["l_partkey"], F.lit(" D．supp "), i["l_suppkey"])
+    return book_pages_of(spark, sf_dir, header, option, None, [F.lit("自测用，禁止商用"), F.lit("after")])
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

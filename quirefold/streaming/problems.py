@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quirefold.operators.extraction import Grammar, problems_of_lines
+from quirefold.operators.extraction import Grammar, problems_of_blocks, told_lines
 
 _LINE = "struct<page_index: int, element_index: int, line: string>"
 BLOCK = f"doc_id string, problem_seq int, lines array<{_LINE}>, completed_page int"
@@ -48,18 +48,13 @@ def stream_blocks(pages: DataFrame, grammar: Grammar) -> DataFrame:
         names = ("page_index", "element_index", "line")
         yield pd.DataFrame([(d, n, [dict(zip(names, x, strict=True)) for x in block], p) for d, n, block, p in done], columns=["doc_id", "problem_seq", "lines", "completed_page"])
 
-    cleaned = F.transform("elements", lambda e, i: F.struct(i.alias("element_index"), grammar.clean(e["content"]).alias("line")))
-    told = F.filter(cleaned, lambda x: x["line"].isNotNull() & (x["line"] != "") & ~grammar.noise(x["line"]))
-    lines = F.transform(told, lambda x: F.struct(x["element_index"], x["line"], grammar.question.matches(x["line"]).alias("head")))
-    return pages.select("doc_id", "page_index", lines.alias("lines")).groupBy("doc_id").applyInPandasWithState(split, BLOCK, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return pages.select("doc_id", "page_index", told_lines(F.col("elements"), grammar).alias("lines")).groupBy("doc_id").applyInPandasWithState(split, BLOCK, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def block_problems(blocks: DataFrame, grammar: Grammar) -> DataFrame:
-    """The problems of blocks, by the same grammar as whole documents: each block stands for a document of one problem."""
-    whole = F.struct("doc_id", "problem_seq")
-    lines = blocks.select(whole.alias("doc_id"), F.col("completed_page").alias("last_page"), F.inline("lines"))
-    found = problems_of_lines(lines, grammar).drop("problem_seq")
-    return found.select("doc_id.*", *[c for c in found.columns if c != "doc_id"])
+    """The problems of blocks, by the same grammar as whole documents: each block is a problem's lines."""
+    lines = F.transform(F.sort_array("lines"), lambda x: x["line"])
+    return problems_of_blocks(blocks.select("doc_id", "problem_seq", lines.alias("lines"), F.array_min("lines")["page_index"].alias("header_page"), "completed_page"), grammar)
 
 
 def with_document_ends(pages: DataFrame) -> DataFrame:

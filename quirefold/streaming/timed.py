@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quirefold.operators.extraction import Grammar
+from quirefold.operators.extraction import Grammar, told_lines
 from quirefold.streaming.problems import BLOCK
 
 if TYPE_CHECKING:
@@ -112,10 +112,7 @@ def timed_blocks(events: DataFrame, grammar: Grammar, idle: str = "1 hour", dela
     Pages of a document come in order from batch to batch; a page with null elements ends it. The session needs with_store().
     """
     idle_ms = int(_seconds(events.sparkSession, idle) * 1000)
-    cleaned = F.transform("elements", lambda e, i: F.struct(i.alias("element_index"), grammar.clean(e["content"]).alias("line")))
-    told = F.filter(cleaned, lambda x: x["line"].isNotNull() & (x["line"] != "") & ~grammar.noise(x["line"]))
-    lines = F.transform(told, lambda x: F.struct(x["element_index"], x["line"], grammar.question.matches(x["line"]).alias("head")))
-    rows = events.withWatermark("at", delay).select("doc_id", "page_index", "at", "cancel", lines.alias("lines"))
+    rows = events.withWatermark("at", delay).select("doc_id", "page_index", "at", "cancel", told_lines(F.col("elements"), grammar).alias("lines"))
     return rows.groupBy("doc_id").transformWithStateInPandas(_Documents(idle_ms), TIMED_BLOCK, "append", "eventTime")
 
 

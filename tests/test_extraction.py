@@ -194,3 +194,10 @@ def test_first_range_wins(spark):
 
 def test_lines_of_keeps_empty_pages(spark):
     assert ex.lines_of(pages(spark, ["a"], [])).where(F.col("element").isNull()).count() == 1
+
+
+def test_segments_are_sorted_and_not_lines(spark):
+    book = pages(spark, ["lost", "Q1. a", *["more"] * 50, "Q2. b"], [], ["tail"] * 50)
+    parts = ex.segments(book.select("doc_id", "page_index", ex.told_lines(F.col("elements"), ex.general_grammar(GENERAL)).alias("told")))
+    rows = parts.orderBy("page_index", "nth").select("page_index", F.size(F.coalesce("lines", F.array())).alias("n"), "head", "problem_seq", "last_page").collect()
+    assert [tuple(r) for r in rows] == [(0, 1, False, 0, 2), (0, 51, True, 1, 2), (0, 1, True, 2, 2), (1, 0, False, 2, 2), (2, 50, False, 2, 2)]
