@@ -12,6 +12,8 @@ from quirefold.functions.text import bind, char_counts, is_decimals, is_digits,
 
 METRICS = ("question_completeness", "option_completeness", "text_coverage", "structural_consistency", "extraction_validity")
 FALLBACK, MINIMUM = 0.90, 0.70
+#: Digits that means are rounded to before the warnings compare them with their bounds.
+BOUND_DIGITS = 9
 
 
 @dataclass(frozen=True)
@@ -121,10 +123,11 @@ def evaluate(pages: DataFrame, problems: DataFrame, config: Config = Config(), s
     fine = F.col("some") & ~F.col("failed")
     rows = rows.withColumns({m: F.when(fine, F.coalesce(m, F.lit(0.0))).otherwise(F.lit(0.0)) for m in METRICS})
     product = reduce(lambda a, b: a * b, [F.pow(F.greatest(F.col(m), F.lit(1e-6)), F.lit(config.weights[m])) for m in METRICS])
-    # The bounds and texts of the warnings.
+    # The bounds and texts of the warnings. Sums of doubles depend on their order, so means are rounded before they are compared: a mean that is the bound isn't below it.
+    means = {m: F.round(m, BOUND_DIGITS) for m in METRICS}
     low = F.array(
-        F.when(F.col("question_completeness") < 0.6, "many questions appear incomplete"), F.when(F.col("option_completeness") < 0.6, "many option sets appear incomplete"),
-        F.when(F.col("text_coverage") < 0.5, "extracted problems cover little OCR text"), F.when(F.col("repeated"), "duplicate problem numbers detected"),
+        F.when(means["question_completeness"] < 0.6, "many questions appear incomplete"), F.when(means["option_completeness"] < 0.6, "many option sets appear incomplete"),
+        F.when(means["text_coverage"] < 0.5, "extracted problems cover little OCR text"), F.when(F.col("repeated"), "duplicate problem numbers detected"),
     )
     failed, empty = (F.array(F.lit(x)) for x in ("extractor failed: a problem number is no decimal number", "extractor produced no problems"))
     warnings = F.when(F.col("failed"), failed).when(~F.col("some"), empty).otherwise(F.filter(low, lambda w: w.isNotNull()))

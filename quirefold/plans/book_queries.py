@@ -369,7 +369,7 @@ ORACLES = {
     "carry_forward_section": f"WITH {_LINES} SELECT doc_id, page_index, nth, CAST(last_value(CASE WHEN line LIKE '%the.' THEN length(line) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS section FROM l",
     **{m: f"WITH {_scores()} SELECT doc_id, round({m}, 6) AS {m} FROM e" for m in (*ev.METRICS,)},
     "structural_score": f"WITH {_scores()} SELECT doc_id, round(score, 6) AS score FROM e",
-    "warnings": f"WITH {_scores()} SELECT doc_id, concat_ws('; ', CASE WHEN question_completeness < 0.6 THEN 'many questions appear incomplete' END, CASE WHEN option_completeness < 0.6 THEN 'many option sets appear incomplete' END, CASE WHEN text_coverage < 0.5 THEN 'extracted problems cover little OCR text' END) AS warnings FROM e",
+    "warnings": f"WITH {_scores()} SELECT doc_id, concat_ws('; ', CASE WHEN round(question_completeness, 9) < 0.6 THEN 'many questions appear incomplete' END, CASE WHEN round(option_completeness, 9) < 0.6 THEN 'many option sets appear incomplete' END, CASE WHEN round(text_coverage, 9) < 0.5 THEN 'extracted problems cover little OCR text' END) AS warnings FROM e",
     "rank_extractors": f"{_RANKED} SELECT doc_id, candidate, round(score, 6) AS score, place FROM k",
     "select_best": f"{_RANKED} SELECT doc_id, candidate, round(score, 6) AS score FROM k WHERE place = 1",
     "fallback_select": f"{_RANKED} SELECT z.doc_id, CASE WHEN z.score < 0.9 AND a.score > z.score THEN 'general' WHEN z.score > 0 THEN 'single' ELSE 'book_b' END AS candidate, round(CASE WHEN z.score < 0.9 AND a.score > z.score THEN a.score ELSE z.score END, 6) AS score, CASE WHEN CASE WHEN z.score < 0.9 AND a.score > z.score THEN a.score ELSE z.score END < 0.7 THEN 'low_confidence' ELSE 'selected' END AS outcome FROM z JOIN a USING (doc_id)",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from quirefold.operators import evaluation as ev
@@ -21,3 +23,16 @@ def test_single_metrics(spark):
     for m in ev.METRICS:
         got = {r.doc_id: r[m] for r in ev.evaluate_metric(m, pages, problems).collect()}
         assert got == pytest.approx({d: r[m] for d, r in whole.items()}), m
+
+
+def test_a_mean_at_its_bound_is_not_below_it(spark):
+    """Ten problems whose option scores sum to 6 in any order of adding, though not in doubles."""
+    off, full = [("B", "x"), ("C", "y")], [("A", "x"), ("B", "y")]
+    rng, rows = random.Random(0), []
+    for d in range(60):
+        given = [off] * 6 + [full] + [[]] * 3
+        rng.shuffle(given)
+        rows += [(f"d{d}", i, str(i), "What is asked here?", "", o, "", 0, 0) for i, o in enumerate(given)]
+    pages = spark.createDataFrame([(f"d{d}", 0, [([], "text", "what is asked here")]) for d in range(60)], PAGES)
+    found = ev.evaluate(pages, spark.createDataFrame(rows, PROBLEMS)).collect()
+    assert {w for r in found for w in r.warnings} == set()
