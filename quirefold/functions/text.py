@@ -58,15 +58,20 @@ def is_decimals(c: Column) -> Column:
 
 @cache
 def _folds() -> tuple[dict[str, str], dict[str, str]]:
-    """Characters whose case folding is not their lower case: to one character, and to several."""
-    odd = {chr(i): chr(i).casefold() for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and chr(i).casefold() != chr(i).lower()}
+    """Characters whose case folding is not their lower case, or whose lower case depends on what stands beside it (the capital sigma): to one character, and to several."""
+    odd = {chr(i): chr(i).casefold() for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and (chr(i).casefold() != chr(i).lower() or chr(i) == "Σ")}
     return {k: v for k, v in odd.items() if len(v) == 1}, {k: v for k, v in odd.items() if len(v) > 1}
 
 
 def _may_have(chars: Iterable[str]) -> str:
-    """A class of those of the characters that are Latin letters, and of all from the first other one on: few tests a character."""
-    low = [c for c in chars if c < "\u0130"]
-    return "[" + "".join(low) + min(c for c in chars if c >= "\u0130") + r"-\x{10FFFF}]"
+    """A class that takes the characters and some between them, as few ranges: few tests a character, and scripts without any of them take none."""
+    spans: list[list[int]] = []
+    for i in sorted(map(ord, chars)):
+        if spans and i >= 0x130 and i - spans[-1][1] <= 0x400:
+            spans[-1][1] = i
+        else:
+            spans.append([i, i])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) + "]"
 
 
 def casefold(c: Column) -> Column:
@@ -75,13 +80,18 @@ def casefold(c: Column) -> Column:
     pairs = F.split(F.lit("|".join(k + v for k, v in several.items())), "[|]")
     spread = lambda x: F.aggregate(pairs, x, lambda y, p: F.replace(y, F.substring(p, 1, 1), F.substring(p, 2, 9)))
     when = lambda x, keys, done: F.when(x.rlike(_may_have(keys)), done(x)).otherwise(x)
-    c = bind(c, lambda x: when(x, several, spread))
-    return F.lower(bind(c, lambda x: when(x, one, lambda y: F.translate(y, "".join(one), "".join(one.values())))))
+    folded = lambda x: bind(when(x, several, spread), lambda y: when(y, one, lambda z: F.translate(z, "".join(one), "".join(one.values()))))
+    return F.lower(bind(c, lambda x: when(x, [*one, *several], folded)))
 
 
 def normalized(c: Column) -> Column:
     """Letters and numbers alone, case-folded."""
-    return casefold(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]", ""))
+    return casefold(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", ""))
+
+
+def has_text(c: Column) -> Column:
+    """Whether normalized() leaves anything."""
+    return F.coalesce(c.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
 def truncated(c: Column, chars: int) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import bind, char_counts, is_decimals, is_digits, normalized, strip
+from quirefold.functions.text import bind, char_counts, has_text, is_decimals, is_digits, normalized, strip
 
 METRICS = ("question_completeness", "option_completeness", "text_coverage", "structural_consistency", "extraction_validity")
 FALLBACK, MINIMUM = 0.90, 0.70
@@ -49,19 +49,18 @@ def option_completeness(options: Column, config: Config = Config()) -> Column:
     labels = F.transform(options, lambda o: F.upper(strip(o["label"])))
     due = F.transform(F.sequence(F.lit(65), F.lit(64) + n), lambda i: F.char(i))
     count = F.least(n / F.lit(config.min_options), F.lit(1.0)) * F.when(n > config.max_options, F.lit(float(config.max_options)) / n).otherwise(1.0)
-    texts = F.size(F.filter(options, lambda o: normalized(o["text"]) != "")) / n
+    texts = F.size(F.filter(options, lambda o: has_text(o["text"]))) / n
     return F.when(n == 0, 0.0).otherwise((count + F.when(labels == due, 1.0).otherwise(0.5) + texts) / 3)
 
 
 def validity(question: Column, options: Column) -> Column:
-    return _score((normalized(question) != "") | F.exists(options, lambda o: normalized(o["text"]) != ""))
+    return _score(has_text(question) | F.exists(options, lambda o: has_text(o["text"])))
 
 
 def source_counts(pages: DataFrame) -> DataFrame:
-    """(doc_id, c, have): how often each document of pages has a character, and a row of none for each document. Texts are counted by character before they are exploded."""
+    """(doc_id, c, have): how often each document of pages has a character, and a row of none for each document. A page's text is folded as one and counted by character before it is exploded."""
     none = F.array(F.struct(F.lit("").alias("c"), F.lit(0).cast("long").alias("n")))
-    texts = F.transform("elements", lambda e: normalized(e["content"]))
-    each = pages.select("doc_id", F.inline(F.concat(none, char_counts(F.array_join(texts, "")))))
+    each = pages.select("doc_id", F.inline(F.concat(none, char_counts(normalized(F.array_join(F.col("elements")["content"], ""))))))
     return each.groupBy("doc_id", "c").agg(F.sum("n").alias("have"))
 
 
@@ -80,14 +79,19 @@ def text_coverage(pages: DataFrame, problems: DataFrame, source: DataFrame | Non
 
 
 def structural_consistency(numbers: Column) -> Column:
-    """Mean of presence, uniqueness and ascent, of an array of normalised numbers in order."""
-    filled = F.filter(numbers, lambda x: x != "")
-    numeric = F.transform(F.filter(filled, is_decimals), lambda x: F.translate(x, "０１２３４５６７８９", "0123456789").try_cast("decimal(38,0)"))
-    pairs = F.zip_with(F.slice(numeric, 1, F.greatest(F.size(numeric) - 1, F.lit(0))), F.slice(numeric, 2, F.greatest(F.size(numeric) - 1, F.lit(0))), lambda a, b: b > a)
-    rising = F.size(F.filter(pairs, lambda p: p)) / F.nullif(F.size(pairs), F.lit(0))
-    ordering = F.when(F.size(numeric) == 0, 0.0).when(F.size(numeric) == 1, 1.0).otherwise(rising)
-    unique = F.coalesce(F.size(F.array_distinct(filled)) / F.nullif(F.size(filled), F.lit(0)), F.lit(0.0))
-    return (F.size(filled) / F.nullif(F.size(numbers), F.lit(0)) + unique + ordering) / 3
+    """Mean of presence, uniqueness and ascent, of an array of normalised numbers in order. Arrays are bound, as each is named several times."""
+
+    def ordering(numeric: Column) -> Column:
+        pairs = F.zip_with(F.slice(numeric, 1, F.greatest(F.size(numeric) - 1, F.lit(0))), F.slice(numeric, 2, F.greatest(F.size(numeric) - 1, F.lit(0))), lambda a, b: b > a)
+        rising = bind(pairs, lambda pairs: F.size(F.filter(pairs, lambda p: p)) / F.nullif(F.size(pairs), F.lit(0)))
+        return F.when(F.size(numeric) == 0, 0.0).when(F.size(numeric) == 1, 1.0).otherwise(rising)
+
+    def mean(filled: Column) -> Column:
+        numeric = F.transform(F.filter(filled, is_decimals), lambda x: F.translate(x, "０１２３４５６７８９", "0123456789").try_cast("decimal(38,0)"))
+        unique = F.coalesce(F.size(F.array_distinct(filled)) / F.nullif(F.size(filled), F.lit(0)), F.lit(0.0))
+        return (F.size(filled) / F.nullif(F.size(numbers), F.lit(0)) + unique + bind(numeric, ordering)) / 3
+
+    return bind(F.filter(numbers, lambda x: x != ""), mean)
 
 
 def evaluate_metric(name: str, pages: DataFrame, problems: DataFrame, config: Config = Config()) -> DataFrame:

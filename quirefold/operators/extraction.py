@@ -94,7 +94,7 @@ def lines_of(pages: DataFrame) -> DataFrame:
 
 def told_lines(elements: Column, grammar: Grammar) -> Column:
     """The lines of a page's elements that are no noise, as structs (element_index, line, head)."""
-    cleaned = F.transform(elements, lambda e, i: F.struct(i.alias("element_index"), grammar.clean(e["content"]).alias("line")))
+    cleaned = F.transform(elements["content"], lambda c, i: F.struct(i.alias("element_index"), grammar.clean(c).alias("line")))
     told = F.filter(cleaned, lambda x: x["line"].isNotNull() & (x["line"] != "") & ~grammar.noise(x["line"]))
     return F.transform(told, lambda x: F.struct(x["element_index"], x["line"], grammar.question.matches(x["line"]).alias("head")))
 
@@ -128,10 +128,10 @@ def extract(pages: DataFrame, grammar: Grammar) -> DataFrame:
 
 def blocks(parts: DataFrame) -> DataFrame:
     """(doc_id, problem_seq, lines, header_page, completed_page) of segments(): a header's line and the lines up to the next, as an array of strings."""
-    texts = F.transform("lines", lambda x: x["line"])
+    texts = F.col("lines")["line"]
     listed = F.sort_array(F.collect_list(F.struct("page_index", "nth", texts.alias("lines"))))
     whole = parts.where("problem_seq > 0 AND lines IS NOT NULL").groupBy("doc_id", "problem_seq").agg(listed.alias("parts"), F.max("last_page").alias("last_page"))
-    whole = whole.select("doc_id", "problem_seq", F.flatten(F.transform("parts", lambda p: p["lines"])).alias("lines"), F.col("parts")[0]["page_index"].alias("header_page"), "last_page")
+    whole = whole.select("doc_id", "problem_seq", F.flatten(F.col("parts")["lines"]).alias("lines"), F.col("parts")[0]["page_index"].alias("header_page"), "last_page")
     seq = Window.partitionBy("doc_id").orderBy("problem_seq")
     return whole.withColumn("completed_page", F.coalesce(F.lead("header_page").over(seq), "last_page")).drop("last_page")
 
@@ -141,67 +141,55 @@ def problems_of_blocks(found: DataFrame, grammar: Grammar) -> DataFrame:
 
     A line that opens an option, an answer or another section begins a run, which the lines up to the next such line go on with, if the grammar lets them.
     """
+    none = F.array().cast("array<string>")
+    if grammar.one_option:
+        every = lambda line, name: F.when(grammar.options.matches(line), F.array(grammar.options.first(line, name))).otherwise(none)
+        option_text = lambda c: c
+    else:
+        every, option_text = grammar.options.each, strip
     tidy = strip if grammar.strip_parts else (lambda c: c)
-    none = F.lit(None).cast("string")
-    no_options = F.array().cast(f"array<{OPTION}>")
-
-    def options_in(line: Column) -> Column:
-        option = lambda label, text: F.struct(label.alias("label"), text.alias("text"))
-        if grammar.one_option:
-            return F.when(grammar.options.matches(line), F.array(option(grammar.options.first(line, "label"), grammar.options.first(line, "text")))).otherwise(no_options)
-        every = F.transform(grammar.options.every(line, "label", "text"), lambda o: option(o["label"], strip(o["text"])))
-        return F.when(grammar.options.within(line), every).otherwise(no_options)
-
-    def told(line: Column, options: Column) -> Column:
-        kind, text = F.when(F.size(options) > 0, "option"), none
-        if grammar.answer:
-            kind = kind.when(grammar.answer.matches(line), "answer")
-        for name, pattern in grammar.sections:
-            kind = kind.when(pattern.matches(line), name)
-
-        def with_text(kind: Column) -> Column:
-            of = {name: pattern.first(line, name) if pattern.group(name) else F.lit("") for name, pattern in grammar.sections}
-            if grammar.answer:
-                of = {"answer": tidy(grammar.answer.first(line, "answer"))} | of
-            text = F.when(kind.isNull(), line)
-            for name, value in of.items():
-                text = text.when(kind == name, value)
-            return F.struct(kind.alias("kind"), options.alias("options"), text.alias("text"))
-
-        return bind(kind, with_text)
-
-    def runs(lines: Column) -> Column:
-        """Structs (kind, options, text, tail), the header's first."""
-        at = F.filter(F.transform(lines, lambda x, i: F.when(x["kind"].isNotNull(), i)), lambda i: i.isNotNull())
+    opening = {} if grammar.answer is None else {"answer": (grammar.answer, tidy)}
+    opening |= {name: (pattern, lambda c: c) for name, pattern in grammar.sections}
 
-        def run(at: Column, i: Column, j: Column) -> Column:
-            rest = F.slice(lines, i + 2, F.coalesce(F.get(at, j + 1), F.size(lines)) - i - 1)
-            tail = F.array_join(F.transform(rest, lambda x: x["text"]), "")
-            return bind(F.get(lines, i), lambda x: x.withField("tail", F.when(grammar.goes_on_with(x["kind"]), tail).otherwise("")))
+    def kind_of(line: Column, labels: Column) -> Column:
+        kind = F.when(F.size(labels) > 0, "option")
+        for name, (pattern, _) in opening.items():
+            kind = kind.when(pattern.matches(line), name)
+        return kind
 
-        return bind(at, lambda at: F.transform(at, lambda i, j: run(at, i, j)))
+    # A line's labels, texts and kind are arrays beside its problem's lines after the header, and each is a column that is read more than once, so none is worked out again for each line.
+    rows = found.select("*", F.col("lines")[0].alias("head"), F.slice("lines", 2, F.size("lines")).alias("rest"))
+    rows = rows.select("*", F.transform("rest", lambda line: every(line, "label")).alias("labels"))
+    rows = rows.select("*", F.zip_with("rest", "labels", lambda line, labels: F.when(F.size(labels) > 0, every(line, "text"))).alias("texts"), F.zip_with("rest", "labels", kind_of).alias("kinds"))
+    rows = rows.select("*", F.filter(F.transform("kinds", lambda k, i: F.when(k.isNotNull(), i)), lambda i: i.isNotNull()).alias("at"))
 
-    head = F.col("lines")[0]
-    first = grammar.question.first(head, "question")
-    opening = F.struct(F.lit("question").alias("kind"), no_options.alias("options"), (strip(first) if grammar.strip_parts else first).alias("text"))
-    rest = F.transform(F.slice("lines", 2, F.size("lines")), lambda line: bind(options_in(line), lambda o: told(line, o)))
-    rows = found.select("*", F.transform(F.array(F.concat(F.array(opening), rest)), runs)[0].alias("runs"))
+    def tail(kind: str, begin: Column, stop: Column) -> Column:
+        """The lines of a run of that kind after its first, which are those from begin on and before stop, if they go on with it."""
+        return F.when(grammar.goes_on_with(F.lit(kind)), F.array_join(F.slice("rest", begin + 1, F.coalesce(stop, F.size("rest")) - begin), "")).otherwise("")
 
     def latest(kind: str) -> Column:
-        return F.coalesce(bind(F.get(F.filter("runs", lambda r: r["kind"] == kind), F.lit(0) if kind == "question" else F.size(F.filter("runs", lambda r: r["kind"] == kind)) - 1), lambda r: F.concat(r["text"], r["tail"])), F.lit(""))
-
-    def with_tail(r: Column) -> Column:
-        return F.transform(r["options"], lambda o, i: F.when(i == F.size(r["options"]) - 1, o.withField("text", F.concat(o["text"], r["tail"]))).otherwise(o))
-
-    def options_of(given: Column) -> Column:
-        return F.transform(F.array_distinct(F.transform(given, lambda o: o["label"])), lambda k: F.struct(k.alias("label"), F.element_at(F.filter(given, lambda o: o["label"] == k), -1)["text"].alias("text")))
-
-    given = F.flatten(F.transform(F.filter("runs", lambda r: r["kind"] == "option"), with_tail))
-    analysis = latest("analysis") if any(name == "analysis" for name, _ in grammar.sections) else F.lit("")
-    return rows.select(
-        "doc_id", "problem_seq", grammar.question.first(head, "number").alias("number"), latest("question").alias("question"), (latest("answer") if grammar.answer else F.lit("")).alias("answer"),
-        bind(given, options_of).cast(f"array<{OPTION}>").alias("options"), analysis.alias("analysis"), "header_page", "completed_page",
+        pattern, tidied = opening[kind]
+        last = F.array_max(F.filter("at", lambda i: F.get("kinds", i) == kind))
+        text = tidied(pattern.first(F.get("rest", last), kind)) if pattern.group(kind) is not None else F.lit("")
+        following = F.array_min(F.filter("at", lambda i: i > last))
+        return F.when(last.isNotNull(), F.concat(text, tail(kind, last + 1, following))).otherwise("")
+
+    def options_at(i: Column, j: Column) -> Column:
+        labels = F.get("labels", i)
+        text = lambda k: F.when(k == F.size(labels) - 1, F.concat(option_text(F.get(F.get("texts", i), k)), tail("option", i + 1, F.get("at", j + 1)))).otherwise(option_text(F.get(F.get("texts", i), k)))
+        return F.transform(labels, lambda label, k: F.struct(label.alias("label"), text(k).alias("text")))
+
+    given = F.flatten(F.filter(F.transform("at", lambda i, j: F.when(F.get("kinds", i) == "option", options_at(i, j))), lambda o: o.isNotNull()))
+    first = grammar.question.first(F.col("head"), "question")
+    question = F.concat(strip(first) if grammar.strip_parts else first, tail("question", F.lit(0), F.get("at", F.lit(0))))
+    rows = rows.select(
+        "doc_id", "problem_seq", grammar.question.first(F.col("head"), "number").alias("number"), question.alias("question"),
+        *[(latest(kind) if kind in opening else F.lit("")).alias(kind) for kind in ("answer", "analysis")], given.alias("given"), "header_page", "completed_page",
     )
+    labels = F.col("given")["label"]
+    again = F.transform(F.array_distinct(labels), lambda k: F.struct(k.alias("label"), F.element_at(F.filter("given", lambda o: o["label"] == k), -1)["text"].alias("text")))
+    options = F.when(F.size(F.array_distinct(labels)) == F.size("given"), F.col("given")).otherwise(again)
+    return rows.select("doc_id", "problem_seq", "number", "question", "answer", options.cast(f"array<{OPTION}>").alias("options"), "analysis", "header_page", "completed_page")
 
 
 def top_y(e: Column) -> Column:

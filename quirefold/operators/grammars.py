@@ -86,9 +86,8 @@ class PatternColumn:
     def within(self, c: Column) -> Column:
         return F.coalesce(F.call_function("regexp_instr", c, self.part["java"]) > 0, F.lit(False))
 
-    def every(self, c: Column, *names: str) -> Column:
-        parts = [F.regexp_extract_all(c, self.part["java"], self.part[n]).alias(n) for n in names]
-        return F.transform(F.arrays_zip(*parts), lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    def each(self, c: Column, name: str) -> Column:
+        return F.regexp_extract_all(c, self.part["java"], self.part[name])
 
 
 def column_grammar(g: Column) -> Grammar:

@@ -12,6 +12,8 @@ from quirefold.functions.text import split_lines
 from quirefold.sources.schemas import ELEMENT
 
 PAGE_LINES = 20
+#: Where lines of the right column begin.
+ASIDE = 500
 BOOK_PATTERNS = RegexPatterns(
     question=r"^第(?P<number>\d+)题\s*(?P<question>.*)$",
     options=r"(?P<label>[A-G])[.．]\s*(?P<text>.*?)(?=\s+[A-G][.．]|$)",
@@ -39,24 +41,22 @@ def paged(lines: DataFrame, order: list[str]) -> DataFrame:
     return listed.select("doc_id", "page_index", F.transform("es", lambda e: e["e"]).cast(f"array<{ELEMENT}>").alias("elements"))
 
 
-def book_pages_of(spark: SparkSession, sf_dir: str, header: Column, option: Callable[[Column], Column], answer: Column | None, tail: list[Column], follow: Callable[[Column], Column] | None = None, x: Callable[[Column], Column] | None = None) -> DataFrame:
+def book_pages_of(spark: SparkSession, sf_dir: str, header: Column, option: Callable[[Column], Column], answer: Column | None, tail: list[Column], follow: Callable[[Column], Column] | None = None, aside: Callable[[Column], Column] | None = None) -> DataFrame:
     """Pages of a book of orders for each customer: a header, an option for each line item, an answer and more lines.
 
     Line items are told apart by all that orders them, so the order is fixed; order keys are unique. An order's lines stay in one row until pages are cut, so
-    what is shuffled and sorted is a row an order, and not one a line.
+    what is shuffled and sorted is a row an order, and not one a line. The boxes of a page's lines are constants, as lines are boxes of one size, ten apart;
+    lines that are aside stand in a right column.
     """
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").alias("k"), "o_orderpriority", "o_orderstatus")
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL")
-    items = items.groupBy(F.col("l_orderkey").alias("_k")).agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("items"))
-
-    def line(i: Column, d: int, content: Column) -> Column:
-        a = i["l_linenumber"].cast("long") * 1_000_000_000 + i["l_partkey"]
-        return F.struct(a.alias("a"), i["l_suppkey"].cast("long").alias("b"), i["l_extendedprice"].cast("double").alias("c"), F.lit(d).alias("d"), content.alias("content"))
-
-    parts = F.transform("items", lambda i: line(i, 0, option(i)))
-    if follow is not None:
-        parts = F.concat(parts, F.transform("items", lambda i: line(i, 1, follow(i))))
-    middle = F.coalesce(F.transform(F.sort_array(parts), lambda l: l["content"]), F.array().cast("array<string>"))
+    def line(d: int, content: Column) -> Column:
+        a = F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")
+        return F.struct(a.alias("a"), F.col("l_suppkey").cast("long").alias("b"), F.col("l_extendedprice").cast("double").alias("c"), F.lit(d).alias("d"), content.alias("content"))
+
+    item = {c: F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")}
+    items = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL").select(F.col("l_orderkey").alias("_k"), F.array(line(0, option(item)), *([line(1, follow(item))] if follow is not None else [])).alias("lines"))
+    items = items.groupBy("_k").agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("items"))
+    middle = F.coalesce(F.col("items")["content"], F.array().cast("array<string>"))
     rows = orders.join(items, F.col("k") == F.col("_k"), "left")
     rows = rows.select("doc_id", "k", F.concat(F.array(header), middle, F.array(*([answer] if answer is not None else []), *tail)).alias("lines"))
     before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,9 +70,13 @@ def book_pages_of(spark: SparkSession, sf_dir: str, header: Column, option: Call
 
     rows = rows.select("doc_id", "start", F.inline(F.transform(F.sequence(first, last), cut)))
     listed = rows.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(F.struct("start", "lines"))).alias("ls"))
-    left = x or (lambda c: F.lit(0))
-    element = lambda c, i: F.struct(box(left(c), i * 10, left(c) + 100, i * 10 + 8).alias("bbox"), F.lit("text").alias("label"), c.alias("content"))
-    return listed.select("doc_id", "page_index", F.transform(F.flatten(F.transform("ls", lambda l: l["lines"])), element).cast(f"array<{ELEMENT}>").alias("elements"))
+    boxes = lambda left: F.array(*[box(F.lit(left), F.lit(i * 10), F.lit(left + 100), F.lit(i * 10 + 8)) for i in range(PAGE_LINES)])
+    rows = listed.select("doc_id", "page_index", F.flatten(F.col("ls")["lines"]).alias("lines"))
+    at = F.slice(boxes(0), F.lit(1), F.size("lines"))
+    if aside is not None:
+        at = F.when(F.exists("lines", aside), F.transform("lines", lambda c, i: F.when(aside(c), F.get(boxes(ASIDE), i)).otherwise(F.get(boxes(0), i)))).otherwise(at)
+    element = F.arrays_zip(at.alias("bbox"), F.array_repeat(F.lit("text"), F.size("lines")).alias("label"), F.col("lines").alias("content"))
+    return rows.select("doc_id", "page_index", element.cast(f"array<{ELEMENT}>").alias("elements"))
 
 
 def _label(i: Column) -> Column:
@@ -95,7 +99,7 @@ def book_a_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     option = lambda i: F.concat(F.char(F.lit(65) + i["l_linenumber"] % 4), F.lit(". part "), i["l_partkey"])
     answer = F.concat(F.lit("【参考答案】"), F.when(F.col("o_orderstatus") == "O", "A").otherwise("BC"))
     tail = [F.lit("【题型分类】 kind"), F.concat(F.lit("【实战解析】status "), F.col("o_orderstatus")), F.lit("时间"), F.concat(F.lit("花生批注"), F.col("k"))]
-    return book_pages_of(spark, sf_dir, header, option, answer, tail, x=lambda c: F.when(c.startswith("花生批注"), 500).otherwise(0))
+    return book_pages_of(spark, sf_dir, header, option, answer, tail, aside=lambda c: c.startswith("花生批注"))
 
 
 def book_b_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def stream_blocks(pages: DataFrame, grammar: Grammar) -> DataFrame:
 
 def block_problems(blocks: DataFrame, grammar: Grammar) -> DataFrame:
     """The problems of blocks, by the same grammar as whole documents: each block is a problem's lines."""
-    lines = F.transform(F.sort_array("lines"), lambda x: x["line"])
+    lines = F.sort_array("lines")["line"]
     return problems_of_blocks(blocks.select("doc_id", "problem_seq", lines.alias("lines"), F.array_min("lines")["page_index"].alias("header_page"), "completed_page"), grammar)
 
 
