@@ -71,7 +71,7 @@ def text_coverage(pages: DataFrame, problems: DataFrame, source: DataFrame | Non
     """
     zero = F.lit(0).cast("long")
     source = (source_counts(pages) if source is None else source).select("doc_id", "c", "have", zero.alias("got"))
-    parts = F.concat(F.array("number", "question", "answer", "analysis"), F.transform("options", lambda o: o["label"]), F.transform("options", lambda o: o["text"]))
+    parts = F.concat(F.array("number", "question", "answer", "analysis"), F.col("options")["label"], F.col("options")["text"])
     mine = problems.select("doc_id", F.inline(char_counts(normalized(F.array_join(parts, ""))))).select("doc_id", "c", zero.alias("have"), F.col("n").alias("got"))
     both = source.unionAll(mine).groupBy("doc_id", "c").agg(F.sum("have").alias("have"), F.sum("got").alias("got"))
     share = F.sum(F.least("have", "got")) / F.nullif(F.sum("have"), F.lit(0))

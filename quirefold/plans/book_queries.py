@@ -46,7 +46,7 @@ def extract_general_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def problem_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = ad.book_pages(spark, sf_dir)
+    pages = written(ad.contents(ad.book_pages(spark, sf_dir)))
     rows = ex.page_problems(pages, ex.extract(pages, GENERAL), 10)
     return rows.select("doc_id", "page_index", F.size("problems").alias("n"), F.array_join(F.transform("problems", lambda p: p["number"]), ",").alias("numbers"))
 
@@ -92,7 +92,7 @@ def _evaluated(spark: SparkSession, sf_dir: str, grammar: ex.Grammar = GENERAL)
 
 def _reports(spark: SparkSession, sf_dir: str, grammars: dict[str, ex.Grammar]) -> dict[str, DataFrame]:
     """An evaluation for each grammar; pages, their characters and the problems are read more than once, so they are written."""
-    pages = written(ad.book_pages(spark, sf_dir))
+    pages = written(ad.contents(ad.book_pages(spark, sf_dir)))
     source = written(ev.source_counts(pages)) if len(grammars) > 1 else ev.source_counts(pages)
     return {name: ev.evaluate(pages, written(ex.extract(pages, grammar)), source=source) for name, grammar in grammars.items()}
 
@@ -100,7 +100,7 @@ def _reports(spark: SparkSession, sf_dir: str, grammars: dict[str, ex.Grammar])
 def metric(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     if name == "score":
         return _evaluated(spark, sf_dir).select("doc_id", F.round(name, 6).alias(name))
-    pages = written(ad.book_pages(spark, sf_dir))
+    pages = written(ad.contents(ad.book_pages(spark, sf_dir)))
     problems = ex.extract(pages, GENERAL)
     return ev.evaluate_metric(name, pages, problems).select("doc_id", F.round(name, 6).alias(name))
 

@@ -70,7 +70,7 @@ def book_pages_of(spark: SparkSession, sf_dir: str, header: Column, option: Call
 
     rows = rows.select("doc_id", "start", F.inline(F.transform(F.sequence(first, last), cut)))
     listed = rows.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(F.struct("start", "lines"))).alias("ls"))
-    boxes = lambda left: F.array(*[box(F.lit(left), F.lit(i * 10), F.lit(left + 100), F.lit(i * 10 + 8)) for i in range(PAGE_LINES)])
+    boxes = lambda left: F.array(*[box(F.lit(left), F.lit(i * 10), F.lit(left + 100), F.lit(i * 10 + 8)) for i in range(PAGE_LINES)]).cast("array<array<struct<x: double, y: double>>>")
     rows = listed.select("doc_id", "page_index", F.flatten(F.col("ls")["lines"]).alias("lines"))
     at = F.slice(boxes(0), F.lit(1), F.size("lines"))
     if aside is not None:
@@ -79,6 +79,11 @@ def book_pages_of(spark: SparkSession, sf_dir: str, header: Column, option: Call
     return rows.select("doc_id", "page_index", element.cast(f"array<{ELEMENT}>").alias("elements"))
 
 
+def contents(pages: DataFrame) -> DataFrame:
+    """Pages whose elements have their content alone, for what is written and asks for no boxes."""
+    return pages.select("doc_id", "page_index", F.arrays_zip(F.col("elements")["content"].alias("content")).alias("elements"))
+
+
 def _label(i: Column) -> Column:
     return F.char(F.lit(64) + i["l_linenumber"])
 

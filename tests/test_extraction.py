@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quirefold.operators import evaluation as ev
 from quirefold.operators import extraction as ex
 from quirefold.operators import ranges as rg
-from quirefold.sources.adapters import BOOK_PATTERNS
+from quirefold.sources.adapters import BOOK_PATTERNS, contents
 from quirefold.sources.schemas import PAGES
 from quirefold.streaming.events import run_once
 from quirefold.streaming.problems import block_problems, stream_blocks, with_document_ends
@@ -201,3 +201,15 @@ def test_segments_are_sorted_and_not_lines(spark):
     parts = ex.segments(book.select("doc_id", "page_index", ex.told_lines(F.col("elements"), ex.general_grammar(GENERAL)).alias("told")))
     rows = parts.orderBy("page_index", "nth").select("page_index", F.size(F.coalesce("lines", F.array())).alias("n"), "head", "problem_seq", "last_page").collect()
     assert [tuple(r) for r in rows] == [(0, 1, False, 0, 2), (0, 51, True, 1, 2), (0, 1, True, 2, 2), (1, 0, False, 2, 2), (2, 50, False, 2, 2)]
+
+
+def test_tails_sections_and_repeated_labels(spark):
+    book = pages(spark, ["第1题 q", "more", "A. x B. y", "tail", "答案：C", "after", "A. z", "end", "答案：D"])
+    (got,) = ex.extract(book, ex.general_grammar(BOOK_PATTERNS)).collect()
+    assert (got.question, got.answer, [(o.label, o.text) for o in got.options]) == ("qmore", "D", [("A", "zend"), ("B", "ytail")])
+
+
+def test_contents_extract_as_whole_elements_do(spark):
+    book = pages(spark, ["第1题 q", "A. x", "tail"], ["答案：C"])
+    found = [ex.extract(p, ex.general_grammar(BOOK_PATTERNS)).collect() for p in (book, contents(book))]
+    assert found[0] == found[1] and found[0] and contents(book).schema["elements"].dataType.elementType.names == ["content"]

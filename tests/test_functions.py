@@ -94,3 +94,10 @@ def test_patterns_round_trip():
 def test_decisions(spark, raw, want):
     got = spark.createDataFrame([(raw, 5)], "r string, n int").select(pt.start_decision(F.col("r"), F.col("n")).alias("d")).first().d
     assert tuple(got) == (want if isinstance(want, tuple) else (None, None, want))
+
+
+def test_folding_of_sigma_and_of_scripts_without_folds(spark):
+    texts = ["ΑΣ", "ΑΣ Β", "第7题 答案", "ŉﬀẞΐ", "ſa"]
+    assert column(spark, texts, tx.normalized) == ["".join(c.casefold() for c in s if c.isalnum()) for s in texts]
+    assert column(spark, texts, lambda c: c.rlike(tx._may_have([*tx._folds()[0], *tx._folds()[1]]))) == [True, True, False, True, True]
+    assert column(spark, ["", "-。", "a", None], tx.has_text) == [False, False, True, False]
