@@ -6,6 +6,9 @@ import sys
 from collections.abc import Callable, Iterable
 from functools import cache, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,11 +120,28 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def char_counts(text: Column) -> Column:
-    """An array of (c, n): each character of a text with how often it occurs, so that a text is exploded by its alphabet and not its length."""
+#: So many characters are counted at once.
+_COUNTED = 1 << 20
+
+
+def _counted(texts: pa.Array) -> pa.Array:
+    """For each text of a batch its characters with how often they occur; null texts give null."""
+    size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = np.frombuffer("".join(texts.fill_null("").to_pylist()).encode("utf-32-le"), np.uint32)
+    key, times = np.unique(np.repeat(np.arange(len(texts)) << 21, size) | codes, return_counts=True)
+    alphabet, letter = np.unique(key & 0x1FFFFF, return_inverse=True)
+    values = pa.StructArray.from_arrays([pa.array(list(map(chr, alphabet)), pa.string()).take(pa.array(letter)), pa.array(times.astype(np.int64))], ["c", "n"])
+    offsets = np.searchsorted(key >> 21, np.arange(len(texts) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False)), values)
 
-    def counted(t: Column) -> Column:
-        chars = F.filter(F.array_distinct(F.split(t, "")), lambda c: c != "")
-        return F.transform(chars, lambda c: F.struct(c.alias("c"), (F.length(t) - F.length(F.replace(t, c, F.lit("")))).cast("long").alias("n")))
 
-    return bind(text, counted)
+def _counted_in_parts(texts: pa.Array) -> pa.Array:
+    """_counted() of some texts at a time, so that a batch of long ones is no burden; a text is counted as a whole."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(_COUNTED, ends[-1], _COUNTED)) + 1, len(texts)]) if len(texts) else np.zeros(2, np.int64)
+    return pa.concat_arrays([_counted(texts[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def char_counts(text: Column) -> Column:
+    """An array of (c, n): each character of a text with how often it occurs, so that a text is exploded by its alphabet and not its length. A batch of texts is counted at once."""
+    return F.arrow_udf(_counted_in_parts, "array<struct<c: string, n: long>>")(text)

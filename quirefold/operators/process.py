@@ -63,13 +63,14 @@ def choose(sample: DataFrame, fixed: dict[str, Extractor], patterns: Patterns =
     """(doc_id, extractor, score, metrics, warnings, error) for each document of a sample of pages, and the grammars (doc_id, g) that were asked for.
 
     The best of the fixed extractors is taken if it scores well enough; else it competes with the document's own patterns, and stays on a tie. Only
-    documents that need them are asked about and extracted by patterns; the source's characters are counted once for all extractions.
+    documents that need them are asked about and extracted by patterns; the source's characters are counted once for all extractions, and each extraction is
+    written, as its problems are read for their metrics and again for their characters.
     """
     if not fixed:
         raise ValueError("at least one fixed extractor is required")
     sample = written(sample)
     source = written(ev.source_counts(sample))
-    reports = written(_stacked({name: ev.evaluate(sample, extract(sample), source=source) for name, extract in fixed.items()}))
+    reports = written(_stacked({name: ev.evaluate(sample, written(extract(sample)), source=source) for name, extract in fixed.items()}))
     top = reports.groupBy("doc_id").agg(F.min_by(F.struct(*_REPORT), F.struct(-F.col("score"), "ordinal")).alias("r")).select("doc_id", "r.*")
     top = written(top)
     fine = F.col("score") >= policy.fallback
@@ -81,7 +82,7 @@ def choose(sample: DataFrame, fixed: dict[str, Extractor], patterns: Patterns =
     own = written(own)
     usable = own.where("failure IS NULL").select("doc_id", "g")
     looked_at, counted = (x.join(usable.select("doc_id"), "doc_id", "left_semi") for x in (sample, source))
-    general = ev.evaluate(looked_at, gr.extract(looked_at, usable), source=counted).select("doc_id", F.lit(GENERAL).alias("extractor"), *[c for c in _REPORT if c != "extractor"])
+    general = ev.evaluate(looked_at, written(gr.extract(looked_at, usable)), source=counted).select("doc_id", F.lit(GENERAL).alias("extractor"), *[c for c in _REPORT if c != "extractor"])
     general = general.select("doc_id", F.struct(*_REPORT).alias("other"))
     both = weak.select("doc_id", F.struct(*_REPORT).alias("r")).join(own, "doc_id").join(general, "doc_id", "left")
     better = F.coalesce(F.col("other.score") > F.col("r.score"), F.lit(False))

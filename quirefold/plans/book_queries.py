@@ -206,9 +206,9 @@ def extract_own_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _processed(spark: SparkSession, sf_dir: str, first: int, looked_at: int) -> pr.Processed:
     """Books whose questions begin at a page: some have a range of no pages or none of questions, two fixed extractors see the first pages, and a third of the books have patterns of their own, half of them faulty."""
-    pages = ad.book_pages(spark, sf_dir)
+    pages = written(ad.contents(ad.book_pages(spark, sf_dir)))  # read for the ranges, the patterns, the checks and the documents' pages
     n = F.col("doc_id").cast("long")
-    counts = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("stop"))
+    counts = written(pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("stop")))
     start = F.when(n % 7 == 0, F.col("stop")).when(F.col("stop") > first, first).otherwise(0)
     ranges = counts.select("doc_id", F.lit(1).alias("ordinal"), F.when(n % 11 == 0, "contents").otherwise("questions").alias("name"), start.alias("start"), "stop", F.lit(1).alias("step"))
     raw = F.when(n % 3 == 0, F.when(n % 2 == 0, ad.BOOK_PATTERNS.to_json()).otherwise("{}"))

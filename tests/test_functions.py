@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,13 @@ def test_folding_of_sigma_and_of_scripts_without_folds(spark):
     assert column(spark, texts, tx.normalized) == ["".join(c.casefold() for c in s if c.isalnum()) for s in texts]
     assert column(spark, texts, lambda c: c.rlike(tx._may_have([*tx._folds()[0], *tx._folds()[1]]))) == [True, True, False, True, True]
     assert column(spark, ["", "-。", "a", None], tx.has_text) == [False, False, True, False]
+
+
+def test_char_counts_of_batches_cut_in_parts(spark, monkeypatch):
+    texts = pa.array(["", None, "aba", "第x第", "", "\U0001F600" * 3, None])
+    whole = tx._counted_in_parts(texts)
+    monkeypatch.setattr(tx, "_COUNTED", 2)
+    want = [{}, None, {"a": 2, "b": 1}, {"第": 2, "x": 1}, {}, {"\U0001F600": 3}, None]
+    for got in (whole, tx._counted_in_parts(texts), tx._counted_in_parts(texts[:0])):
+        found = [None if x is None else {r["c"]: r["n"] for r in x} for x in got.to_pylist()]
+        assert found == want[: len(found)]

@@ -130,3 +130,17 @@ def test_bad_settings():
         with pytest.raises(ValueError):
             pr.Policy(**bad)
     assert json.loads(DOT.to_json())["multiline_options"] is True
+
+
+def test_each_extraction_runs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(number):
+        seen.add(1)
+        return number
+
+    def extractor(pages):
+        return ex.extract(pages, ex.general_grammar(DOT)).withColumn("number", F.udf(noted, "string")("number"))
+
+    chosen, _ = pr.choose(frame(spark, {"a": dotted(3), "b": dotted(4)}), {"dot": extractor})
+    assert chosen.count() == 2 and seen.value == 7
