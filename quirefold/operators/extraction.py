@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.patterns import Pattern, PatternError, RegexPatterns, parse_patterns, translate
-from quirefold.functions.text import bind, is_decimals, is_digits, raw_text, strip
+from quirefold.functions.text import bind, is_decimals, is_digits, raw_text, strip, strip_each
 from quirefold.operators.transforms import column_of
 from quirefold.sources.schemas import OPTION
 from quirefold.sources.scratch import written
@@ -105,13 +106,28 @@ def segments(pages: DataFrame, *carried: str) -> DataFrame:
     A page without lines gives a segment without any, so that no page is lost. Lines before a document's first header have the problem_seq 0. Whole
     segments are sorted by document, which are far fewer than lines.
     """
-    starts = F.filter(F.transform("told", lambda x, i: F.when(x["head"] | (i == 0), i)), lambda i: i.isNotNull())
-    parts = bind(starts, lambda at: F.transform(at, lambda s, j: F.slice("told", s + 1, F.coalesce(F.get(at, j + 1), F.size("told")) - s)))
+    starts = F.transform("told", lambda x, i: F.when(x["head"] | (i == 0), i))
+    return _cut(pages, starts, F.get("lines", F.lit(0))["head"], *carried)
+
+
+def text_segments(pages: DataFrame, grammar: Grammar) -> DataFrame:
+    """segments() of pages whose lines are strings alone, which is all that extract() asks for: a line's text is neither wrapped nor copied before pages are cut. A grammar may be in columns of pages."""
+    contents = F.col("elements")["content"]
+    cleaned = strip_each(contents) if grammar.clean is strip else F.transform(contents, grammar.clean)
+    told = F.filter(cleaned, lambda line: line.isNotNull() & (line != "") & ~grammar.noise(line))
+    rows = pages.withColumn("told", told)
+    starts = F.transform("told", lambda line, i: F.when((i == 0) | grammar.question.matches(line), i))
+    rows = rows.select("doc_id", "page_index", "told", starts.alias("starts"), grammar.question.matches(F.get("told", F.lit(0))).alias("opens"))
+    return _cut(rows, F.col("starts"), (F.col("nth") > 0) | F.col("opens"), "opens").drop("opens")
+
+
+def _cut(pages: DataFrame, starts: Column, head: Column, *carried: str) -> DataFrame:
+    """pages cut where starts, an array beside told, isn't null; head tells of a segment (nth, lines) whether its first line is a header."""
+    parts = bind(F.filter(starts, lambda i: i.isNotNull()), lambda at: F.transform(at, lambda s, j: F.slice("told", s + 1, F.coalesce(F.get(at, j + 1), F.size("told")) - s)))
     rows = pages.select("doc_id", "page_index", *carried, F.posexplode_outer(parts).alias("nth", "lines"))
     order = Window.partitionBy("doc_id").orderBy("page_index", "nth")
-    head = F.coalesce(F.get("lines", F.lit(0))["head"], F.lit(False))
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("head", head).withColumns({
+    return rows.withColumn("head", F.coalesce(head, F.lit(False))).withColumns({
         "problem_seq": F.coalesce(F.sum(F.col("head").cast("int")).over(running), F.lit(0)),
         "last_page": F.max("page_index").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     })
@@ -123,12 +139,23 @@ def extract(pages: DataFrame, grammar: Grammar) -> DataFrame:
     An option given again takes the later text and stays in its first place. completed_page is that of the next
     header, or the document's last. Documents without a header give no rows. A document's segments come together once, in order.
     """
-    return problems_of_blocks(blocks(segments(pages.select("doc_id", "page_index", told_lines(F.col("elements"), grammar).alias("told")))), grammar)
+    return problems_of_blocks(blocks(text_segments(pages, grammar)), grammar)
+
+
+def extract_each(pages: DataFrame, grammars: dict[str, Grammar]) -> dict[str, DataFrame]:
+    """extract() by each grammar. Grammars with the same headers, noise and cleaning cut pages alike, so they share their blocks, which are written."""
+    alike = lambda g: (g.question, g.noise, g.clean)
+    uses = Counter(map(alike, grammars.values()))
+    shared = {}
+    for g in grammars.values():
+        if uses[alike(g)] > 1 and alike(g) not in shared:
+            shared[alike(g)] = written(blocks(text_segments(pages, g)))
+    return {name: problems_of_blocks(shared[alike(g)], g) if alike(g) in shared else extract(pages, g) for name, g in grammars.items()}
 
 
 def blocks(parts: DataFrame) -> DataFrame:
-    """(doc_id, problem_seq, lines, header_page, completed_page) of segments(): a header's line and the lines up to the next, as an array of strings."""
-    texts = F.col("lines")["line"]
+    """(doc_id, problem_seq, lines, header_page, completed_page) of segments() or text_segments(): a header's line and the lines up to the next, as an array of strings."""
+    texts = F.col("lines") if parts.schema["lines"].dataType.simpleString() == "array<string>" else F.col("lines")["line"]
     listed = F.sort_array(F.collect_list(F.struct("page_index", "nth", texts.alias("lines"))))
     whole = parts.where("problem_seq > 0 AND lines IS NOT NULL").groupBy("doc_id", "problem_seq").agg(listed.alias("parts"), F.max("last_page").alias("last_page"))
     whole = whole.select("doc_id", "problem_seq", F.flatten(F.col("parts")["lines"]).alias("lines"), F.col("parts")[0]["page_index"].alias("header_page"), "last_page")

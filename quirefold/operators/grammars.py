@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.patterns import PatternError, RegexPatterns, parse_patterns, translate
 from quirefold.functions.text import is_blank, is_digits
-from quirefold.operators.extraction import ATTEMPTS, SAMPLE_CHARS, Grammar, blocks, page_texts, problems_of_blocks, segments, told_lines
+from quirefold.operators.extraction import ATTEMPTS, SAMPLE_CHARS, Grammar, blocks, page_texts, problems_of_blocks, text_segments
 
 _GROUPS = ("number", "question", "label", "text", "answer")
 _PART = "struct<java: string, number: int, question: int, label: int, text: int, answer: int>"
@@ -107,8 +107,7 @@ def extract(pages: DataFrame, grammars: DataFrame) -> DataFrame:
     own = grammars.select(F.col("doc_id").alias("_doc"), "g")
     grammar = column_grammar(F.col("g"))
     rows = pages.select("doc_id", "page_index", F.transform("elements", lambda e: F.struct(e["content"].alias("content"))).alias("elements"))
-    rows = rows.join(own, rows["doc_id"] == own["_doc"]).select("doc_id", "page_index", told_lines(F.col("elements"), grammar).alias("told"))
-    found = blocks(segments(rows))
+    found = blocks(text_segments(rows.join(own, rows["doc_id"] == own["_doc"]), grammar))
     return problems_of_blocks(found.join(own, found["doc_id"] == own["_doc"]).drop("_doc"), grammar)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,7 +22,7 @@ from quirefold.streaming import timed
 from quirefold.streaming.problems import block_problems, stream_blocks, with_document_ends
 
 GENERAL = ex.general_grammar(ad.BOOK_PATTERNS)
-SINGLE = ex.general_grammar(ex.RegexPatterns(ad.BOOK_PATTERNS.question, ad.BOOK_PATTERNS.options, ad.BOOK_PATTERNS.answer, ad.BOOK_PATTERNS.noise_lines, ad.BOOK_PATTERNS.noise_prefixes, False))
+SINGLE = replace(GENERAL, goes_on=frozenset({"question"}))  # as without multiline_options
 
 
 def options_text(options: Column) -> Column:
@@ -33,20 +34,20 @@ def _shown(problems: DataFrame) -> DataFrame:
 
 
 def extract_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(ex.extract(ad.book_pages(spark, sf_dir), GENERAL))
+    return _shown(ex.extract(ad.book_pages(spark, sf_dir, boxes=False), GENERAL))
 
 
 def extract_single_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(ex.extract(ad.book_pages(spark, sf_dir), SINGLE))
+    return _shown(ex.extract(ad.book_pages(spark, sf_dir, boxes=False), SINGLE))
 
 
 def extract_general_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ex.extract(ad.book_pages(spark, sf_dir), GENERAL)
+    found = ex.extract(ad.book_pages(spark, sf_dir, boxes=False), GENERAL)
     return found.select("number", F.posexplode("options").alias("i", "o")).select("number", "i", F.col("o.label").alias("label"), F.col("o.text").alias("text"))
 
 
 def problem_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = written(ad.contents(ad.book_pages(spark, sf_dir)))
+    pages = written(ad.book_pages(spark, sf_dir, boxes=False))
     rows = ex.page_problems(pages, ex.extract(pages, GENERAL), 10)
     return rows.select("doc_id", "page_index", F.size("problems").alias("n"), F.array_join(F.transform("problems", lambda p: p["number"]), ",").alias("numbers"))
 
@@ -66,7 +67,7 @@ def annotation_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_book_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ex.extract(ad.book_b_pages(spark, sf_dir), ex.book_b_grammar())
+    found = ex.extract(ad.book_b_pages(spark, sf_dir, boxes=False), ex.book_b_grammar())
     return found.select("number", "question", "answer", options_text(F.col("options")).alias("options_text"))
 
 
@@ -92,15 +93,15 @@ def _evaluated(spark: SparkSession, sf_dir: str, grammar: ex.Grammar = GENERAL)
 
 def _reports(spark: SparkSession, sf_dir: str, grammars: dict[str, ex.Grammar]) -> dict[str, DataFrame]:
     """An evaluation for each grammar; pages, their characters and the problems are read more than once, so they are written."""
-    pages = written(ad.contents(ad.book_pages(spark, sf_dir)))
+    pages = written(ad.book_pages(spark, sf_dir, boxes=False))
     source = written(ev.source_counts(pages)) if len(grammars) > 1 else ev.source_counts(pages)
-    return {name: ev.evaluate(pages, written(ex.extract(pages, grammar)), source=source) for name, grammar in grammars.items()}
+    return {name: ev.evaluate(pages, written(problems), source=source) for name, problems in ex.extract_each(pages, grammars).items()}
 
 
 def metric(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     if name == "score":
         return _evaluated(spark, sf_dir).select("doc_id", F.round(name, 6).alias(name))
-    pages = written(ad.contents(ad.book_pages(spark, sf_dir)))
+    pages = written(ad.book_pages(spark, sf_dir, boxes=False))
     problems = ex.extract(pages, GENERAL)
     return ev.evaluate_metric(name, pages, problems).select("doc_id", F.round(name, 6).alias(name))
 
@@ -157,7 +158,7 @@ def pattern_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streaming_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = with_document_ends(ad.book_pages(spark, sf_dir))
+    pages = with_document_ends(written(ad.book_pages(spark, sf_dir, boxes=False)))  # read for the pages and for the documents' ends
     at = scratch_path(spark, "stream")
     pages.write.parquet(f"{at}/in")
     stream = spark.readStream.schema(pages.schema).parquet(f"{at}/in")
@@ -198,7 +199,7 @@ def _fifty(n: int) -> ex.RegexPatterns:
 
 def extract_own_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer's book by patterns of its own, of fifty configurations that are data."""
-    pages = ad.book_pages(spark, sf_dir)
+    pages = ad.book_pages(spark, sf_dir, boxes=False)
     texts = F.array(*[F.lit(_fifty(n).to_json()) for n in range(50)])
     raw = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id")).distinct().withColumn("raw_json", F.get(texts, (F.col("doc_id").cast("long") % 50).cast("int")))
     return gr.extract(pages, gr.parsed(raw)).select("doc_id", "problem_seq", "number", "question", "answer", options_text(F.col("options")).alias("options_text"))
@@ -206,7 +207,7 @@ def extract_own_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _processed(spark: SparkSession, sf_dir: str, first: int, looked_at: int) -> pr.Processed:
     """Books whose questions begin at a page: some have a range of no pages or none of questions, two fixed extractors see the first pages, and a third of the books have patterns of their own, half of them faulty."""
-    pages = written(ad.contents(ad.book_pages(spark, sf_dir)))  # read for the ranges, the patterns, the checks and the documents' pages
+    pages = written(ad.book_pages(spark, sf_dir, boxes=False))  # read for the ranges, the patterns, the checks and the documents' pages
     n = F.col("doc_id").cast("long")
     counts = written(pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("stop")))
     start = F.when(n % 7 == 0, F.col("stop")).when(F.col("stop") > first, first).otherwise(0)

@@ -41,8 +41,8 @@ def paged(lines: DataFrame, order: list[str]) -> DataFrame:
     return listed.select("doc_id", "page_index", F.transform("es", lambda e: e["e"]).cast(f"array<{ELEMENT}>").alias("elements"))
 
 
-def book_pages_of(spark: SparkSession, sf_dir: str, header: Column, option: Callable[[Column], Column], answer: Column | None, tail: list[Column], follow: Callable[[Column], Column] | None = None, aside: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Pages of a book of orders for each customer: a header, an option for each line item, an answer and more lines.
+def book_pages_of(spark: SparkSession, sf_dir: str, header: Column, option: Callable[[Column], Column], answer: Column | None, tail: list[Column], follow: Callable[[Column], Column] | None = None, aside: Callable[[Column], Column] | None = None, boxes: bool = True) -> DataFrame:
+    """Pages of a book of orders for each customer: a header, an option for each line item, an answer and more lines. Without boxes, elements have their content alone.
 
     Line items are told apart by all that orders them, so the order is fixed; order keys are unique. An order's lines stay in one row until pages are cut, so
     what is shuffled and sorted is a row an order, and not one a line. The boxes of a page's lines are constants, as lines are boxes of one size, ten apart;
@@ -70,11 +70,13 @@ def book_pages_of(spark: SparkSession, sf_dir: str, header: Column, option: Call
 
     rows = rows.select("doc_id", "start", F.inline(F.transform(F.sequence(first, last), cut)))
     listed = rows.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(F.struct("start", "lines"))).alias("ls"))
-    boxes = lambda left: F.array(*[box(F.lit(left), F.lit(i * 10), F.lit(left + 100), F.lit(i * 10 + 8)) for i in range(PAGE_LINES)]).cast("array<array<struct<x: double, y: double>>>")
     rows = listed.select("doc_id", "page_index", F.flatten(F.col("ls")["lines"]).alias("lines"))
-    at = F.slice(boxes(0), F.lit(1), F.size("lines"))
+    if not boxes:
+        return rows.select("doc_id", "page_index", F.arrays_zip(F.col("lines").alias("content")).alias("elements"))
+    boxes_at = lambda left: F.array(*[box(F.lit(left), F.lit(i * 10), F.lit(left + 100), F.lit(i * 10 + 8)) for i in range(PAGE_LINES)]).cast("array<array<struct<x: double, y: double>>>")
+    at = F.slice(boxes_at(0), F.lit(1), F.size("lines"))
     if aside is not None:
-        at = F.when(F.exists("lines", aside), F.transform("lines", lambda c, i: F.when(aside(c), F.get(boxes(ASIDE), i)).otherwise(F.get(boxes(0), i)))).otherwise(at)
+        at = F.when(F.exists("lines", aside), F.transform("lines", lambda c, i: F.when(aside(c), F.get(boxes_at(ASIDE), i)).otherwise(F.get(boxes_at(0), i)))).otherwise(at)
     element = F.arrays_zip(at.alias("bbox"), F.array_repeat(F.lit("text"), F.size("lines")).alias("label"), F.col("lines").alias("content"))
     return rows.select("doc_id", "page_index", element.cast(f"array<{ELEMENT}>").alias("elements"))
 
@@ -88,14 +90,14 @@ def _label(i: Column) -> Column:
     return F.char(F.lit(64) + i["l_linenumber"])
 
 
-def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def book_pages(spark: SparkSession, sf_dir: str, boxes: bool = True) -> DataFrame:
     """The order book in the layout of BOOK_PATTERNS, with page numbers and other noise between."""
     header = F.concat(F.lit("第"), F.col("k"), F.lit("题 "), F.col("o_orderpriority"))
     option = lambda i: F.concat(_label(i), F.lit(". part "), i["l_partkey"])
     follow = lambda i: F.concat(F.lit("from "), i["l_suppkey"])
     answer = F.concat(F.lit("答案："), F.col("o_orderstatus"))
     tail = [F.col("doc_id"), F.lit("-- end"), F.lit("orders")]
-    return book_pages_of(spark, sf_dir, header, option, answer, tail, follow)
+    return book_pages_of(spark, sf_dir, header, option, answer, tail, follow, boxes=boxes)
 
 
 def book_a_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +109,11 @@ def book_a_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book_pages_of(spark, sf_dir, header, option, answer, tail, aside=lambda c: c.startswith("花生批注"))
 
 
-def book_b_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def book_b_pages(spark: SparkSession, sf_dir: str, boxes: bool = True) -> DataFrame:
     """The order book in the second book's layout: two options on a line, which end it."""
     header = F.concat(F.lit("例题"), F.col("k"), F.lit("（2024）"), F.col("o_orderpriority"))
     option = lambda i: F.concat(F.char(F.lit(65) + i["l_linenumber"] % 4), F.lit(". part "), i["l_partkey"], F.lit(" D．supp "), i["l_suppkey"])
-    return book_pages_of(spark, sf_dir, header, option, None, [F.lit("自测用，禁止商用"), F.lit("after")])
+    return book_pages_of(spark, sf_dir, header, option, None, [F.lit("自测用，禁止商用"), F.lit("after")], boxes=boxes)
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,3 +213,27 @@ def test_contents_extract_as_whole_elements_do(spark):
     book = pages(spark, ["第1题 q", "A. x", "tail"], ["答案：C"])
     found = [ex.extract(p, ex.general_grammar(BOOK_PATTERNS)).collect() for p in (book, contents(book))]
     assert found[0] == found[1] and found[0] and contents(book).schema["elements"].dataType.elementType.names == ["content"]
+
+
+def test_grammars_that_cut_alike_share_their_blocks(spark, monkeypatch):
+    from dataclasses import replace
+
+    general = ex.general_grammar(BOOK_PATTERNS)
+    grammars = {"b": ex.book_b_grammar(), "single": replace(general, goes_on=frozenset({"question"})), "general": general}
+    lines = ["第1题 what", "　A. yes ", "go on", "答案：A", "7", "第2题 x", "B. no"]
+    pages = spark.createDataFrame([("d", 0, [([], "t", x) for x in lines[:3]]), ("d", 1, [([], "t", x) for x in lines[3:]]), ("d", 2, [])], PAGES)
+    alone = {name: sorted(map(str, ex.extract(pages, g).collect())) for name, g in grammars.items()}
+    cuts = []
+    cut = ex.text_segments
+    monkeypatch.setattr(ex, "text_segments", lambda p, g: cuts.append(g) or cut(p, g))
+    each = {name: sorted(map(str, found.collect())) for name, found in ex.extract_each(pages, grammars).items()}
+    assert each == alone and len(cuts) == 2 and alone["single"] != alone["general"] and "A. yes" not in str(alone)
+
+
+def test_slim_segments_are_those_of_told_lines(spark):
+    g = ex.general_grammar(BOOK_PATTERNS)
+    pages = spark.createDataFrame([("d", 0, [([], "t", x) for x in ["before", "第1题 a", " x "]]), ("d", 1, []), ("d", 2, [([], "t", x) for x in ["y", "第2题 b", None, "", "12"]])], PAGES)
+    columns = ["page_index", "nth", "head", "problem_seq", "last_page"]
+    told = ex.segments(pages.select("doc_id", "page_index", ex.told_lines(F.col("elements"), g).alias("told")))
+    one, two = (sorted(map(str, x.collect())) for x in (told.select(*columns, F.col("lines")["line"].alias("lines")), ex.text_segments(pages, g).select(*columns, "lines")))
+    assert one == two and len(one) == 5

@@ -112,3 +112,9 @@ def test_char_counts_of_batches_cut_in_parts(spark, monkeypatch):
     for got in (whole, tx._counted_in_parts(texts), tx._counted_in_parts(texts[:0])):
         found = [None if x is None else {r["c"]: r["n"] for r in x} for x in got.to_pylist()]
         assert found == want[: len(found)]
+
+
+def test_strip_each(spark):
+    texts = [[x] for x in SAMPLES] + [["a", "b c"], ["a", "　b", None], ["a\n", ""], [""], [], ["", "\x85a"], ["a\nb", "c "]]
+    got = [r.v for r in spark.createDataFrame([(t,) for t in texts], "s array<string>").select(tx.strip_each(F.col("s")).alias("v")).collect()]
+    assert got == [[None if x is None else x.strip() for x in t] for t in texts]
