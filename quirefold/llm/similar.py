@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence, Sized
 from functools import partial
 
 import numpy as np
@@ -19,9 +19,12 @@ from quirefold.llm.graph import components
 SHINGLE, SEED = 5, 42
 #: Texts from which common shingles are learned. They are put last in the order of shingles, which changes the work and not the result.
 SAMPLE, LISTED = 8000, 200_000
+#: A set, or a part of it, is compared by so many bits, and parts have no more items than that on average.
 BITS = 512
-#: Columns of the rows of an item, which a tile compares.
-CARRIED = ("fp", "n", "pos", "class", "bits")
+#: So many first items of a part's prefix go with each of its rows: parts that share one of them meet there.
+FIRST = 4
+#: Columns of the rows of an item, which a tile compares; n, pos, bits and first are those of the part.
+CARRIED = ("fp", "n", "pos", "class", "bits", "first")
 
 
 def hashes(raw: bytes | None) -> np.ndarray:
@@ -60,35 +63,63 @@ def set_id_of(text: Column) -> Column:
 
 
 def prints_of(text: Column, common: np.ndarray, times: np.ndarray) -> Column:
-    """A struct of the set's id fp, its SimHash sim, its size n, its bits, and its prefix: the first items in an order that all texts share.
+    """A struct of the set's id fp, its SimHash sim, its size n, its bits, and its parts, with a prefix each: the first items in an order that all texts share.
 
-    Sets that are similar share an item of their prefixes, whatever the order. Common items (sorted) come last, by their times.
+    Sets that are similar share an item of the prefixes of a part, whatever the order (see _parts). Common items (sorted) come last, by their times.
     A bit tells whether an odd number of the items fall on it, so that sets differ in as many items as bits at least.
     """
 
-    def one(raw: bytes | None) -> tuple[int, int, int, bytes, np.ndarray]:
+    def one(raw: bytes | None) -> tuple[int, int, int, bytes, list[tuple]]:
         every = hashes(raw)
         items = np.unique(every.view(np.int64))
-        n, first = len(items), items
-        if n and len(common):
+        ordered = items
+        if len(items) and len(common):
             at = np.minimum(np.searchsorted(common, items), len(common) - 1)
-            first = items[np.argsort(np.where(common[at] == items, times[at], 0), kind="stable")]
-        bits = np.packbits((np.bincount(items & (BITS - 1), minlength=BITS) & 1).astype(bool)).tobytes()
-        return _id(items), simhash._signed(simhash.majority(every)), n, bits, first[: n - (4 * n + 4) // 5 + 1 if n else 0]
+            ordered = items[np.argsort(np.where(common[at] == items, times[at], 0), kind="stable")]
+        return _id(items), simhash._signed(simhash.majority(every)), len(items), _parity(items, BITS).tobytes(), _parts(ordered)
 
     def prints(texts: pa.Array) -> pa.Array:
-        fp, sim, n, bits, first = zip(*[one(x.as_py()) for x in texts], strict=True) if len(texts) else ((),) * 5
-        flat = pa.array(np.concatenate([np.zeros(0, np.int64), *first]))
-        prefix = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), flat)
-        return pa.StructArray.from_arrays([pa.array(fp, pa.int64()), pa.array(sim, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), prefix], ["fp", "sim", "n", "bits", "prefix"])
+        fp, sim, n, bits, parts = zip(*[one(x.as_py()) for x in texts], strict=True) if len(texts) else ((),) * 5
+        part, size, part_bits, first, prefix = zip(*[x for each in parts for x in each], strict=True) if any(parts) else ((),) * 5
+        columns = [pa.array(part, pa.int32()), pa.array(size, pa.int32()), pa.array(part_bits, pa.binary()), pa.array(first, pa.binary())]
+        columns.append(_lists(prefix, pa.array(np.concatenate([np.zeros(0, np.int64), *prefix]))))
+        split = _lists(parts, pa.StructArray.from_arrays(columns, ["part", "n", "bits", "first", "prefix"]))
+        return pa.StructArray.from_arrays([pa.array(fp, pa.int64()), pa.array(sim, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), split], ["fp", "sim", "n", "bits", "parts"])
 
-    return F.arrow_udf(prints, "fp long, sim long, n int, bits binary, prefix array<long>")(_raw(text))
+    return F.arrow_udf(prints, "fp long, sim long, n int, bits binary, parts array<struct<part: int, n: int, bits: binary, first: binary, prefix: array<long>>>")(_raw(text))
+
+
+def _lists(each: Sequence[Sized], flat: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), flat)
+
+
+def _parts(ordered: np.ndarray) -> list[tuple[int, int, bytes, bytes, np.ndarray]]:
+    """The parts of a set of ordered items: number, size, bits, the FIRST of the prefix as bytes, and the prefix.
+
+    A set of over BITS items is cut by hash into a power of two of parts, so that bits tell parts apart however large sets are. If two sets differ in at most a ninth of their sizes' sum,
+    so do their parts of some number: those are similar too, and share an item of their prefixes. Sets of similar sizes may be cut
+    differently: one that is at most 5 : 4 above a step is cut as those below it are besides. Items of each way to cut are other items.
+    """
+    n, out = len(ordered), []
+    level = (-(-n // BITS) - 1).bit_length() if n else 0
+    for v in [level, level - 1] if level and 4 * n <= 5 * BITS << (level - 1) else [level]:
+        of = (ordered >> 40) & ((1 << v) - 1)
+        for b in np.unique(of):
+            own = ordered[of == b]
+            prefix = own[: len(own) - (4 * len(own) + 4) // 5 + 1] ^ simhash._signed(v * 0x9E3779B97F4A7C15 % (1 << 64))
+            first = np.zeros(FIRST, "<i8")
+            first[: len(prefix)] = prefix[:FIRST]
+            out.append(((1 << v) + int(b), len(own), _parity(own, BITS).tobytes(), first.tobytes(), prefix))
+    return out
+
+
+def _parity(items: np.ndarray, n: int) -> np.ndarray:
+    return np.packbits((np.bincount(items & (n - 1), minlength=n) & 1).astype(bool))
 
 
 def parity(items: np.ndarray) -> np.ndarray:
     """A set's wide bits, packed: like those of prints_of(), but as many as a power of two from four times its size on."""
-    n = max(BITS, 1 << int(4 * len(items) - 1).bit_length()) if len(items) else BITS
-    return np.packbits((np.bincount(items & (n - 1), minlength=n) & 1).astype(bool))
+    return _parity(items, max(BITS, 1 << int(4 * len(items) - 1).bit_length()) if len(items) else BITS)
 
 
 def differing(x: np.ndarray, y: np.ndarray) -> int:
@@ -172,7 +203,7 @@ def _fingerprint_pairs(each: DataFrame) -> DataFrame:
 
 
 def _fitting(x: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Those of the pairs p[k], q[k] of an item's rows that can be similar by size, place of the item and bits, and aren't connected yet; and the share of bits that differ."""
+    """Those of the pairs p[k], q[k] of an item's rows that can be similar by size, place of the item and bits, aren't connected yet and don't meet at an earlier item too; and the share of bits that differ."""
     apart = x["class"][p] != x["class"][q]
     p, q = p[apart], q[apart]
     both = x["n"][p] + x["n"][q]
@@ -180,7 +211,12 @@ def _fitting(x: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray) -> tuple[np
     p, q, both = p[fits], q[fits], both[fits]
     differ = np.bitwise_count(x["bits"][p] ^ x["bits"][q]).sum(axis=1, dtype=np.int64)
     near = differ * 9 <= both
-    return p[near], q[near], differ[near] / both[near]
+    p, q, share = p[near], q[near], differ[near] / both[near]
+    met = np.zeros(len(p), bool)
+    for i in range(FIRST):
+        for j in range(FIRST):
+            met |= (x["first"][p, i] == x["first"][q, j]) & (x["pos"][p] > i) & (x["pos"][q] > j)
+    return p[~met], q[~met], share[~met]
 
 
 def _nearest(x: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,6 +283,7 @@ def _compare(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Reco
     for batch in batches:
         x = {c: batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", "n", "pos", "class", "side", "tile")}
         x["bits"] = np.frombuffer(b"".join(batch["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        x["first"] = np.frombuffer(b"".join(batch["first"].to_pylist()), "<i8").reshape(-1, FIRST)
         x = x if held is None else {c: np.concatenate([held[c], v]) for c, v in x.items()}
         last = int(np.searchsorted(x["tile"], x["tile"][-1])) if len(x["tile"]) else 0
         yield from _pairs_of({c: v[:last] for c, v in x.items()}, every)
@@ -271,31 +308,32 @@ def _item_pairs(rows: DataFrame, every: bool, tile: int = simhash.TILE) -> DataF
 
 
 def links(each: DataFrame, texts: DataFrame, tile: int = simhash.TILE) -> DataFrame:
-    """Links (a, b) that connect all similar sets of each (fp, sim, n, bits, prefix, key), a written table of distinct sets, which are those of texts (doc_id, text). The table is discarded.
+    """Links (a, b) that connect all similar sets of each (fp, sim, n, bits, parts, key), a written table of distinct sets, which are those of texts (doc_id, text). The table is discarded.
 
-    Sets whose SimHashes are linked are compared first. Similar sets share an item of their prefixes, and at the first that they share enough items follow. The sets of an item
-    that aren't connected yet are tiles, whose pairs are told apart by bits where they are: first a forest of the nearest pairs is compared as sets, so that a large group of near copies
+    Sets whose SimHashes are linked are compared first. Similar sets share an item of the prefixes of a part, and at the first that they share enough items of the part follow. The sets of an item
+    that aren't connected yet are tiles, whose pairs are told apart by the part's bits where they are, and given by one item of the part instead of all that they share: first a forest of the nearest pairs is compared as sets, so that a large group of near copies
     is not compared pair by pair, and then all pairs that are still not connected. Every link given is of sets that were compared as a whole.
     """
-    slim = cut(each.drop("prefix"))
+    slim = cut(each.drop("parts"))
+    split = F.explode("parts").alias("s")
+    pieces = cut(each.select(F.col("fp").alias("_fp"), split).select("_fp", F.col("s.part").alias("_part"), "s.bits", "s.first"))
     few = F.arrow_udf(_few_bits, BooleanType())
     near = _both(_fingerprint_pairs(slim), slim.select("fp", "n", "bits")).where(few("a_n", "b_n", "a_bits", "b_bits")).select("a", "b")
     near = cut(near)
     found = _verified(near, slim, texts)
     discard(near)
-    items = _classed(each.select("fp", "n", "prefix"), found).select("fp", "n", "class", F.posexplode("prefix").alias("pos", "item"))
+    items = _classed(each.select("fp", "parts"), found).select("fp", "class", split).select("fp", "class", "s.part", "s.n", F.posexplode("s.prefix").alias("pos", "item"))
     shared = items.groupBy("item").agg(F.min("class").alias("_x"), F.max("class").alias("_y"), F.count("*").alias("_n")).where("_x < _y")
     shared = cut(shared.select(F.col("item").alias("_item"), (F.col("_n") > tile).alias("hot")))
-    rows = cut(items.join(small(shared), items["item"] == shared["_item"]).select("item", "fp", "n", "pos", "class", "hot"))
+    rows = cut(items.join(small(shared), items["item"] == shared["_item"]).select("item", "fp", "part", "n", "pos", "class", "hot"))
     discard(each, shared)
-    bits = slim.select(F.col("fp").alias("_fp"), "bits")
-    wide = rows.join(bits, rows["fp"] == bits["_fp"])
+    wide = rows.join(pieces, (rows["fp"] == pieces["_fp"]) & (rows["part"] == pieces["_part"]))
     nearest = cut(_item_pairs(wide, False, tile))
     found = cut(found.union(_verified(nearest, slim, texts)))
     wide = _classed(wide.drop("class"), found)
     others = cut(_item_pairs(wide, True, tile).join(nearest, ["a", "b"], "left_anti"))
     out = cut(found.union(_verified(others, slim, texts)))
-    discard(rows, slim, nearest, others)
+    discard(rows, slim, pieces, nearest, others)
     return out
 
 
@@ -310,7 +348,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: i
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     whole = cut(texts.select("doc_id", prints_of(F.col("text"), *_common(texts)).alias("s")))
     prints = cut(whole.select("doc_id", "s.fp"))
-    each = whole.groupBy("s.fp").agg(*[F.first(f"s.{c}").alias(c) for c in ("sim", "n", "bits", "prefix")], F.min("doc_id").alias("key"))
+    each = whole.groupBy("s.fp").agg(*[F.first(f"s.{c}").alias(c) for c in ("sim", "n", "bits", "parts")], F.min("doc_id").alias("key"))
     each = cut(each)
     discard(whole)
     return simhash.first_of(docs, prints, simhash.classes(prints, lambda _: links(each, texts, tile)), set_id_of, key, text)

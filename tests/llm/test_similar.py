@@ -108,3 +108,34 @@ def test_nearest_pairs_connect_what_all_pairs_do():
 
     assert groups(a, b) == groups(p, q)
     assert len(a) == 40 - len(groups(p, q))
+
+
+def test_large_sets_that_are_alike_but_not_similar_are_told_apart_where_they_meet(spark, monkeypatch):
+    rng = random.Random(8)
+    base = " ".join(f"w{rng.randrange(10**5)}" for _ in range(1500))
+    rows = list(enumerate(edited(rng, base, 45) for _ in range(30)))
+    compared, verified = [], similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    got = similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == kept_ids(rows) == [i for i, _ in rows]
+    assert sum(compared) <= 30  # of 435 pairs
+
+
+def test_similar_sets_share_an_item_of_a_part():
+    rng = np.random.default_rng(9)
+    for n in [4, 9, 100, *(x for step in (512, 1024, 4096) for x in (step - 40, step, step + 1, step * 5 // 4, step * 5 // 4 + 1))]:
+        for less in (0, n // 18, n // 5):  # the smaller set lacks so many, and as many are others as leave 0.8
+            both = rng.integers(-(2**63), 2**63 - 1, n - less)
+            extra = max(0, len(both) * 5 // 4 - len(both) - less)
+            a = np.sort(np.concatenate([both, rng.integers(-(2**63), 2**63 - 1, less)]))
+            b = np.sort(np.concatenate([both, rng.integers(-(2**63), 2**63 - 1, extra)]))
+            assert similar.similar(a, b)
+            one, two = ({x[0]: x for x in similar._parts(v)} for v in (a, b))
+            fits = []
+            for k in one.keys() & two.keys():
+                x, y = one[k], two[k]
+                pos = {int(i): p for p, i in enumerate(y[4])}
+                found = next(((p, pos[int(i)]) for p, i in enumerate(x[4]) if int(i) in pos), None)
+                differ = np.bitwise_count(np.frombuffer(x[2], np.uint8) ^ np.frombuffer(y[2], np.uint8)).sum(dtype=int)
+                fits.append(found is not None and min(x[1] - found[0], y[1] - found[1]) * 9 >= (x[1] + y[1]) * 4 and differ * 9 <= x[1] + y[1])
+            assert any(fits), (n, less)
