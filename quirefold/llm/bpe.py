@@ -34,8 +34,8 @@ CHUNK = 62
 RANKS = 1 << 24
 #: So many places are tried at once when the rank map is made.
 STEP = 1 << 14
-#: The dictionary has so many slots, and holds words of at most so many bytes: some 30 MB as it is sent, whatever the corpus.
-SLOTS, SLOT_BYTES = 1 << 20, 24
+#: The dictionary has so many slots, and holds words of at most so many bytes: some 150 MB as it is sent if all are taken, whatever the corpus.
+SLOTS, SLOT_BYTES = 1 << 22, 24
 
 
 def java_pattern(pattern: str) -> str:
@@ -200,13 +200,20 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
 
 
 def _looked_up(words: Column, listed: DataFrame) -> Column:
-    """For each word of an array its ids as listed (word, ids) has them, or null. listed is as small as the slots and is sent to each executor once."""
+    """For each word of an array its ids as listed (word, ids) has them, or null. listed is as small as the slots and is sent to each executor once.
+
+    The listed words are looked up among a batch's distinct words, which are far fewer, so that no large hash table is made for each batch.
+    """
     sent = listed.sparkSession.sparkContext.broadcast(listed.select("word", "ids").toArrow().combine_chunks())
 
     def of_batch(batch: pa.Array) -> pa.Array:
         known, ids = (sent.value[c].combine_chunks() for c in ("word", "ids"))
-        at = pc.index_in(batch.flatten(), value_set=known.cast(batch.type.value_type))
-        return pa.ListArray.from_arrays(pc.subtract(batch.offsets, batch.offsets[0]), ids.take(at))
+        coded = batch.flatten().dictionary_encode()
+        at = pc.index_in(known.cast(batch.type.value_type), value_set=coded.dictionary)
+        place = np.full(len(coded.dictionary), -1)
+        place[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        found = ids.take(pa.array(place, mask=place < 0).take(coded.indices))
+        return pa.ListArray.from_arrays(pc.subtract(batch.offsets, batch.offsets[0]), found)
 
     return F.arrow_udf(of_batch, "array<array<int>>")(words)
 

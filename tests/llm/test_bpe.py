@@ -45,6 +45,12 @@ def test_digests_against_tiktoken(spark, vocabulary, monkeypatch, slots):
     check([(t, got[i if i else None]) for i, t in enumerate(texts())], vocabulary.ranks)
 
 
+def test_most_words_seen_twice_have_a_slot(spark, vocabulary):
+    """Of 200 000 words some 2 % share a slot with another; of 2^20 slots it would be 9 %."""
+    docs = spark.range(40).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(10000)), lambda i: F.translate((F.col("id") % 20 * 10000 + i).cast("string"), "0123456789", "abcdefghij"))).alias("text"))
+    assert bpe.frequent_words(docs, vocabulary).count() > 193_000
+
+
 def test_ids_and_bytes(spark, vocabulary):
     docs = spark.createDataFrame([(1, "a tale of two tales", "x")], "doc_id long, text string, ids string")
     r = bpe.encode(docs, vocabulary, slots=16).select("*", bpe.decoded(F.col("ids"), vocabulary).alias("raw")).first()
