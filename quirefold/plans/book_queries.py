@@ -43,7 +43,9 @@ def extract_single_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extract_general_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ex.extract(ad.book_pages(spark, sf_dir, boxes=False), GENERAL)
-    return found.select("number", F.posexplode("options").alias("i", "o")).select("number", "i", F.col("o.label").alias("label"), F.col("o.text").alias("text"))
+    # An outer explode: for a plain one Spark filters by the size of options beneath it, where options are worked out once more for each time that they are named.
+    rows = found.select("number", F.posexplode_outer("options").alias("i", "o")).where("i IS NOT NULL")
+    return rows.select("number", "i", F.col("o.label").alias("label"), F.col("o.text").alias("text"))
 
 
 def problem_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
