@@ -5,8 +5,11 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirefold.plans import book_queries as bq
+from quirefold.sources.schemas import PAGES
+from quirefold.streaming.problems import lines_of_parts, next_parts, page_parts
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +23,22 @@ def test_options_are_worked_out_once(spark):
     """No filter beneath the explode repeats what makes the options."""
     filters = [x for x in plan(bq.extract_general_options(spark, SF)).splitlines() if "Filter" in x]
     assert filters and not any("regexp" in x or "size(" in x for x in filters)
+
+
+def test_parts_of_a_page_keep_every_line_as_it_is(spark):
+    """What the streams hand on as text comes back unchanged, however odd a line is."""
+    odd = ['"quoted", {braces} and [more]', "back\\slash", "tab\tand separator", "\u0001 control", "𠮷 beyond", "null", "x" * 70_000]
+    rows = [("d", 3, [([], "text", x) for x in ("before", "第1题 a", *odd, "第2题 b", "end")]), ("d", 4, []), ("d", 5, None)]
+    pages = spark.createDataFrame(rows, PAGES)
+    found = page_parts(pages, bq.GENERAL).orderBy("page_index")
+    got = found.select("page_index", "opens", F.transform("parts", lines_of_parts).alias("parts")).collect()
+    told = [(r.page_index, r.opens, r.parts and [[(x.page_index, x.element_index, x.line) for x in p] for p in r.parts]) for r in got]
+    lines = [(3, i, x) for i, x in enumerate(("before", "第1题 a", *odd, "第2题 b", "end"))]
+    assert told == [(3, False, [lines[:1], lines[1:-2], lines[-2:]]), (4, False, []), (5, False, None)]
+
+
+def test_a_page_is_few_values_for_the_stream(spark):
+    """A state is text, and a page's parts are as many as its headers, not its lines."""
+    pages = spark.createDataFrame([("d", 0, [([], "text", x) for x in ("第1题 a", *["line"] * 500, "第2题 b")])], PAGES)
+    (row,) = page_parts(pages, bq.GENERAL).collect()
+    assert len(row.parts) == 2 and next_parts(0, "", 0, row.parts, row.opens)[0] == 2
