@@ -171,7 +171,7 @@ def streaming_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order books as a stream in three batches: all pages; the ends of a third of the books, and orders to cancel a tenth; a page ten days later, after which the other books have been silent for long."""
-    pages = ad.book_pages(spark, sf_dir).withColumns({"at": F.timestamp_seconds(F.lit(1_704_067_200)), "cancel": F.lit(False)})
+    pages = written(ad.book_pages(spark, sf_dir, boxes=False)).withColumns({"at": F.timestamp_seconds(F.lit(1_704_067_200)), "cancel": F.lit(False)})  # read for the pages, their ends and the clock
     later = F.timestamp_seconds(F.lit(1_704_067_260))
     n = F.col("doc_id").cast("long")
     books = pages.groupBy("doc_id").agg((F.max("page_index") + 1).alias("page_index"))

@@ -3,24 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import TYPE_CHECKING, Any
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quirefold.operators.extraction import Grammar, told_lines
-from quirefold.streaming.problems import BLOCK
-
-if TYPE_CHECKING:
-    import pandas as pd
+from quirefold.operators.extraction import Grammar
+from quirefold.streaming.problems import BLOCK, lines_of_parts, next_parts, page_parts
 
 #: What became of a block: the next one began, its document ended, fell silent, or was cancelled.
 NEXT, ENDED, SILENT, CANCELLED = "next", "ended", "silent", "cancelled"
 TIMED_BLOCK = f"{BLOCK}, outcome string"
-_LINE = "struct<page_index: int, element_index: int, line: string>"
-_STATE = f"seq int, page int, cancelled boolean, lines array<{_LINE}>"
-_NAMES = ("page_index", "element_index", "line")
+_HELD = "doc_id string, problem_seq int, lines string, completed_page int, outcome string"
+_STATE = "seq int, page int, cancelled boolean, lines string, until long"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,7 +33,10 @@ def with_controls(pages: DataFrame, controls: DataFrame) -> DataFrame:
 
 
 class _Documents(StatefulProcessor):
-    """One document's open block. What is kept is the lines of one block, or for a cancelled document that it was; both go when the document's timer runs out."""
+    """One document's open block. What is kept is the lines of one block, or for a cancelled document that it was, and when its only timer runs out; all go when it does.
+
+    Each call of the state or the timers is a message to the JVM and back, so none is sent for what is known here.
+    """
 
     def __init__(self, idle_ms: int) -> None:
         self.idle_ms = idle_ms
@@ -46,59 +45,42 @@ class _Documents(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", _STATE)
 
-    def _rows(self, key: tuple, done: list[tuple]) -> pd.DataFrame:
-        import pandas as pd
-
-        return pd.DataFrame([(key[0], n, [dict(zip(_NAMES, x, strict=True)) for x in lines], page, what) for n, lines, page, what in done], columns=["doc_id", "problem_seq", "lines", "completed_page", "outcome"])
-
-    def _forget(self) -> None:
-        self.open.clear()
-        self._no_timer()
-
-    def _no_timer(self) -> None:
-        for at in [*self.handle.listTimers()]:
-            self.handle.deleteTimer(at)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        import pandas as pd
-
-        seq, last, cancelled, lines = self.open.get() if self.open.exists() else (0, -1, False, [])
-        held, done = [tuple(x) for x in lines or []], []
-        new = pd.concat([*rows]).sort_values(["page_index"], na_position="last")
-        over, latest = False, int(new["at"].max().timestamp() * 1000)
-        if not cancelled and new["cancel"].any():
-            cancelled, held = True, []
-            done.append((seq, [], last, CANCELLED))
-        for page, found, control in zip(new["page_index"].tolist(), new["lines"].tolist(), new["cancel"].tolist(), strict=True):
-            if cancelled or control:
+    def _rows(self, key: tuple, done: list[tuple]) -> Iterator[Row]:
+        return (Row(doc_id=key[0], problem_seq=n, lines=lines, completed_page=page, outcome=what) for n, lines, page, what in done)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        known = self.open.get()
+        seq, last, cancelled, held, until = known or (0, -1, False, "", None)
+        new = sorted(rows, key=lambda r: (r.page_index is None, r.page_index))
+        done, over, latest = [], False, max(r.ms for r in new) + self.idle_ms
+        if not cancelled and any(r.cancel for r in new):
+            done.append((seq, "", last, CANCELLED))
+            cancelled, held = True, ""
+        for r in new:
+            if cancelled or r.cancel:
                 continue
-            over = over or found is None
-            for x in [] if found is None else found:
-                if x["head"] and held:
-                    done.append((seq, held, int(page), NEXT))
-                if x["head"]:
-                    seq, held = seq + 1, []
-                if seq:
-                    held.append((int(page), x["element_index"], x["line"]))
-            last = last if found is None else int(page)
+            if r.parts is None:
+                over = True
+            else:
+                seq, held, ended = next_parts(seq, held, r.page_index, r.parts, r.opens)
+                done += [(*x, NEXT) for x in ended]
+                last = r.page_index
         if over and held:
             done.append((seq, held, last, ENDED))
-        if over:
-            self._forget()
-        else:
-            self.open.update((seq, last, cancelled, held))
-            self._no_timer()
-            self.handle.registerTimer(latest + self.idle_ms)
-        yield self._rows(key, done)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        done = []
-        if self.open.exists():
-            seq, last, cancelled, lines = self.open.get()
-            if lines and not cancelled:
-                done.append((seq, [tuple(x) for x in lines], last, SILENT))
+        if until is not None and (over or until != latest):
+            self.handle.deleteTimer(until)
+        if over and known:
+            self.open.clear()
+        elif not over:
+            self.open.update((seq, last, cancelled, held, latest))
+            if until != latest:
+                self.handle.registerTimer(latest)
+        return self._rows(key, done)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        seq, last, cancelled, held, _ = self.open.get() or (0, -1, True, "", None)
         self.open.clear()
-        yield self._rows(key, done)
+        return self._rows(key, [(seq, held, last, SILENT)] if held and not cancelled else [])
 
     def close(self) -> None:
         pass
@@ -112,8 +94,9 @@ def timed_blocks(events: DataFrame, grammar: Grammar, idle: str = "1 hour", dela
     Pages of a document come in order from batch to batch; a page with null elements ends it. The session needs with_store().
     """
     idle_ms = int(_seconds(events.sparkSession, idle) * 1000)
-    rows = events.withWatermark("at", delay).select("doc_id", "page_index", "at", "cancel", told_lines(F.col("elements"), grammar).alias("lines"))
-    return rows.groupBy("doc_id").transformWithStateInPandas(_Documents(idle_ms), TIMED_BLOCK, "append", "eventTime")
+    rows = page_parts(events.withWatermark("at", delay), grammar, "at", "cancel").withColumn("ms", F.unix_millis("at"))
+    held = rows.groupBy("doc_id").transformWithState(_Documents(idle_ms), _HELD, "append", "eventTime")
+    return held.withColumn("lines", lines_of_parts(F.col("lines")))
 
 
 def _seconds(spark: SparkSession, interval: str) -> float:
