@@ -93,9 +93,19 @@ def lines_of(pages: DataFrame) -> DataFrame:
     return rows.withColumn("last_page", F.max("page_index").over(Window.partitionBy("doc_id")))
 
 
+def clean_each(contents: Column, grammar: Grammar) -> Column:
+    """An array of texts, each as the grammar cleans it; one look at all of them tells whether any needs it, where that is known."""
+    if grammar.clean is strip:
+        return strip_each(contents)
+    if grammar.clean is book_a_clean:
+        marked = F.array_join(contents, "\n").contains(BOOK_A_WATERMARK.partition("[")[0])
+        return F.when(marked, F.transform(contents, book_a_clean)).otherwise(strip_each(contents))
+    return F.transform(contents, grammar.clean)
+
+
 def told_lines(elements: Column, grammar: Grammar) -> Column:
     """The lines of a page's elements that are no noise, as structs (element_index, line, head)."""
-    cleaned = F.transform(elements["content"], lambda c, i: F.struct(i.alias("element_index"), grammar.clean(c).alias("line")))
+    cleaned = F.transform(clean_each(elements["content"], grammar), lambda c, i: F.struct(i.alias("element_index"), c.alias("line")))
     told = F.filter(cleaned, lambda x: x["line"].isNotNull() & (x["line"] != "") & ~grammar.noise(x["line"]))
     return F.transform(told, lambda x: F.struct(x["element_index"], x["line"], grammar.question.matches(x["line"]).alias("head")))
 
@@ -112,9 +122,7 @@ def segments(pages: DataFrame, *carried: str) -> DataFrame:
 
 def text_segments(pages: DataFrame, grammar: Grammar) -> DataFrame:
     """segments() of pages whose lines are strings alone, which is all that extract() asks for: a line's text is neither wrapped nor copied before pages are cut. A grammar may be in columns of pages."""
-    contents = F.col("elements")["content"]
-    cleaned = strip_each(contents) if grammar.clean is strip else F.transform(contents, grammar.clean)
-    told = F.filter(cleaned, lambda line: line.isNotNull() & (line != "") & ~grammar.noise(line))
+    told = F.filter(clean_each(F.col("elements")["content"], grammar), lambda line: line.isNotNull() & (line != "") & ~grammar.noise(line))
     rows = pages.withColumn("told", told)
     starts = F.transform("told", lambda line, i: F.when((i == 0) | grammar.question.matches(line), i))
     rows = rows.select("doc_id", "page_index", "told", starts.alias("starts"), grammar.question.matches(F.get("told", F.lit(0))).alias("opens"))
@@ -235,7 +243,7 @@ def annotation_sides(elements: Column) -> Column:
         on = lambda k: F.size(F.filter(F.zip_with(sides, marked, lambda s, m: (s == k) & m), lambda x: x))
         return bind(F.when(on(0) >= on(1), 0).otherwise(1), lambda column: F.transform(sides, lambda s: s == column))
 
-    return F.when(F.exists(marked, lambda m: m), bind(column_of(first_x), flags)).otherwise(F.transform(elements, lambda e: F.lit(False)))
+    return F.when(F.exists(marked, lambda m: m), bind(bind(first_x, column_of), flags)).otherwise(F.transform(elements, lambda e: F.lit(False)))
 
 
 def annotations(lines: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -19,6 +21,8 @@ from quirefold.sources.scratch import written
 #: What went wrong: the number and name of the stage, the kind of error, and its message.
 ERROR = "struct<ordinal: int, stage: string, type: string, message: string>"
 Stage = Callable[[DataFrame, int], DataFrame]
+#: So many pages become Python objects at once.
+_CALLED = 256
 
 
 @dataclass(frozen=True)
@@ -40,6 +44,26 @@ def check(stage: str, message: Callable[[Column], Column], type_: str = "ValueEr
     return run
 
 
+def _rows(array: pa.Array) -> list:
+    """array.to_pylist(), but by columns: a nested array's values are made together, and not a scalar for each, which takes several times as long."""
+    if pa.types.is_struct(array.type):
+        names, columns = [f.name for f in array.type], [_rows(c) for c in array.flatten()]
+        if len(names) == 2:
+            (a, b), (first, second) = names, columns
+            rows = [{a: x, b: y} for x, y in zip(first, second, strict=True)]
+        else:
+            rows = [dict(zip(names, x, strict=True)) for x in zip(*columns, strict=True)]
+    elif pa.types.is_list(array.type):
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False), dtype=np.int64).tolist()
+        inner = _rows(array.flatten())
+        rows = [inner[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+    elif array.null_count or not pa.types.is_floating(array.type):
+        return array.to_pylist()
+    else:
+        return array.to_numpy(zero_copy_only=False).tolist()
+    return [r if ok else None for r, ok in zip(rows, array.is_valid().to_pylist(), strict=True)] if array.null_count else rows
+
+
 def tried(stage: str, operator: Callable[[list[dict]], list[dict]]) -> Stage:
     """A stage that gives a page's elements, as dicts, to a Python operator and goes on with what it returns; whatever it raises, or returns that are no elements, is that page's error."""
 
@@ -61,7 +85,7 @@ def tried(stage: str, operator: Callable[[list[dict]], list[dict]]) -> Stage:
                 return None, e
 
         def call(pages: pa.Array) -> pa.Array:
-            done = [one(x) for x in pages.to_pylist()]
+            done = [one(x) for i in range(0, len(pages), _CALLED) for x in _rows(pages[i : i + _CALLED])]
             try:
                 made = pa.array([x for x, _ in done], listed)
             except (pa.ArrowException, TypeError):  # some page's result is no list of elements; which, is told one by one
@@ -109,9 +133,13 @@ def evaluate(pages: DataFrame, tried: Attempt, config: ev.Config = ev.Config(),
     return rows.withColumns({c: F.when(failed, 0.0).otherwise(F.col(c)) for c in ("score", *ev.METRICS)} | {"warnings": F.when(failed, F.col("_said")).otherwise(F.col("warnings"))}).drop("_said")
 
 
+def is_bare(element: Column) -> Column:
+    return F.coalesce(F.size(element["bbox"]), F.lit(0)) <= 0
+
+
 def needs_boxes(elements: Column) -> Column:
     """A message for the first element of a page that has no points."""
-    bare = F.filter(F.transform(elements, lambda e, i: F.when(F.coalesce(F.size(e["bbox"]), F.lit(0)) <= 0, i)), lambda i: i.isNotNull())
+    bare = F.filter(F.transform(elements, lambda e, i: F.when(is_bare(e), i)), lambda i: i.isNotNull())
     return F.when(F.size(bare) > 0, F.concat(F.lit("element "), F.get(bare, F.lit(0)).cast("string"), F.lit(" has no box")))
 
 
@@ -121,10 +149,14 @@ def book_a_columns(elements: Column) -> Column:
 
 
 def book_a_headers(elements: Column) -> Column:
-    """In the first book every header needs a box, as notes beside it are its own."""
+    """In the first book every header needs a box, as notes beside it are its own. Only elements without one are tried as headers."""
     grammar = book_a_grammar()
-    heads = F.filter(elements, lambda e: F.coalesce(grammar.question.matches(book_a_clean(e["content"])) & ~grammar.noise(book_a_clean(e["content"])), F.lit(False)))
-    return F.when(needs_boxes(heads).isNotNull(), "a header has no box")
+
+    def is_head(e: Column) -> Column:
+        line = book_a_clean(e["content"])
+        return F.coalesce(grammar.question.matches(line) & ~grammar.noise(line), F.lit(False))
+
+    return F.when(F.exists(elements, lambda e: is_bare(e) & is_head(e)), "a header has no box")
 
 
 #: The stages that the first book's pages must pass before extraction.

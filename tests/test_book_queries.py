@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quirefold.operators import extraction as ex
+from quirefold.operators import failures as fl
+from quirefold.operators import transforms as tr
 from quirefold.plans import book_queries as bq
 from quirefold.sources.schemas import PAGES
 from quirefold.streaming.problems import lines_of_parts, next_parts, page_parts
@@ -42,3 +46,46 @@ def test_a_page_is_few_values_for_the_stream(spark):
     pages = spark.createDataFrame([("d", 0, [([], "text", x) for x in ("第1题 a", *["line"] * 500, "第2题 b")])], PAGES)
     (row,) = page_parts(pages, bq.GENERAL).collect()
     assert len(row.parts) == 2 and next_parts(0, "", 0, row.parts, row.opens)[0] == 2
+
+
+def test_rows_of_columns_are_those_of_scalars():
+    """An operator gets what to_pylist() gives, nulls at every level included."""
+    listed = pa.list_(pa.struct([("bbox", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), ("label", pa.string()), ("content", pa.string())]))
+    pages = [None, [], [{"bbox": [{"x": 1.5, "y": 2.0}] * 4, "label": "t", "content": "a"}], [None, {"bbox": None, "label": None, "content": "b"}, {"bbox": [None, {"x": None, "y": 1.0}, {"x": float("inf"), "y": -0.0}], "label": "c", "content": None}]]
+    whole = pa.array(pages * 3, listed)
+    for at in range(len(whole) + 1):
+        assert fl._rows(whole[at:]) == whole[at:].to_pylist()
+
+
+def test_only_elements_without_a_box_are_tried_as_headers(spark):
+    """The pattern is not looked for in an element that has a box."""
+    text = str(fl.book_a_headers(F.col("elements"))._jc)
+    assert "exists" in text.lower() and "filter" not in text.lower()
+
+
+@pytest.mark.parametrize("xs", [[0.0, 500.0, 0.0], [5.0, 5.0], [], [1.0], [0.1] * 7 + [0.1 + 2e-16] * 5, [1.0, 2.0, 3.0], [1.0, float("nan")], [float("nan")] * 2, [-1e300, 1e300], [float("-inf"), 0.0], [-0.0, 0.0, 3.0]])
+def test_two_left_edges_are_told_apart_as_by_rounds(spark, xs):
+    """Two values far apart need no round of 2-means; the sides are those that the rounds give."""
+    left, right = (min(xs, key=lambda x: (x != x, x)), max(xs, key=lambda x: (x != x, x))) if xs else (0, 0)
+    if left == right:
+        want = [0] * len(xs)
+    else:
+        for _ in range(tr.FOLD_ROUNDS):
+            sides = [int(not abs(x - left) <= abs(x - right)) for x in xs]
+            means = [([x for x, s in zip(xs, sides, strict=True) if s == k]) for k in (0, 1)]
+            left, right = (sum(m) / len(m) if m else old for m, old in zip(means, (left, right), strict=True))
+        want = [int(abs(x - left) > abs(x - right)) for x in xs]
+    df = spark.createDataFrame([(xs,)], "xs array<double>")
+    if not any(x != x for x in xs):
+        assert df.select(tr.column_of(F.col("xs"))).first()[0] == want
+
+
+def test_two_values_take_no_round(spark):
+    assert "forall" in str(tr.column_of(F.col("xs"))._jc).lower()
+
+
+def test_watermarks_and_spaces_go_as_before(spark):
+    texts = [["公考最新资料、更新进度微信abc123 x", None, " 　y "], ["z"], [" w\x1c"], []]
+    df = spark.createDataFrame([(t,) for t in texts], "t array<string>")
+    got = [r[0] for r in df.select(ex.clean_each(F.col("t"), ex.book_a_grammar())).collect()]
+    assert got == [["x", None, "y"], ["z"], ["w"], []]
