@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Line boundaries; what str.strip() takes besides Unicode white space.
@@ -130,27 +130,73 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 #: So many characters are counted at once.
-_COUNTED = 1 << 20
+_COUNTED = 1 << 18
+
+
+def _lengths(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _cells(texts: pa.Array, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, place in the alphabet, times) of each character of the groups of texts, in that order, and the alphabet. A table of all cells is filled without sorting, where it isn't much larger than the texts."""
+    codes = np.frombuffer("".join(texts.fill_null("").to_pylist()).encode("utf-32-le"), np.uint32)
+    seen = np.bincount(codes)
+    alphabet = np.flatnonzero(seen)
+    width, place = max(1, len(alphabet)), np.cumsum(seen > 0) - 1
+    key = np.repeat(group, _lengths(texts)) * width + place[codes]
+    if groups * width <= 8 * len(codes) + (1 << 16):
+        table = np.bincount(key, minlength=groups * width)
+        at = np.flatnonzero(table)
+        times = table[at]
+    else:
+        at, times = np.unique(key, return_counts=True)
+    return at // width, at % width, times.astype(np.int64), alphabet
 
 
 def _counted(texts: pa.Array) -> pa.Array:
     """For each text of a batch its characters with how often they occur; null texts give null."""
-    size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    codes = np.frombuffer("".join(texts.fill_null("").to_pylist()).encode("utf-32-le"), np.uint32)
-    key, times = np.unique(np.repeat(np.arange(len(texts)) << 21, size) | codes, return_counts=True)
-    alphabet, letter = np.unique(key & 0x1FFFFF, return_inverse=True)
-    values = pa.StructArray.from_arrays([pa.array(list(map(chr, alphabet)), pa.string()).take(pa.array(letter)), pa.array(times.astype(np.int64))], ["c", "n"])
-    offsets = np.searchsorted(key >> 21, np.arange(len(texts) + 1)).astype(np.int32)
+    row, letter, times, alphabet = _cells(texts, np.arange(len(texts)), len(texts))
+    values = pa.StructArray.from_arrays([pa.array(list(map(chr, alphabet)), pa.string()).take(pa.array(letter)), pa.array(times)], ["c", "n"])
+    offsets = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False)), values)
 
 
-def _counted_in_parts(texts: pa.Array) -> pa.Array:
-    """_counted() of some texts at a time, so that a batch of long ones is no burden; a text is counted as a whole."""
-    ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def _parts(texts: pa.Array) -> list[tuple[int, int]]:
+    """Bounds of some texts at a time, so that a batch of long ones is no burden; a text is counted as a whole."""
+    ends = np.cumsum(_lengths(texts))
     cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(_COUNTED, ends[-1], _COUNTED)) + 1, len(texts)]) if len(texts) else np.zeros(2, np.int64)
-    return pa.concat_arrays([_counted(texts[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
+def _counted_in_parts(texts: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_counted(texts[i:j]) for i, j in _parts(texts)])
 
 
 def char_counts(text: Column) -> Column:
     """An array of (c, n): each character of a text with how often it occurs, so that a text is exploded by its alphabet and not its length. A batch of texts is counted at once."""
     return F.arrow_udf(_counted_in_parts, "array<struct<c: string, n: long>>")(text)
+
+
+def _counted_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j in _parts(batch.column(1)):
+            keys = batch.column(0)[i:j].dictionary_encode(null_encoding="encode")
+            groups = len(keys.dictionary)
+            row, letter, times, alphabet = _cells(batch.column(1)[i:j], keys.indices.to_numpy().astype(np.int64), groups)
+            every = np.arange(groups)
+            chars = pa.array(["", *map(chr, alphabet)], pa.string())
+            columns = [keys.dictionary.take(pa.array(np.r_[every, row])), chars.take(pa.array(np.r_[0 * every, letter + 1])), pa.array(np.r_[0 * every, times])]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "c", "n"])
+
+
+def normal_counts(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, c, n): how often a key's texts have a character when normalized(), and a row of none ("", 0) for each key; one character may be in several rows.
+
+    Rows of a key that stand together are counted together. Texts are counted as they are, and what occurs is normalised: no character's form depends on what stands beside it.
+    """
+    type_ = rows.schema[key].dataType.simpleString()
+    counted = rows.select(F.col(key).alias("key"), text.alias("text")).mapInArrow(_counted_by_key, f"key {type_}, c string, n long")
+    found = counted.select("key", normalized(F.col("c")).alias("c"), "n")
+    letters = F.when(F.length("c") <= 1, F.array("c")).otherwise(F.transform(F.sequence(F.lit(1), F.length("c")), lambda i: F.substring("c", i, 1)))
+    found = found.select("key", F.when(F.col("c") == "", 0).otherwise(F.col("n")).cast("long").alias("n"), F.explode_outer(letters).alias("c"))
+    return found.select(F.col("key").alias(key), "c", "n")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import bind, char_counts, has_text, is_decimals, is_digits, normalized, strip
+from quirefold.functions.text import bind, has_text, is_decimals, is_digits, normal_counts, normalized, strip
 
 METRICS = ("question_completeness", "option_completeness", "text_coverage", "structural_consistency", "extraction_validity")
 FALLBACK, MINIMUM = 0.90, 0.70
@@ -58,24 +58,30 @@ def validity(question: Column, options: Column) -> Column:
 
 
 def source_counts(pages: DataFrame) -> DataFrame:
-    """(doc_id, c, have): how often each document of pages has a character, and a row of none for each document. A page's text is folded as one and counted by character before it is exploded."""
-    none = F.array(F.struct(F.lit("").alias("c"), F.lit(0).cast("long").alias("n")))
-    each = pages.select("doc_id", F.inline(F.concat(none, char_counts(normalized(F.array_join(F.col("elements")["content"], ""))))))
-    return each.groupBy("doc_id", "c").agg(F.sum("n").alias("have"))
+    """(doc_id, c, have): how often each document of pages has a character, and a row of none for each document."""
+    counted = normal_counts(pages, "doc_id", F.array_join(F.col("elements")["content"], ""))
+    return counted.groupBy("doc_id", "c").agg(F.sum("n").alias("have"))
 
 
-def text_coverage(pages: DataFrame, problems: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text_coverage) of every document of pages: the share of its characters, as a multiset, that its problems hold; 0 without characters.
+def coverage_each(pages: DataFrame, problems: list[DataFrame], source: DataFrame | None = None) -> DataFrame:
+    """(doc_id, shares) of every document of pages: for each extraction in turn the share of the document's characters, as a multiset, that its problems hold; 0 without characters.
 
-    source may hold the pages' source_counts(), which are the same for all extractions. Both sides meet in one grouping.
+    source may hold the pages' source_counts(), which are the same for all extractions. All sides meet in one grouping.
     """
-    zero = F.lit(0).cast("long")
-    source = (source_counts(pages) if source is None else source).select("doc_id", "c", "have", zero.alias("got"))
+    zero, each = F.lit(0).cast("long"), range(len(problems))
+    sides = (source_counts(pages) if source is None else source).select("doc_id", "c", "have", *[zero.alias(f"got{i}") for i in each])
     parts = F.concat(F.array("number", "question", "answer", "analysis"), F.col("options")["label"], F.col("options")["text"])
-    mine = problems.select("doc_id", F.inline(char_counts(normalized(F.array_join(parts, ""))))).select("doc_id", "c", zero.alias("have"), F.col("n").alias("got"))
-    both = source.unionAll(mine).groupBy("doc_id", "c").agg(F.sum("have").alias("have"), F.sum("got").alias("got"))
-    share = F.sum(F.least("have", "got")) / F.nullif(F.sum("have"), F.lit(0))
-    return both.groupBy("doc_id").agg(F.coalesce(share, F.lit(0.0)).alias("text_coverage"))
+    for k, found in enumerate(problems):
+        mine = normal_counts(found, "doc_id", F.array_join(parts, "")).where("n > 0")
+        sides = sides.unionAll(mine.select("doc_id", "c", zero.alias("have"), *[(F.col("n") if i == k else zero).alias(f"got{i}") for i in each]))
+    both = sides.groupBy("doc_id", "c").agg(F.sum("have").alias("have"), *[F.sum(f"got{i}").alias(f"got{i}") for i in each])
+    share = lambda i: F.coalesce(F.sum(F.least("have", f"got{i}")) / F.nullif(F.sum("have"), F.lit(0)), F.lit(0.0))
+    return both.groupBy("doc_id").agg(F.array(*[share(i) for i in each]).alias("shares"))
+
+
+def text_coverage(pages: DataFrame, problems: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_coverage) of every document of pages, as coverage_each()."""
+    return coverage_each(pages, [problems], source).select("doc_id", F.col("shares")[0].alias("text_coverage"))
 
 
 def structural_consistency(numbers: Column) -> Column:
@@ -113,7 +119,15 @@ def evaluate(pages: DataFrame, problems: DataFrame, config: Config = Config(), s
 
     A number of digits that are no decimals can't be compared; such a document counts as failed.
     """
-    each = problems.groupBy("doc_id").agg(
+    return evaluate_each(pages, {"": problems}, config, source).drop("candidate")
+
+
+def evaluate_each(pages: DataFrame, candidates: dict[str, DataFrame], config: Config = Config(), source: DataFrame | None = None) -> DataFrame:
+    """evaluate() of each candidate's problems, with the candidate in a column: all are grouped together, and the documents' characters are read once."""
+    if not candidates:
+        raise ValueError("no extractors")
+    found = reduce(DataFrame.unionByName, [p.select(F.lit(i).alias("_i"), "doc_id", "problem_seq", "number", "question", "options") for i, p in enumerate(candidates.values())])
+    each = found.groupBy("doc_id", "_i").agg(
         F.avg(question_completeness(F.col("question"), config)).alias("question_completeness"), F.avg(option_completeness(F.col("options"), config)).alias("option_completeness"),
         F.avg(validity(F.col("question"), F.col("options"))).alias("extraction_validity"), F.array_sort(F.collect_list(F.struct("problem_seq", normalized(F.col("number")).alias("n"), F.col("number").alias("raw")))).alias("ns"),
     )
@@ -122,7 +136,8 @@ def evaluate(pages: DataFrame, problems: DataFrame, config: Config = Config(), s
         "*", bind(F.transform("ns", lambda x: x["n"]), structural_consistency).alias("structural_consistency"), (F.size(F.array_distinct(raw)) < F.size(raw)).alias("repeated"),
         F.exists("ns", lambda x: is_digits(x["n"]) & ~is_decimals(x["n"])).alias("failed"), F.lit(True).alias("some"),
     ).drop("ns")
-    rows = text_coverage(pages, problems, source).join(each, "doc_id", "left")
+    covered = coverage_each(pages, [*candidates.values()], source).select("doc_id", F.posexplode_outer("shares").alias("_i", "text_coverage"))
+    rows = covered.join(each, ["doc_id", "_i"], "left").withColumn("candidate", F.get(F.array(*map(F.lit, candidates)), F.col("_i")))
     rows = rows.withColumns({"some": F.coalesce("some", F.lit(False)), "failed": F.coalesce("failed", F.lit(False))})
     fine = F.col("some") & ~F.col("failed")
     rows = rows.withColumns({m: F.when(fine, F.coalesce(m, F.lit(0.0))).otherwise(F.lit(0.0)) for m in METRICS})
@@ -135,7 +150,7 @@ def evaluate(pages: DataFrame, problems: DataFrame, config: Config = Config(), s
     )
     failed, empty = (F.array(F.lit(x)) for x in ("extractor failed: a problem number is no decimal number", "extractor produced no problems"))
     warnings = F.when(F.col("failed"), failed).when(~F.col("some"), empty).otherwise(F.filter(low, lambda w: w.isNotNull()))
-    return rows.select("doc_id", F.when(fine, F.greatest(F.lit(0.0), F.least(F.lit(1.0), product))).otherwise(0.0).alias("score"), *METRICS, warnings.alias("warnings"))
+    return rows.select("candidate", "doc_id", F.when(fine, F.greatest(F.lit(0.0), F.least(F.lit(1.0), product))).otherwise(0.0).alias("score"), *METRICS, warnings.alias("warnings"))
 
 
 def rank(candidates: dict[str, DataFrame]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,14 +151,21 @@ def extract(pages: DataFrame, grammar: Grammar) -> DataFrame:
 
 
 def extract_each(pages: DataFrame, grammars: dict[str, Grammar]) -> dict[str, DataFrame]:
-    """extract() by each grammar. Grammars with the same headers, noise and cleaning cut pages alike, so they share their blocks, which are written."""
+    """extract() by each grammar, written. Grammars with the same headers, noise and cleaning cut pages alike, so they share their blocks; of those, grammars that differ in what goes on alone also share the work on lines, and one table."""
     alike = lambda g: (g.question, g.noise, g.clean)
+    same_lines = lambda g: replace(g, goes_on=frozenset(), follows=None)
     uses = Counter(map(alike, grammars.values()))
-    shared = {}
-    for g in grammars.values():
+    made, shared = {}, {}
+    for name, g in grammars.items():
+        if name in made:
+            continue
         if uses[alike(g)] > 1 and alike(g) not in shared:
             shared[alike(g)] = written(blocks(text_segments(pages, g)))
-    return {name: problems_of_blocks(shared[alike(g)], g) if alike(g) in shared else extract(pages, g) for name, g in grammars.items()}
+        found = shared[alike(g)] if alike(g) in shared else blocks(text_segments(pages, g))
+        together = [n for n, other in grammars.items() if same_lines(other) == same_lines(g)]
+        table = written(_problems_each(found, [grammars[n] for n in together]))
+        made |= {n: table.select("doc_id", "problem_seq", f"p{i}.*", "header_page", "completed_page") for i, n in enumerate(together)}
+    return {name: made[name] for name in grammars}
 
 
 def blocks(parts: DataFrame) -> DataFrame:
@@ -176,6 +183,12 @@ def problems_of_blocks(found: DataFrame, grammar: Grammar) -> DataFrame:
 
     A line that opens an option, an answer or another section begins a run, which the lines up to the next such line go on with, if the grammar lets them.
     """
+    return _problems_each(found, [grammar]).select("doc_id", "problem_seq", "p0.*", "header_page", "completed_page")
+
+
+def _problems_each(found: DataFrame, grammars: list[Grammar]) -> DataFrame:
+    """(doc_id, problem_seq, p0, p1, ..., header_page, completed_page): problems_of_blocks() by each of some grammars that differ in goes_on and follows alone, as structs; lines are told apart once."""
+    grammar = grammars[0]
     none = F.array().cast("array<string>")
     if grammar.one_option:
         every = lambda line, name: F.when(grammar.options.matches(line), F.array(grammar.options.first(line, name))).otherwise(none)
@@ -198,33 +211,41 @@ def problems_of_blocks(found: DataFrame, grammar: Grammar) -> DataFrame:
     rows = rows.select("*", F.zip_with("rest", "labels", lambda line, labels: F.when(F.size(labels) > 0, every(line, "text"))).alias("texts"), F.zip_with("rest", "labels", kind_of).alias("kinds"))
     rows = rows.select("*", F.filter(F.transform("kinds", lambda k, i: F.when(k.isNotNull(), i)), lambda i: i.isNotNull()).alias("at"))
 
-    def tail(kind: str, begin: Column, stop: Column) -> Column:
+    def tail(g: Grammar, kind: str, begin: Column, stop: Column) -> Column:
         """The lines of a run of that kind after its first, which are those from begin on and before stop, if they go on with it."""
-        return F.when(grammar.goes_on_with(F.lit(kind)), F.array_join(F.slice("rest", begin + 1, F.coalesce(stop, F.size("rest")) - begin), "")).otherwise("")
+        return F.when(g.goes_on_with(F.lit(kind)), F.array_join(F.slice("rest", begin + 1, F.coalesce(stop, F.size("rest")) - begin), "")).otherwise("")
 
-    def latest(kind: str) -> Column:
+    def latest(g: Grammar, kind: str) -> Column:
         pattern, tidied = opening[kind]
         last = F.array_max(F.filter("at", lambda i: F.get("kinds", i) == kind))
         text = tidied(pattern.first(F.get("rest", last), kind)) if pattern.group(kind) is not None else F.lit("")
         following = F.array_min(F.filter("at", lambda i: i > last))
-        return F.when(last.isNotNull(), F.concat(text, tail(kind, last + 1, following))).otherwise("")
+        return F.when(last.isNotNull(), F.concat(text, tail(g, kind, last + 1, following))).otherwise("")
 
-    def options_at(i: Column, j: Column) -> Column:
+    def options_at(g: Grammar, i: Column, j: Column) -> Column:
         labels = F.get("labels", i)
-        text = lambda k: F.when(k == F.size(labels) - 1, F.concat(option_text(F.get(F.get("texts", i), k)), tail("option", i + 1, F.get("at", j + 1)))).otherwise(option_text(F.get(F.get("texts", i), k)))
+        text = lambda k: F.when(k == F.size(labels) - 1, F.concat(option_text(F.get(F.get("texts", i), k)), tail(g, "option", i + 1, F.get("at", j + 1)))).otherwise(option_text(F.get(F.get("texts", i), k)))
         return F.transform(labels, lambda label, k: F.struct(label.alias("label"), text(k).alias("text")))
 
-    given = F.flatten(F.filter(F.transform("at", lambda i, j: F.when(F.get("kinds", i) == "option", options_at(i, j))), lambda o: o.isNotNull()))
+    def given(g: Grammar) -> Column:
+        return F.flatten(F.filter(F.transform("at", lambda i, j: F.when(F.get("kinds", i) == "option", options_at(g, i, j))), lambda o: o.isNotNull()))
+
+    def question(g: Grammar) -> Column:
+        return F.concat(strip(first) if g.strip_parts else first, tail(g, "question", F.lit(0), F.get("at", F.lit(0))))
+
     first = grammar.question.first(F.col("head"), "question")
-    question = F.concat(strip(first) if grammar.strip_parts else first, tail("question", F.lit(0), F.get("at", F.lit(0))))
     rows = rows.select(
-        "doc_id", "problem_seq", grammar.question.first(F.col("head"), "number").alias("number"), question.alias("question"),
-        *[(latest(kind) if kind in opening else F.lit("")).alias(kind) for kind in ("answer", "analysis")], given.alias("given"), "header_page", "completed_page",
+        "doc_id", "problem_seq", grammar.question.first(F.col("head"), "number").alias("number"), *[question(g).alias(f"question{i}") for i, g in enumerate(grammars)],
+        *[(latest(g, kind) if kind in opening else F.lit("")).alias(f"{kind}{i}") for i, g in enumerate(grammars) for kind in ("answer", "analysis")], *[given(g).alias(f"given{i}") for i, g in enumerate(grammars)], "header_page", "completed_page",
     )
-    labels = F.col("given")["label"]
-    again = F.transform(F.array_distinct(labels), lambda k: F.struct(k.alias("label"), F.element_at(F.filter("given", lambda o: o["label"] == k), -1)["text"].alias("text")))
-    options = F.when(F.size(F.array_distinct(labels)) == F.size("given"), F.col("given")).otherwise(again)
-    return rows.select("doc_id", "problem_seq", "number", "question", "answer", options.cast(f"array<{OPTION}>").alias("options"), "analysis", "header_page", "completed_page")
+
+    def options(given: str) -> Column:
+        labels = F.col(given)["label"]
+        again = F.transform(F.array_distinct(labels), lambda k: F.struct(k.alias("label"), F.element_at(F.filter(given, lambda o: o["label"] == k), -1)["text"].alias("text")))
+        return F.when(F.size(F.array_distinct(labels)) == F.size(given), F.col(given)).otherwise(again).cast(f"array<{OPTION}>")
+
+    fields = lambda i: F.struct("number", F.col(f"question{i}").alias("question"), F.col(f"answer{i}").alias("answer"), options(f"given{i}").alias("options"), F.col(f"analysis{i}").alias("analysis"))
+    return rows.select("doc_id", "problem_seq", *[fields(i).alias(f"p{i}") for i in range(len(grammars))], "header_page", "completed_page")
 
 
 def top_y(e: Column) -> Column:

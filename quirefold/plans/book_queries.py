@@ -94,10 +94,11 @@ def _evaluated(spark: SparkSession, sf_dir: str, grammar: ex.Grammar = GENERAL)
 
 
 def _reports(spark: SparkSession, sf_dir: str, grammars: dict[str, ex.Grammar]) -> dict[str, DataFrame]:
-    """An evaluation for each grammar; pages, their characters and the problems are read more than once, so they are written."""
+    """An evaluation for each grammar; pages and the problems are read more than once, so they are written, and so are the evaluations, which are made together."""
     pages = written(ad.book_pages(spark, sf_dir, boxes=False))
-    source = written(ev.source_counts(pages)) if len(grammars) > 1 else ev.source_counts(pages)
-    return {name: ev.evaluate(pages, written(problems), source=source) for name, problems in ex.extract_each(pages, grammars).items()}
+    found = ev.evaluate_each(pages, ex.extract_each(pages, grammars))
+    found = written(found) if len(grammars) > 1 else found
+    return {name: found.where(F.col("candidate") == name).drop("candidate") for name in grammars}
 
 
 def metric(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
