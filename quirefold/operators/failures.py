@@ -22,7 +22,7 @@ from quirefold.sources.scratch import written
 ERROR = "struct<ordinal: int, stage: string, type: string, message: string>"
 Stage = Callable[[DataFrame, int], DataFrame]
 #: So many pages become Python objects at once.
-_CALLED = 256
+_CALLED = 64
 
 
 @dataclass(frozen=True)
@@ -51,16 +51,19 @@ def _rows(array: pa.Array) -> list:
         if len(names) == 2:
             (a, b), (first, second) = names, columns
             rows = [{a: x, b: y} for x, y in zip(first, second, strict=True)]
+        elif len(names) == 3:
+            (a, b, c), (first, second, third) = names, columns
+            rows = [{a: x, b: y, c: z} for x, y, z in zip(first, second, third, strict=True)]
         else:
             rows = [dict(zip(names, x, strict=True)) for x in zip(*columns, strict=True)]
     elif pa.types.is_list(array.type):
         ends = np.cumsum(pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False), dtype=np.int64).tolist()
         inner = _rows(array.flatten())
         rows = [inner[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
-    elif array.null_count or not pa.types.is_floating(array.type):
-        return array.to_pylist()
-    else:
+    elif pa.types.is_string(array.type) or pa.types.is_floating(array.type) and not array.null_count:
         return array.to_numpy(zero_copy_only=False).tolist()
+    else:
+        return array.to_pylist()
     return [r if ok else None for r, ok in zip(rows, array.is_valid().to_pylist(), strict=True)] if array.null_count else rows
 
 
@@ -85,7 +88,10 @@ def tried(stage: str, operator: Callable[[list[dict]], list[dict]]) -> Stage:
                 return None, e
 
         def call(pages: pa.Array) -> pa.Array:
-            done = [one(x) for i in range(0, len(pages), _CALLED) for x in _rows(pages[i : i + _CALLED])]
+            return pa.concat_arrays([call_some(pages[i : i + _CALLED]) for i in range(0, max(1, len(pages)), _CALLED)])
+
+        def call_some(pages: pa.Array) -> pa.Array:
+            done = [one(x) for x in _rows(pages)]
             try:
                 made = pa.array([x for x, _ in done], listed)
             except (pa.ArrowException, TypeError):  # some page's result is no list of elements; which, is told one by one

@@ -250,7 +250,8 @@ def isolated_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = written(pages)
     tried = fl.attempt(pages, ex.extract_book_a, fl.tried("fussy", fussy), *fl.BOOK_A_STAGES)
-    tried = fl.Attempt(written(tried.problems), written(tried.errors))
+    problems = tried.problems.repartition("doc_id").sortWithinPartitions("doc_id")  # so that a book's characters are counted together
+    tried = fl.Attempt(written(problems), written(tried.errors))
     reports = fl.evaluate(pages, tried).select("doc_id", (F.col("score") > 0).alias("scored"), F.array_join(F.filter("warnings", lambda w: w.startswith("extractor failed")), "; ").alias("warning"))
     found = tried.problems.groupBy("doc_id").agg(F.count("*").alias("n"))
     return reports.join(found, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
